@@ -15,7 +15,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(_documents(spark, sf_dir)))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir), k=4, percent=80)
+
+
 QUERIES = {
+    "op8_near_dedup": op8_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
