@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
+from .text import small_batches
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -41,7 +43,21 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import digest, remove_repeated_lines
+
+    return digest(remove_repeated_lines(_documents(spark, sf_dir)))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import leaks
+
+    return leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
+    "op4_line_dedup": op4_line_dedup,
+    "op6_decontamination": op6_decontamination,
     "op1_fingerprints": op1_fingerprints,
     "op2_mixing": op2_mixing,
     "op7_quality": op7_quality,

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _U = np.uint64
@@ -58,7 +58,7 @@ def _power_tables(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, b, np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        if size <= 1 << 22:  # tables for a giant document are not kept
+        if size <= 1 << 20:  # tables for a giant document are not kept
             _powers[which] = (out[0], out[1])
         return out[0], out[1]
     return have
@@ -144,6 +144,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def int_schema(df: DataFrame, name: str) -> str:
-    """DDL type of a column, for mapInArrow schemas that hand it through."""
-    return df.schema[name].dataType.simpleString()
+def small_batches(spark: SparkSession) -> None:
+    """Documents are long rows: hand Python fewer of them at a time than Spark's default for short rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
