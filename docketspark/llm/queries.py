@@ -55,7 +55,37 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def _vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file: in the folder DOCKETSPARK_TOKENIZERS names, else where the package of public tokenizers lies."""
+    import os
+
+    return os.path.join(os.environ.get("DOCKETSPARK_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, secrets
+    from .token_counts import END, load_pieces
+
+    words = {p[:-1].decode() for p in load_pieces(_vocabulary_path()) if p[-1:] == bytes([END]) and len(p) > 3 and p[:-1].isalpha()}
+    return digest(secrets(_documents(spark, sf_dir), words))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import load_pieces, token_counts
+
+    return token_counts(_documents(spark, sf_dir), load_pieces(_vocabulary_path()))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op3_secrets": op3_secrets,
+    "op5_token_counts": op5_token_counts,
+    "op9_licenses": op9_licenses,
     "op4_line_dedup": op4_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op1_fingerprints": op1_fingerprints,

@@ -22,6 +22,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _U = np.uint64
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_BREAKS = np.ones(256, bool)
+_BREAKS[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
@@ -74,12 +76,12 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which:
 
 
 class Words:
-    """Words of consecutive documents in one byte buffer."""
+    """Words of consecutive documents in one byte buffer; with ``plain``, runs of ASCII letters and digits and other scripts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, plain: bool = False) -> None:
         self.data, self.offsets = (_LOWER[data] if lower else data), offsets
         self.n_docs = len(offsets) - 1
-        solid = ~_WHITE[data]
+        solid = ~(_BREAKS if plain else _WHITE)[data]
         inner = offsets[(offsets > 0) & (offsets < len(data))]
         before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
         before[1:], after[:-1] = solid[:-1], solid[1:]
