@@ -15,8 +15,8 @@ defaults at s = 0.8, 2e-8 at 0.9.
    task, which returns only the links that join its documents together: at most one a document.
 4. Components of confirmed links are the groups.
 
-Null or empty texts have an empty set and stay alone. Rows sharing an id must have equal texts to be told apart;
-they get the same group. A null id counts as the smallest. An empty table gives an empty result.
+Null or empty texts have an empty set and stay alone. Rows sharing an id get
+the same group where their texts are alike, and the id stands for both. A null id counts as the smallest. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ from .text import Words, cut, mix, slices
 
 NULL_ID = -(1 << 63)
 #: keys that a task gathers before it links them among themselves
-FLUSH = 2_000_000
+FLUSH = 1_000_000
+#: rows of an Arrow batch handed back
+ROWS = 1 << 16
 #: candidate documents whose ids may be broadcast: 16 bytes each
 BROADCAST_ROWS = 500_000
 
@@ -85,13 +87,15 @@ def _links(k: int, m: int, rows: int):
         key, node = key[order], node[order]
         first = np.concatenate([[True], key[1:] != key[:-1]])
         lead = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-        yield out(0, key[first].view(np.int64), node[first])
+        yield from out(0, key[first].view(np.int64), node[first])
         near = np.unique(np.stack([lead, node], axis=1)[lead != node], axis=0)
         if len(near):
-            yield out(1, near[:, 0], near[:, 1])
+            yield from out(1, near[:, 0], near[:, 1])
 
-    def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+    def out(kind: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(a), ROWS):
+            part = slice(at, at + ROWS)
+            yield pa.record_batch([pa.array(np.full(len(a[part]), kind, np.int8)), pa.array(a[part]), pa.array(b[part])], names=["kind", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, seen, n = [], [], set(), 0
