@@ -10,7 +10,7 @@ Tasks emit sparse sketches, merged block by block into a bitmap of the cells tha
 sketch follows the size of the input up to ``max_sketch_bytes``, the proven bound of the broadcast; a fuller
 sketch lets more windows through but loses none.
 
-Pass 2 sends only windows estimated repeated to an exact grouping by a 128-bit hash of the words. Each task
+Pass 2 sends only windows estimated repeated to an exact grouping by a 96-bit hash of the words. Each task
 first settles repeats within itself, so a window sends one row per task at most, however hot it is.
 
 Null texts are empty documents. Rows sharing an id count as one document's texts: windows at equal starts are
@@ -31,7 +31,9 @@ from .text import MAX64, Words, mix, slices, span_hashes
 
 WIDTH, GRAM, DEPTH, BLOCK = 20, 8, 2, 1 << 16
 #: windows that a task gathers before it settles repeats among them
-FLUSH = 1_000_000
+FLUSH = 500_000
+#: rows of an Arrow batch handed back
+ROWS = 1 << 16
 NULL_ID = -(1 << 63)
 
 
@@ -136,17 +138,20 @@ def repeated_cells(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, max_sk
 
 
 def _candidates(width: int, gram: int, log_cells: int, shared):
-    """Rows of windows estimated repeated: kind 0 the first of each in this task, kind 1 runs known to be repeats."""
+    """Rows of windows estimated repeated: the first of each in this task (kind 0) and runs known to be repeats (kind 1).
+
+    The exact key of a window is its 64-bit hash h and 32 bits of a second hash, which x holds above its start.
+    For a run, x holds its start and end. Four narrow columns keep the shuffle small.
+    """
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h1, h2, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((at, doc, h2, h1))
         h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
-        group = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-        lead = np.maximum.accumulate(np.where(group, np.arange(len(h1)), 0))
+        first = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(h1)), 0))
         repeat = (doc != doc[lead]) | (at != at[lead])
-        first = group
-        yield rows(0, h1[first], h2[first], doc[first], at[first], at[first] + width)
+        yield from rows(0, h1[first], h2[first], doc[first], at[first])
         doc, at = doc[repeat], at[repeat]
         order = np.lexsort((at, doc))
         doc, at = doc[order], at[order]
@@ -154,10 +159,13 @@ def _candidates(width: int, gram: int, log_cells: int, shared):
             begin = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + width)])
             last = np.concatenate([np.flatnonzero(begin)[1:] - 1, [len(doc) - 1]])
             key = mix(doc[begin].astype(np.uint64) ^ (at[begin].astype(np.uint64) << np.uint64(40)))
-            yield rows(1, key, key, doc[begin], at[begin], at[last] + width)
+            yield from rows(1, key, at[begin].astype(np.uint64), doc[begin], at[last] + width)
 
-    def rows(kind, h1, h2, doc, lo, hi) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.full(len(doc), kind, np.int8)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["kind", "h1", "h2", "doc", "lo", "hi"])
+    def rows(kind: int, h: np.ndarray, high: np.ndarray, doc: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x = (high << np.uint64(32)) | low.astype(np.uint64)
+        for at in range(0, len(h), ROWS):
+            part = slice(at, at + ROWS)
+            yield pa.record_batch([pa.array(np.full(len(h[part]), kind, np.int8)), pa.array(h[part].view(np.int64)), pa.array(x[part].view(np.int64)), pa.array(doc[part])], names=["kind", "h", "x", "doc"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
@@ -176,7 +184,7 @@ def _candidates(width: int, gram: int, log_cells: int, shared):
                     maybe &= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
                 at = at[maybe[np.cumsum(change) - 1]]
                 if len(at):
-                    held.append((span_hashes(w.hashes(0), at, at + width, 0), span_hashes(w.hashes(1), at, at + width, 1), ids[row + w.doc[at]], w.place[at]))
+                    held.append((span_hashes(w.hashes(0), at, at + width, 0), span_hashes(w.hashes(1), at, at + width, 1) >> np.uint64(32), ids[row + w.doc[at]], w.place[at]))
                     n += len(at)
                 if n >= FLUSH:
                     yield from flush(held)
@@ -193,10 +201,14 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", width: int = WIDTH, g
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), "text")
     log_cells, bits = repeated_cells(keyed, width, gram, max_sketch_bytes)
     shared = spark.sparkContext.broadcast(bits)
-    rows = keyed.mapInArrow(_candidates(width, gram, log_cells, shared), "kind byte, h1 long, h2 long, doc long, lo int, hi int")
-    first = F.min(F.struct("doc", "lo")).over(Window.partitionBy("kind", "h1", "h2"))
-    later = rows.withColumn("first", first).where((F.col("kind") == 1) | (F.col("doc") != F.col("first.doc")) | (F.col("lo") != F.col("first.lo")))
-    return later.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    rows = keyed.mapInArrow(_candidates(width, gram, log_cells, shared), "kind byte, h long, x long, doc long")
+    rows = rows.repartition("kind", "h")  # dealt by the bare columns; what the window adds is worked out behind it
+    high, low = F.shiftright("x", 32).cast("int"), F.col("x").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    start = F.struct("doc", F.when(F.col("kind") == 0, low).otherwise(high).alias("lo"))
+    marked = rows.withColumn("start", start).withColumn("first", F.min("start").over(Window.partitionBy("kind", "h", F.shiftright("x", 32))))
+    later = marked.where((F.col("kind") == 1) | (F.col("start") != F.col("first")))
+    run = F.struct(F.col("start.lo").alias("lo"), F.when(F.col("kind") == 0, low + width).otherwise(low).alias("hi"))
+    return later.groupBy("doc").agg(F.collect_list(run).alias("runs"))
 
 
 def _cover(n: int, runs) -> np.ndarray:
