@@ -13,6 +13,7 @@ from . import fixtures as fx
 from .functions import confidence as S
 from .functions import dates as T
 from .functions import text as C
+from .functions.similarity import token_set_ratio
 from .jobs import flows
 from .operators import dedupe, layout, merge, order, query, summary
 from .sources import io
@@ -256,6 +257,7 @@ def j1_merge_ocr(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("image_id", "region_idx", "text", "confidence", "engine", "source")
 
 
+_add("d0_token_set_ratio", lambda df: df.select("record_id", token_set_ratio(F.col("raw_party_name"), F.col("party_name")).alias("ratio")), cleaned)
 _add("j2_similar_records", dedupe.similar_records, cleaned)
 _add("j3_similar_case_numbers", dedupe.similar_case_numbers, cleaned)
 
