@@ -18,7 +18,7 @@ WITH base AS (
            WHEN 12 THEN 'CRL.A' WHEN 13 THEN 'CRL.M.P' WHEN 14 THEN 'XYZ' ELSE 'SC' END AS prefix,
          CAST(o_custkey % 120 AS STRING) AS num, CAST(year(o_orderdate) AS STRING) AS yr,
          lpad(CAST(month(o_orderdate) AS STRING), 2, '0') AS mm, lpad(CAST(day(o_orderdate) AS STRING), 2, '0') AS dd,
-         c_name, n_name, o_orderkey, o_custkey
+         c_name, replace(n_name, '_', ' ') AS n_name, o_orderkey, o_custkey
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 )
 SELECT record_id, run_id, page_number,

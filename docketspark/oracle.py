@@ -8,7 +8,6 @@ from __future__ import annotations
 from . import fixtures as fx
 from .functions.dates import DATE_PATTERN, DATE_SWAPS
 from .functions.text import ABBREVIATIONS, CASE_PATTERN, CASE_SWAPS, KNOWN_PREFIXES
-from .functions.dates import DATE_PATTERN, DATE_SWAPS
 from .operators.layout import HEADER_KEYWORDS, SECTION_PHRASES
 
 AS_OF = f"DATE '{fx.AS_OF}'"
@@ -166,16 +165,16 @@ FACTOR = "CASE WHEN contains(lower(m), 'error') THEN 0.8::DOUBLE WHEN contains(l
 
 RAW = f"raw AS ({fx.RECORDS_RAW})"
 CLEANED = (
-    f"{RAW}, cleaned AS (SELECT *, coalesce({correct_case('raw_case_number')}, {strip('raw_case_number')}, '') AS case_number, "
+    f"{RAW}, cleaned AS MATERIALIZED (SELECT *, coalesce({correct_case('raw_case_number')}, {strip('raw_case_number')}, '') AS case_number, "
     f"coalesce({correct_date('raw_hearing_date')}, {strip('raw_hearing_date')}, '') AS hearing_date, "
     f"{clean_party('raw_party_name')} AS party_name, {clean_advocate('raw_advocate')} AS advocate FROM raw)"
 )
 WEIGHTED = "case_number_confidence * 0.40 + date_confidence * 0.30 + party_name_confidence * 0.20 + advocate_confidence * 0.10"
 SCORED = (
-    f"{CLEANED}, checked AS (SELECT *, {_checked()} FROM cleaned), "
-    f"issued AS (SELECT *, {_issues()} AS validation_issues, (case_review OR date_review OR party_review OR advocate_review) AS has_issues FROM checked), "
+    f"{CLEANED}, checked AS MATERIALIZED (SELECT *, {_checked()} FROM cleaned), "
+    f"issued AS MATERIALIZED (SELECT *, {_issues()} AS validation_issues, (case_review OR date_review OR party_review OR advocate_review) AS has_issues FROM checked), "
     f"scored AS (SELECT *, len(validation_issues) = 0 AS validation_passed, greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_reduce(list_concat([{WEIGHTED}], list_transform(validation_issues, lambda m: {FACTOR})), lambda a, x: a * x))) AS overall_confidence FROM issued), "
-    f"levelled AS (SELECT *, {LEVEL} AS confidence_level, has_issues OR overall_confidence < 0.70 AS needs_review FROM scored)"
+    f"levelled AS MATERIALIZED (SELECT *, {LEVEL} AS confidence_level, has_issues OR overall_confidence < 0.70 AS needs_review FROM scored)"
 )
 RECORDS = (
     f"{SCORED}, firsts AS (SELECT case_number AS k, min(record_id) AS first_id FROM levelled WHERE case_number <> '' GROUP BY 1), "
