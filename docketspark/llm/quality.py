@@ -10,9 +10,10 @@ estimated as the share of positives among the labelled training rows where both
 from the lowest ratio of unlabelled to positive mass among the bins of the features (a bin that has few negatives
 shows the prior).
 
-Training takes a bounded sample: documents are drawn by a hash of their id at a rate that gives ``max_train`` of them
-(60,000 by default, about 20 MB of features on the driver); everything else is distributed. Scores depend on the text
-alone. Null and empty texts score like any text without words. With no positive label there is nothing to learn: the
+Training takes two bounded samples, drawn by a hash of the id: about ``max_labels`` of the labelled rows (30,000 by
+default), however rare labels are among the documents, and about ``max_train`` of the documents (60,000) as unlabelled
+text; at most two rows an id and in all about 20 MB of features on the driver. Everything else is distributed. Scores
+depend on the text alone. Null and empty texts score like any text without words. With no positive label there is nothing to learn: the
 score is 1.0 and nothing is rejected. Rows sharing an id are scored one by one; if labels disagree on an id, the
 lower label counts; a null id is never a label. An empty table gives an empty result.
 """
@@ -24,12 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import Words, slices
 
-MAX_TRAIN = 60_000
+MAX_TRAIN, MAX_LABELS = 60_000, 30_000
 BINS = 8
 
 _CLASS = np.zeros(256, np.int64)
@@ -137,32 +138,40 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None =
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, end, data, offsets in slices(batch.column(1)):
+        for row, end, data, offsets in slices(batch.column(2)):
             x = text_features(data, offsets)
             flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
-            yield pa.record_batch([batch.column(0).slice(row, end - row), flat], names=["doc", "x"])
+            yield pa.record_batch([*(batch.column(c).slice(row, end - row) for c in (0, 1)), flat], names=["doc", "kind", "x"])
 
 
-def held_out(id_col: str = "doc_id"):
+def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_train: int = MAX_TRAIN) -> Model | None:
+def _drawn(rows: int, of: int, *by: str) -> Column:
+    """About ``rows`` of ``of`` rows by a hash of the columns, all of them where there are no more."""
+    return F.pmod(F.xxhash64(*by, F.lit(7)), F.lit(1 << 40)) < int(min(1.0, rows / max(of, 1)) * (1 << 40))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_train: int = MAX_TRAIN, max_labels: int = MAX_LABELS) -> Model | None:
     """A model from labels outside the held-out fold; None without positives."""
     known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("doc")).agg(F.min("quality").alias("quality"))
-    n = docs.count()
-    part = min(1.0, max_train / max(n, 1))
-    drawn = docs.where(~held_out(id_col) & (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 20)) < int(part * (1 << 20))))
-    drawn = drawn.select(F.col(id_col).cast("long").alias("doc"), "text").mapInArrow(_features, "doc long, x array<double>")
-    table = drawn.join(known, "doc", "left").select("x", F.coalesce(F.col("quality"), F.lit(-1)).cast("int").alias("quality")).toArrow()
+    known = known.where(_drawn(max_labels, known.count(), "doc"))  # so few that they are broadcast
+    texts = docs.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("doc"), "text")
+    texts = texts.join(F.broadcast(known), "doc", "left").withColumn("u", _drawn(max_train, docs.count(), "doc", "text"))
+    kind = (F.coalesce(F.col("quality").cast("int"), F.lit(-1)) * 2 + F.col("u").cast("int")).cast("int").alias("kind")
+    found = texts.where(F.col("u") | F.col("quality").isNotNull()).select("doc", kind, "text").mapInArrow(_features, "doc long, kind int, x array<double>")
+    table = found.groupBy("doc", "kind").agg(F.min("x").alias("x")).drop("doc").toArrow()  # one row an id, however often it is repeated
     if not table.num_rows:
         return None
-    x = np.stack(table["x"].to_numpy()).astype(float)
-    quality = table["quality"].to_numpy()
+    x, kind = np.stack(table["x"].to_numpy()).astype(float), table["kind"].to_numpy()
+    order = np.lexsort((kind, *x.T))  # sums do not depend on the order of arrival
+    x, kind = x[order], kind[order]
+    quality, unlabelled = kind // 2, kind % 2 == 1
     if not (quality == 1).any():
         return None
     prior = (quality == 1).sum() / (quality >= 0).sum() if (quality == 0).any() else None
-    return fit_nnpu(x[quality == 1], x, prior)
+    return fit_nnpu(x[quality == 1], x[unlabelled] if unlabelled.any() else x, prior)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataFrame:
@@ -181,14 +190,14 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataF
     return docs.select(names).mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.7, max_train: int = MAX_TRAIN) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.7, max_train: int = MAX_TRAIN, max_labels: int = MAX_LABELS) -> DataFrame:
     """id, held_out, score, predicted of each row of docs."""
-    model = train(docs, labels, id_col, max_train)
+    model = train(docs, labels, id_col, max_train, max_labels)
     scored = score(docs.select(id_col, "text"), model, id_col)
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.7, max_train: int = MAX_TRAIN) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.7, max_train: int = MAX_TRAIN, max_labels: int = MAX_LABELS) -> DataFrame:
     """The rows of docs that the classifier does not reject."""
     columns = docs.columns
-    return score(docs, train(docs, labels, id_col, max_train), id_col).where(F.col("score") >= threshold).select(columns)
+    return score(docs, train(docs, labels, id_col, max_train, max_labels), id_col).where(F.col("score") >= threshold).select(columns)
