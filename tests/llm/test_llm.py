@@ -221,6 +221,11 @@ def test_quality(spark):
     assert [r.score for r in nothing] == [1.0]
     only = quality.classify(df, labels.where("quality = 1")).collect()
     assert np.mean([r.predicted == int(r.doc_id % 5 != 0) for r in only if r.doc_id < 600]) > 0.8
+    # few labels among many documents, an id with very many copies: labels are drawn on their own, ids count once
+    rare = frame(spark, rows + [(0, rows[0][1])] * 300)
+    model = quality.train(rare, labels.where("doc_id < 150"), max_train=200)
+    scored = quality.score(rare, model).where("doc_id >= 150 and doc_id < 600").collect()
+    assert np.mean([(r.score >= 0.5) == (r.doc_id % 5 != 0) for r in scored]) > 0.95
 
 
 def test_decontamination(spark, docs):
