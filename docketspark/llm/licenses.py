@@ -5,18 +5,24 @@ such runs selects its smallest hash, in templates and documents alike: a shared
 always shares a selected fingerprint. The index from fingerprint to (template, place) is built from the templates,
 a table given by the caller that must be small enough for one machine; its size is checked against ``max_index``.
 
-Hits of a document that suggest about the same start of a template are taken together, and the words there are
-aligned with the template within a band around that diagonal (matches count 1, mismatches and gaps -1, ends free).
-A match is reported with the share of the template's words it covers (coverage), the span of words and its text.
+Templates are cut into paragraphs. Hits of a document that suggest about the same start of a paragraph are taken
+together, and the words there are aligned with it within a band around that diagonal (matches count 1, mismatches and
+gaps -1, ends free). Paragraphs that follow each other as in the template are one match, reported if one of them is
+covered to ``coverage``, with the share of the whole template's words that match (coverage), the span of words and its
+text. So one paragraph of a license is found, and has the small share it is. A template of fewer than EXACT words is a
+notice, of which one word is the name or version, and must match whole.
 
 Null and empty texts and templates match nothing. Repeated rows are scanned each. Of overlapping matches of one
-template the one with most matched words, then the earliest, is reported; different templates are independent.
+license the one with most matched words, then the earliest, is reported. Different licenses are independent, but
+for paragraphs inside a longer match of another license: they belong to that one.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -27,37 +33,124 @@ from .text import Words, slices, span_hashes
 GRAM, WINDOW, BAND, COVERAGE = 3, 2, 4, 0.8
 MAX_INDEX = 2_000_000
 
-#: fixed values: public license notices
+#: a paragraph of fewer words is joined to its neighbour; a text of fewer than EXACT words must match whole
+PART, EXACT, SLACK = 20, 16, 40
+
+_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+    "to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met:\n\n"
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+    "disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+)
+_BSD_NAME = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission.\n\n"
+)
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU = (
+    "This {what} is free software{sep} you can redistribute it and/or modify it under the terms of the GNU {name} as published "
+    "by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.\n\n"
+    "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+)
+
+#: fixed values: public license texts; those in license_texts/ are whole files, added by ``template_table``
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
-        "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
-        "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+        _GRANT + "\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+        'the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL "
+        "THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
+        "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n"
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL '
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
+        "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+        "THIS SOFTWARE."
     ),
-    "Apache-2.0": (
+    "BSD-2-Clause": _BSD + _BSD_DISCLAIMER,
+    "BSD-3-Clause": _BSD + _BSD_NAME + _BSD_DISCLAIMER,
+    "Apache-2.0-header": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
-        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
+        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0\n\nUnless "
         "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
         '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the '
         "specific language governing permissions and limitations under the License."
     ),
-    "BSD": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
-        "conditions and the following disclaimer."
+    "GPL-2.0-header": _GNU.format(what="program", sep=";", name="General Public License", version="2"),
+    "GPL-3.0-header": _GNU.format(what="program", sep=":", name="General Public License", version="3"),
+    "LGPL-2.1-header": _GNU.format(what="library", sep=";", name="Lesser General Public License", version="2.1"),
+    "LGPL-3.0-header": _GNU.format(what="library", sep=":", name="Lesser General Public License", version="3"),
+    "AGPL-3.0-header": _GNU.format(what="program", sep=":", name="Affero General Public License", version="3"),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
 }
 
+#: the names a notice gives a license
+NAMES = {
+    "MIT": ("MIT License", "MIT/X11 License"),
+    "ISC": ("ISC License",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"),
+    "BSD": ("BSD License",),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0"),
+    **{f"{short}-{v}": tuple(f"GNU {name}{x}" for x in (f", version {v.removesuffix('.0')}", f" v{v.removesuffix('.0')}", f", version {v}", f" v{v}")) for short, name, versions in (("GPL", "General Public License", ("2.0", "3.0")), ("LGPL", "Lesser General Public License", ("2.1", "3.0")), ("AGPL", "Affero General Public License", ("3.0",))) for v in versions},
+    "BSL-1.0": ("Boost Software License, Version 1.0",),
+    "CC0-1.0": ("CC0 1.0 Universal", "CC0 1.0", "Creative Commons Zero v1.0 Universal"),
+    **{f"CC-{part}-{v}": (f"CC {part} {v}", f"CC-{part}-{v}", f"Creative Commons {name} {v} International License" if v == "4.0" else f"Creative Commons {name} {v} Unported License", f"Creative Commons {name} {v} License") for v in ("3.0", "4.0") for part, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))},
+    "Unlicense": ("Unlicense",),
+}
+_PHRASES = ("under the {}", "under {}", "under a {}", "under the terms of the {}", "under the terms of {}", "subject to the {}", "subject to the terms of the {}")
+_SPDX = ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "BSL-1.0", "CC0-1.0", "Unlicense", *(f"{x}{y}" for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for y in ("", "-only", "-or-later")), *(n for n in NAMES if n.startswith("CC-")))
+
+
+def template_table() -> list[tuple[str, str]]:
+    """(license, text): TEMPLATES, the whole texts of license_texts/, and notices that name a license."""
+    folder = resources.files(__package__) / "license_texts"
+    whole = sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in folder.iterdir() if f.name.endswith(".txt"))
+    notices = [(f"{license}-notice", phrase.format(name)) for license, names in NAMES.items() for name in names for phrase in _PHRASES]
+    tags = [(f"{tag}-notice", f"SPDX-License-Identifier: {tag}") for tag in _SPDX]
+    return [*TEMPLATES.items(), *whole, *notices, *tags]
+
+
+def parts_of(text: str) -> list[str]:
+    """The paragraphs of a text, those of fewer than PART words joined to the next (the last to the one before)."""
+    parts, held = [], ""
+    for paragraph in re.split(r"\n\s*\n|\f", text or ""):
+        held = f"{held} {paragraph}" if held else paragraph
+        if len(re.findall(r"[^\W_]+", held)) >= PART:
+            parts.append(held)
+            held = ""
+    if held and parts:
+        parts[-1] += " " + held
+    return parts or [text or ""]
+
 
 class Prints:
     """Word hashes of consecutive documents and the places of their selected runs."""
@@ -115,45 +208,91 @@ def align(doc: np.ndarray, template: np.ndarray, band: int) -> tuple[int, int, i
     return best[1], -best[2], best[3]
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW, band: int = BAND, coverage: float = COVERAGE, max_index: int = MAX_INDEX) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | Iterable[tuple[str, str]] | None = None, id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW, band: int = BAND, coverage: float = COVERAGE, max_index: int = MAX_INDEX) -> DataFrame:
     """(id, license, coverage, start, end, matched_text): the words start..end of a document that match a license."""
-    named = sorted((TEMPLATES if templates is None else templates).items())
-    index, bodies = defaultdict(list), []
+    rows = template_table() if templates is None else templates.items() if isinstance(templates, dict) else templates
+    named = sorted(dict.fromkeys((n, t or "") for n, t in rows))
+    index, bodies, owner, begin = defaultdict(list), [], [], []
+    sizes = [0] * len(named)
     for t, (_, text) in enumerate(named):
-        prints = _text_prints(text, gram, window)
-        bodies.append(prints.hashes)
-        for h, at in zip(prints.runs.tolist(), prints.at.tolist(), strict=True):
-            index[h].append((t, at))
+        for part in parts_of(text):
+            prints = _text_prints(part, gram, window)
+            for h, at in zip(prints.runs.tolist(), prints.at.tolist(), strict=True):
+                index[h].append((len(bodies), at))
+            bodies.append(prints.hashes)
+            owner.append(t)
+            begin.append(sizes[t])
+            sizes[t] += len(prints.hashes)
     if sum(map(len, index.values())) > max_index:
         raise ValueError(f"templates have more than {max_index} fingerprints")
-    shared = docs.sparkSession.sparkContext.broadcast((dict(index), bodies, [n for n, _ in named], np.array(sorted(index), np.uint64)))
+    shared = docs.sparkSession.sparkContext.broadcast((dict(index), bodies, [np.unique(b) for b in bodies], owner, begin, sizes, [n for n, _ in named], np.array(sorted(index), np.uint64)))
 
-    def matches(doc: np.ndarray, hits: list[tuple[int, int]], index: dict, bodies: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
-        """(template, matched, start, end), hits being (place, fingerprint) of one document."""
+    def place(doc: np.ndarray, hits: list[tuple[int, int]], index: dict, bodies: list[np.ndarray], vocabulary: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(part, matched, start, end) of parts of which half or more matches, hits being (place, fingerprint) of one document."""
         offsets = defaultdict(set)
-        for place, h in hits:
-            for t, at in index[h]:
-                offsets[t].add(place - at)
-        for t, starts in offsets.items():
-            body, found, last = bodies[t], [], None
+        for at, h in hits:
+            for p, begins in index[h]:
+                offsets[p].add(at - begins)
+        for p, starts in offsets.items():
+            body, found, last = bodies[p], [], None
+            n = len(body)
+            least = n if n < EXACT else n / 2
             for start in sorted(starts):
-                if last is not None and start - last <= band:
+                if start >= 0 and np.array_equal(doc[start : start + n], body):
+                    found.append((n, start, start + n))
+                    last = start
+                    continue
+                if n < EXACT or last is not None and start - last <= band:
                     continue
                 last = start
                 lo = start - band
-                pad = max(0, -lo)
-                piece = np.concatenate([np.zeros(pad, np.uint64), doc[max(0, lo) : start + len(body) + band]])
-                m, b, e = align(piece, body, band)
-                if m >= coverage * len(body):
+                inside = doc[max(0, lo) : start + n + band]
+                # no more words can match than stand in the piece at all
+                slot = np.minimum(np.searchsorted(vocabulary[p], inside), len(vocabulary[p]) - 1)
+                if np.count_nonzero(vocabulary[p][slot] == inside) < least:
+                    continue
+                m, b, e = align(np.concatenate([np.zeros(max(0, -lo), np.uint64), inside]), body, band)
+                if m >= least:
                     found.append((m, lo + b, lo + e))
             taken = []
             for m, b, e in sorted(found, key=lambda x: (-x[0], x[1])):
                 if all(e <= b2 or b >= e2 for _, b2, e2 in taken):
                     taken.append((m, b, e))
-            yield from ((t, m, b, e) for m, b, e in taken)
+            yield from ((p, m, b, e) for m, b, e in taken)
+
+    def matches(doc: np.ndarray, hits: list[tuple[int, int]], index: dict, bodies: list[np.ndarray], vocabulary: list[np.ndarray], owner: list[int], begin: list[int], sizes: list[int], names: list[str]) -> Iterator[tuple[str, float, int, int]]:
+        """(license, coverage, start, end): parts of one text that follow each other as in the text are one match."""
+        by_text, chains = defaultdict(list), []
+        for p, m, b, e in place(doc, hits, index, bodies, vocabulary):
+            by_text[owner[p]].append((b, p, m, e))
+        for t, found in by_text.items():
+            kept: list[tuple[int, int, int, int]] = []
+            for b, p, m, e in sorted(found, key=lambda x: (-x[2] / len(bodies[x[1]]), -x[2], x[0])):
+                if all(min(e, x[3]) - max(b, x[0]) <= band for x in kept):
+                    kept.append((b, p, m, e))
+            open_: list[list] = []  # [last part, words matched, start, end, a part at the threshold]
+            for b, p, m, e in sorted(kept):
+                good = m >= coverage * len(bodies[p])
+                # the latest chain that this part continues
+                for c in reversed(open_):
+                    if c[0] < p and -band <= b - c[3] <= begin[p] - begin[c[0]] - len(bodies[c[0]]) + SLACK:
+                        c[0], c[1], c[3], c[4] = p, c[1] + m, e, c[4] or good
+                        break
+                else:
+                    open_.append([p, m, b, e, good])
+            chains += [(names[t], min(c[1], sizes[t]), sizes[t], c[2], c[3]) for c in open_ if c[4]]
+        taken = defaultdict(list)
+        spans = sorted(chains, key=lambda x: (-x[1], x[3], x[2]))
+        for name, m, n, b, e in spans:
+            # paragraphs that several licenses share go to those with the longest match there
+            if m < coverage * n and any(x[1] > m and x[3] <= b and e <= x[4] for x in spans):
+                continue
+            if all(e <= b2 or b >= e2 for b2, e2 in taken[name]):
+                taken[name].append((b, e))
+                yield name, m / n, b, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, bodies, names, known = shared.value
+        index, bodies, vocabulary, owner, begin, sizes, names, known = shared.value
         for batch in batches:
             rows = []
             for row, _, data, offsets in slices(batch.column(1)):
@@ -165,8 +304,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
                     by_doc[int(w.doc[a])].append((int(w.place[a]), h))
                 for d, hits in by_doc.items():
                     first, last = int(w.first[d]), int(w.first[d + 1])
-                    for t, m, b, e in matches(p.hashes[first:last], hits, index, bodies):
-                        rows.append((row + d, names[t], m / len(bodies[t]), b, e, bytes(data[w.starts[first + b] : w.ends[first + e - 1]]).decode(errors="replace")))
+                    for name, share, b, e in matches(p.hashes[first:last], hits, index, bodies, vocabulary, owner, begin, sizes, names):
+                        rows.append((row + d, name, share, b, e, bytes(data[w.starts[first + b] : w.ends[first + e - 1]]).decode(errors="replace")))
             if rows:
                 at, lic, cov, b, e, text = zip(*rows, strict=True)
                 yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(lic), pa.array(cov), pa.array(b, pa.int64()), pa.array(e, pa.int64()), pa.array(text)], names=[id_col, "license", "coverage", "start", "end", "matched_text"])

@@ -301,6 +301,26 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_licenses_whole_parts_and_other_words(spark):
+    texts = dict(licenses.template_table())
+    gpl, parts = texts["GPL-3.0"], licenses.parts_of(licenses.TEMPLATES["MIT"])
+    rows = [
+        (1, gpl), (2, texts["GPL-2.0"]), (3, "a b c " + parts[-1] + " d"), (4, licenses.TEMPLATES["BSD-3-Clause"]), (5, texts["LGPL-2.1"]), (6, texts["MPL-2.0"]),
+        (7, texts["Unlicense"]), (8, texts["CC0-1.0"]), (9, licenses.TEMPLATES["AGPL-3.0-header"]), (10, "It is licensed under the MIT license, see there"),
+        (11, "available under a Creative Commons Attribution-ShareAlike 4.0 International License"), (12, "released under CC BY 4.0 today"), (13, "Released under the Foo License"),
+        (14, "This work is licensed under the GNU General Public License, version 2."), (15, parts[0]), (16, "// SPDX-License-Identifier: GPL-2.0-or-later"), (17, licenses.parts_of(gpl)[40]),
+    ]
+    got: dict = {}
+    for r in licenses.scan(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.coverage
+    for i, name in ((1, "GPL-3.0"), (2, "GPL-2.0"), (4, "BSD-3-Clause"), (5, "LGPL-2.1"), (6, "MPL-2.0"), (7, "Unlicense"), (8, "CC0-1.0"), (9, "AGPL-3.0-header"), (10, "MIT-notice"), (11, "CC-BY-SA-4.0-notice"), (12, "CC-BY-4.0-notice"), (14, "GPL-2.0-notice"), (16, "GPL-2.0-or-later-notice")):
+        assert got[i][name] > 0.99, (i, got[i])
+    size = lambda t: len(re.findall(r"[A-Za-z0-9]+", t))
+    for i, part in ((3, parts[-1]), (15, parts[0])):
+        assert abs(got[i]["MIT"] - size(part) / size(licenses.TEMPLATES["MIT"])) < 1e-9 and set(got[i]) == {"MIT"}
+    assert 13 not in got and "GPL-3.0-notice" not in got[14] and 0 < got[17]["GPL-3.0"] < 0.1
+
+
 def test_secrets(spark):
     rng = random.Random(12)
     token = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
