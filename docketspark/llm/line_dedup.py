@@ -4,7 +4,8 @@ Lines are compared by their words; blank lines take no part and stay where they
 consecutive lines of a document selects its smallest line hash (the leftmost of equals) as fingerprint, so two documents
 that share a run of ``window`` lines or more share a selected fingerprint: no such run is missed. A line is
 removed when it belongs to a run of at least ``window`` lines that also starts earlier (smaller id, or the same document
-and an earlier line).
+and an earlier line), or when it has ``long`` words or more and stands earlier by itself: a line of that many words is
+its own window, so that passages in one line and documents of one line are found, while short stock lines need a run.
 
 1. Fingerprints are counted by a combined aggregation; windows whose fingerprint occurs at one place only end here.
 2. The positions of a repeated fingerprint are joined by the window that selected it to the earliest such position,
@@ -24,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, cut, slices, span_hashes
+from .text import Words, cut, mix, slices, span_hashes
 
 WINDOW = 2
-NULL_ID = -(1 << 63)
+#: words of a line that needs no neighbour to be a repeated passage
+LONG = 20
+NULL_ID, ALONE = -(1 << 63), 31
 #: matched windows whose table may be broadcast: about 16 bytes each, and 40 for each document
 BROADCAST_MATCHES, BROADCAST_DOCS = 1_000_000, 400_000
 
@@ -57,38 +60,43 @@ def winnow(hashes: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return best
 
 
-def _windows(window: int):
+def _windows(window: int, long: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for row, _, data, offsets in slices(batch.column(1)):
                 w = Words(data, offsets)
                 lines = Lines(w)
+                one, two = (span_hashes(w.hashes(x), lines.begin, lines.end, x) for x in (0, 1))
                 at = np.flatnonzero(lines.place + window <= lines.counts[lines.doc])
-                if not len(at):
+                alone = np.flatnonzero(lines.end - lines.begin >= long) if window > 1 else at[:0]
+                if not len(at) and not len(alone):
                     continue
-                one, two = (span_hashes(w.hashes(x), lines.begin, lines.end, x) for x in (0, 1))
                 chosen = winnow(one, at, window)
-                new = np.ones(len(at), bool)
-                new[1:] = chosen[1:] != chosen[:-1]
-                h1, h2 = (span_hashes(x, at, at + window, k) for k, x in enumerate((one, two)))
-                yield pa.record_batch([pa.array(one[chosen].view(np.int64)), pa.array(new), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[row + lines.doc[at]]), pa.array(lines.place[at].astype(np.int32))], names=["fingerprint", "selected", "h1", "h2", "doc", "lo"])
+                new = np.ones(len(at) + len(alone), bool)
+                new[1 : len(at)] = chosen[1:] != chosen[:-1]
+                # a line by itself has a fingerprint of its own kind, so that it meets no window of several lines
+                prints = np.concatenate([one[chosen], mix(one[alone], ALONE)])
+                h1, h2 = (np.concatenate([span_hashes(x, at, at + window, k), span_hashes(x, alone, alone + 1, k)]) for k, x in enumerate((one, two)))
+                size = np.repeat(np.array([window, 1], np.int32), [len(at), len(alone)])
+                at = np.concatenate([at, alone])
+                yield pa.record_batch([pa.array(prints.view(np.int64)), pa.array(new), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[row + lines.doc[at]]), pa.array(lines.place[at].astype(np.int32)), pa.array(size)], names=["fingerprint", "selected", "h1", "h2", "doc", "lo", "size"])
 
     return run
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """(doc, starts): the first lines (numbered among lines with words) of the windows that also start earlier."""
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", window: int = WINDOW, long: int = LONG) -> DataFrame:
+    """(doc, starts): first line (numbered among lines with words) and number of lines of the windows that also start earlier."""
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), "text")
-    found = cut(keyed.mapInArrow(_windows(window), "fingerprint long, selected boolean, h1 long, h2 long, doc long, lo int"))
+    found = cut(keyed.mapInArrow(_windows(window, long), "fingerprint long, selected boolean, h1 long, h2 long, doc long, lo int, size int"))
     repeated = found.where("selected").groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
     shared = found.drop("selected").join(repeated, "fingerprint").drop("fingerprint")
     first = shared.groupBy("h1", "h2").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     matched = shared.join(first, ["h1", "h2"]).where(F.struct("doc", "lo") != F.col("first"))
-    return matched.groupBy("doc").agg(F.collect_list("lo").alias("starts"))
+    return matched.groupBy("doc").agg(F.collect_list(F.struct("lo", "size")).alias("starts"))
 
 
-def _rebuild(window: int):
+def _rebuild():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, at = None, 0
         for batch in batches:
@@ -105,10 +113,11 @@ def _rebuild(window: int):
                         removed.append(0)
                         continue
                     edge = np.zeros(counts[k] + 1, np.int64)
-                    lo = gone.to_numpy()
-                    lo = lo[lo < counts[k]]
+                    lo, size = gone.field("lo").to_numpy(), gone.field("size").to_numpy()
+                    inside = lo < counts[k]
+                    lo, size = lo[inside], size[inside]
                     np.add.at(edge, lo, 1)
-                    np.add.at(edge, np.minimum(lo + window, counts[k]), -1)
+                    np.add.at(edge, np.minimum(lo + size, counts[k]), -1)
                     hit = np.cumsum(edge[:-1]) > 0
                     drop = set(lines.number[first[k] : first[k + 1]][hit].tolist())
                     texts[k] = "\n".join(line for i, line in enumerate(texts[k].split("\n")) if i not in drop)
@@ -119,16 +128,16 @@ def _rebuild(window: int):
     return run
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", window: int = WINDOW, long: int = LONG) -> DataFrame:
     """docs with the repeated lines taken out of text, and n_lines (lines with words) and n_removed."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_doc", "_starts")]
-    gone = cut(repeated_lines(docs, id_col, window)).withColumnsRenamed({"doc": "_doc", "starts": "_starts"})
+    gone = cut(repeated_lines(docs, id_col, window, long)).withColumnsRenamed({"doc": "_doc", "starts": "_starts"})
     n, total = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_starts")), F.lit(0))).first()
     if n <= BROADCAST_DOCS and total <= BROADCAST_MATCHES:
         gone = F.broadcast(gone)
     keyed = docs.select(*names).withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
     schema = docs.select(*names).schema.add("n_lines", "long").add("n_removed", "long")
-    return keyed.join(gone, "_doc", "left").select(*names, "_starts").mapInArrow(_rebuild(window), schema)
+    return keyed.join(gone, "_doc", "left").select(*names, "_starts").mapInArrow(_rebuild(), schema)
 
 
 def digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -136,9 +145,9 @@ def digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return df.select(id_col, "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", window: int = WINDOW, long: int = LONG) -> DataFrame:
     """docs after line dedup: texts shortened, n_chars (where there is one) following them, and rows emptied by it gone."""
-    out = remove_repeated_lines(docs, id_col, window).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    out = remove_repeated_lines(docs, id_col, window, long).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(kind))

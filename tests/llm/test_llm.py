@@ -146,6 +146,14 @@ def test_lines_removed_as_by_brute_force(spark, docs, window):
         assert got[i] == (len(solid), len(gone), want), i
 
 
+def test_long_single_lines_need_no_neighbour(spark):
+    long, short = " ".join(f"w{i}" for i in range(line_dedup.LONG)), " ".join(f"w{i}" for i in range(line_dedup.LONG - 1))
+    rows = [(1, long), (2, long), (3, f"a\n{long}\nb"), (4, short), (5, short), (6, f"c\n{short}\nd"), (7, f"{long} more"), (8, f"e\nf\n\n{long}"), (9, "e\nf")]
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.remove_repeated_lines(frame(spark, rows)).collect()}
+    assert got == {1: (0, long), 2: (1, ""), 3: (1, "a\nb"), 4: (0, short), 5: (0, short), 6: (0, rows[5][1]), 7: (0, rows[6][1]), 8: (1, "e\nf\n"), 9: (2, "")}
+    assert {r.doc_id for r in line_dedup.drop_repeated_lines(frame(spark, rows)).collect()} == {1, 3, 4, 5, 6, 7, 8}
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 50, 80).astype(np.uint64), rng.integers(0, 50, 80).astype(np.uint64)
