@@ -9,9 +9,10 @@ its windows, as long as the item, has a weighted Jaccard similarity (shared weig
    places where a shingle of the item stands in a document, aligned by the shingle's place in the item. The
    benchmark's shingles are broadcast after a check of their number, and joined by shuffle beyond it.
 2. SimHash. Each window and item gets the 64 signs of its weighted shingle votes.
-3. Multi-index search. Signatures are cut into 8 blocks of 8 bits; within Hamming distance 15 two signatures differ by
-   at most one bit in some block. Items are listed under each block value and its 8 one-bit neighbours; an
-   equi-join on (block, value) so finds every item within ``radius`` of a window.
+3. Multi-index search. Signatures are cut into 8 blocks of 8 bits; within Hamming distance 23 two signatures differ by
+   at most two bits in some block. Items are listed under each block value and its 36 neighbours of one or two bits; an
+   equi-join on (number of words, block, value) so finds every item within ``radius`` of a window as long as it. A pair
+   that meets in several blocks goes on from the first of them only.
 4. Exact similarity of the survivors decides.
 
 Null texts and ids of items, and items with fewer than ``k`` words, match nothing. Repeated items and documents are
@@ -20,11 +21,16 @@ compared once each by (id, text). A null document id is reported as null. Empty
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-K, THRESHOLD, RADIUS = 5, 0.8, 15
+K, THRESHOLD, RADIUS = 5, 0.8, 23
 BLOCKS, BITS = 8, 8
+#: bits that may differ in a block, and the masks of all such differences
+NEAR = 2
+MASKS = [sum(1 << b for b in bits) for n in range(NEAR + 1) for bits in combinations(range(BITS), n)]
 #: shingles of the benchmark, and block values of its items, that may be broadcast: about 40 bytes each
 BROADCAST_ROWS = 500_000
 
@@ -58,8 +64,8 @@ def _within(df: DataFrame, rows: int) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", k: int = K, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """(id, item id, similarity, start, n_words): the best window of each item that a document leaks."""
-    if not 0 <= radius < 2 * BLOCKS:
-        raise ValueError(f"radius must be below {2 * BLOCKS}: {radius}")
+    if not 0 <= radius < (NEAR + 1) * BLOCKS:
+        raise ValueError(f"radius must be below {(NEAR + 1) * BLOCKS}: {radius}")
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), words().alias("words")).where(F.size("words") >= k).distinct()
     placed = items.select("item", F.size("words").alias("n_words"), "words", F.posexplode("words").alias("p", "w")).where(F.col("p") + k <= F.col("n_words")).select("item", "n_words", F.col("p"), _shingle_at(F.col("p"), k).alias("s"))
     n_placed, n_items = placed.count(), items.count()
@@ -78,11 +84,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_co
 
     signed = items.select("item", "words", F.explode(_shingles(k)).alias("s")).join(_within(counted, n_placed), "s").groupBy("item", "words").agg(F.array_sort(F.collect_list(F.struct("s", weight.alias("w")))).alias("iws"))
     signed = signed.withColumn("item_signature", simhash("iws")).select("item", F.size("words").alias("item_words"), "iws", "item_signature", F.explode(_blocks("item_signature")).alias("b"))
-    near = F.concat(F.array(F.col("b.value")), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.col("b.value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    probes = signed.select("item", "item_words", "iws", "item_signature", F.col("b.block").alias("block"), F.explode(near).alias("value"))
+    near = F.transform(F.array(*map(F.lit, MASKS)), lambda m: F.col("b.value").bitwiseXOR(m.cast("long")))
+    probes = signed.select("item", F.col("item_words").alias("n_words"), "iws", "item_signature", F.col("b.block").alias("block"), F.explode(near).alias("value"))
 
     blocks = windows.select("*", F.explode(_blocks("signature")).alias("b")).select("doc", "start", "n_words", "ws", "signature", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
-    pairs = blocks.join(_within(probes, n_items * BLOCKS * (BITS + 1)), ["block", "value"]).where((F.bit_count(F.col("signature").bitwiseXOR(F.col("item_signature"))) <= radius) & (F.col("n_words") == F.col("item_words")))
+    differ = F.col("signature").bitwiseXOR(F.col("item_signature"))
+    meet = lambda b: F.bit_count(F.call_function("shiftrightunsigned", differ, b * BITS).bitwiseAND(F.lit(255))) <= NEAR
+    once = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), meet)) == F.col("block")
+    pairs = blocks.join(_within(probes, n_items * BLOCKS * len(MASKS)), ["n_words", "block", "value"]).where((F.bit_count(differ) <= radius) & once)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["w"])
     common = F.aggregate(F.filter("ws", lambda x: F.array_contains(F.transform("iws", lambda y: y["s"]), x["s"])), F.lit(0.0), lambda a, x: a + x["w"])
     scored = pairs.withColumn("common", common).withColumn("similarity", F.col("common") / (total("ws") + total("iws") - F.col("common")))

@@ -258,6 +258,48 @@ def test_decontamination(spark, docs):
     assert clean.count() == len(corpus()) and decontamination.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def edited_items(items: list[tuple[int, str]], first_id: int, seed: int) -> tuple[list[tuple[int, str]], set[tuple[int, int]]]:
+    """Documents that each hold an item edited to just above 0.8, at its end or within, and the pairs by brute force."""
+    rng, rows, want = random.Random(seed), [], set()
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    count: dict[tuple, int] = {}
+    for _, text in items:
+        for s in shingles(text.split()):
+            count[s] = count.get(s, 0) + 1
+    weigh = lambda x: sum(1 + np.log((len(items) + 1) / (count.get(s, 0) + 1)) for s in x)
+    for item, text in items:
+        for within in (False, True):
+            words = text.split()
+            own, best = shingles(words), None
+            places = [len(words) - 1 - i for i in range(len(words))] if not within else rng.sample(range(len(words)), len(words))
+            for at in places:
+                words[at] = f"edited{rng.randrange(10**6)}"
+                s = shingles(words)
+                if weigh(own & s) / weigh(own | s) < 0.8:
+                    break
+                best = list(words)
+            if best is not None:
+                rows.append((first_id + len(rows), "before it " + " ".join(best) + " after it"))
+                want.add((rows[-1][0], item))
+    return rows, want
+
+
+def test_decontamination_finds_items_edited_to_the_threshold(spark):
+    rng = random.Random(18)
+    items = [(n, " ".join("".join(rng.choice("klmnopq") for _ in range(5)) for _ in range(rng.randint(15, 59)))) for n in range(150)]
+    rows, want = edited_items(items, 5000, 19)
+    got = decontamination.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 150 and {(r.doc_id, r.item_id) for r in got} == want
+
+
+def test_simhash_neighbours_find_all_within_radius():
+    rng = random.Random(20)
+    assert decontamination.RADIUS < (decontamination.NEAR + 1) * decontamination.BLOCKS
+    for _ in range(2000):
+        flip = sum(1 << b for b in rng.sample(range(64), decontamination.RADIUS))
+        assert any(flip >> 8 * b & 255 in decontamination.MASKS for b in range(decontamination.BLOCKS))
+
+
 def test_simhash_search_finds_all_within_radius(spark):
     rng = random.Random(9)
     base = rng.getrandbits(64)
