@@ -1,7 +1,8 @@
 """Exact and similar duplicates of records.
 
-Case numbers that are empty or unreadable are one hot key; they take part in no window and, unless asked for, in no
-pair. Counts combine before the shuffle.
+Case numbers that are empty or unreadable are one hot key; they take part in no window. ``similar_record_groups`` compares
+them like all others, by representatives and in blocks; ``similar_records`` lists plain pairs, of these only if asked for.
+Counts combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import token_set_ratio
+from ..functions.similarity import token_set_ratio, token_set_ratio_of
 from ..functions.text import is_empty
 
 #: longest value whose shortened forms are compared; longer ones are compared by segments
 SHORT = 15
+#: representatives of a case number that one task compares with as many others
+BLOCK = 512
 
 
 def duplicate_case_numbers(records: DataFrame) -> DataFrame:
@@ -71,6 +74,47 @@ def similar_records(records: DataFrame, threshold: float = 0.9, skip_empty: bool
     return pairs.withColumn("similarity", 0.7 + 0.3 * (token_set_ratio(F.col("party1"), F.col("party2")) / 100.0)).where(F.col("similarity") >= threshold).select("id1", "id2", "similarity")
 
 
+def similar_record_groups(records: DataFrame, threshold: float = 0.9, block: int = BLOCK, id_col: str = "record_id") -> DataFrame:
+    """(kind, id1, id2, similarity): all similar records of equal case numbers, empty ones included, by representatives.
+
+    Records of equal case number and party name are a group, its smallest id stands for it. ``member`` rows name the
+    representative and each other record of its group, where these are similar to each other; ``link`` rows name two
+    representatives, id1 < id2, whose records are all similar across. A case number's representatives are dealt into
+    blocks of about ``block``, and each pair of blocks is compared by itself, so a hot key is the work of many tasks.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        low, high, ids, parties = (table.column(c).to_pylist() for c in ("is_low", "is_high", "id", "party"))
+        one, two, score = [], [], []
+        right = [k for k in range(len(ids)) if high[k]]
+        for a in (k for k in range(len(ids)) if low[k]):
+            for b in right:
+                if low[b] and high[a] and ids[a] >= ids[b]:
+                    continue  # both of one block: each pair once
+                similarity = 0.7 + 0.3 * (token_set_ratio_of.__wrapped__(parties[a], parties[b]) / 100.0)
+                if similarity >= threshold:
+                    one.append(min(ids[a], ids[b]))
+                    two.append(max(ids[a], ids[b]))
+                    score.append(similarity)
+        return pa.table([pa.array(one, id_type), pa.array(two, id_type), pa.array(score, pa.float64())], names=["id1", "id2", "similarity"])
+
+    rows = records.select(F.coalesce("case_number", F.lit("")).alias("case"), F.coalesce("party_name", F.lit("")).alias("party"), F.col(id_col).cast("long").alias("id"))
+    id_type = pa.int64()
+    groups = rows.groupBy("case", "party").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    repeated = groups.where("n > 1").withColumn("similarity", 0.7 + 0.3 * (token_set_ratio(F.col("party"), F.col("party")) / 100.0)).where(F.col("similarity") >= threshold).drop("n")
+    members = rows.join(repeated, ["case", "party"]).where("id > first").select(F.lit("member").alias("kind"), F.col("first").alias("id1"), F.col("id").alias("id2"), "similarity")
+
+    sizes = groups.groupBy("case").agg(F.count("*").alias("size")).where("size > 1").select("case", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    dealt = groups.join(sizes, "case").select("case", "party", F.col("first").alias("id"), "blocks", F.pmod(F.xxhash64("party"), F.col("blocks")).cast("int").alias("own"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    pairs = other.select("case", low, high, "id", "party", "own").select("case", "low", "high", "id", "party", (F.col("own") == F.col("low")).alias("is_low"), (F.col("own") == F.col("high")).alias("is_high"))
+    # few bytes and much work: a stated number of tasks is not joined to fewer
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = pairs.repartition(tasks, "case", "low", "high").groupBy("case", "low", "high").applyInArrow(compare, "id1 long, id2 long, similarity double")
+    return links.select(F.lit("link").alias("kind"), "id1", "id2", "similarity").unionByName(members)
+
+
 def _allowed(total: int, threshold: float) -> int:
     """The most insertions and deletions of two texts of this length together at which they are still similar."""
     return floor((1 - threshold) * total + 1e-9)
@@ -138,8 +182,8 @@ def similar_case_numbers(records: DataFrame, threshold: float = 0.85) -> DataFra
 
 
 def duplicate_candidates(records: DataFrame, record_threshold: float = 0.9, number_threshold: float = 0.85) -> DataFrame:
-    """(kind, first, second, score): exact case numbers with their count, similar records and similar numbers."""
+    """(kind, first, second, score): exact case numbers with their count, similar records (links and members) and similar numbers."""
     exact = duplicate_case_numbers(records).select(F.lit("exact").alias("kind"), F.col("case_number").alias("first"), F.col("case_number").alias("second"), F.col("count").cast("double").alias("score"))
-    alike = similar_records(records, record_threshold).select(F.lit("record").alias("kind"), F.col("id1").cast("string").alias("first"), F.col("id2").cast("string").alias("second"), F.col("similarity").alias("score"))
+    alike = similar_record_groups(records, record_threshold).select(F.when(F.col("kind") == "link", "record").otherwise("member").alias("kind"), F.col("id1").cast("string").alias("first"), F.col("id2").cast("string").alias("second"), F.col("similarity").alias("score"))
     numbers = similar_case_numbers(records, number_threshold).select(F.lit("number").alias("kind"), F.col("case1").alias("first"), F.col("case2").alias("second"), F.col("similarity").alias("score"))
     return exact.unionByName(alike).unionByName(numbers)

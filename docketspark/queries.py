@@ -258,7 +258,7 @@ def j1_merge_ocr(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("d0_token_set_ratio", lambda df: df.select("record_id", token_set_ratio(F.col("raw_party_name"), F.col("party_name")).alias("ratio")), cleaned)
-_add("j2_similar_records", dedupe.similar_records, cleaned)
+_add("j2_similar_records", dedupe.similar_record_groups, cleaned)
 _add("j3_similar_case_numbers", dedupe.similar_case_numbers, cleaned)
 
 

@@ -112,6 +112,32 @@ def test_similar_records(spark):
     assert sorted(tuple(r)[:2] for r in dedupe.similar_records(df, skip_empty=False).collect()) == [(0, 1), (4, 5)]
 
 
+@pytest.mark.parametrize(("threshold", "block"), [(0.9, 4), (0.9, 512), (0.6, 3)])
+def test_similar_record_groups_expand_to_all_pairs(spark, threshold, block):
+    rng = random.Random(3)
+    parties = [None, "", "-", "  ", *(" ".join(rng.choice(["ab", "abc", "xyz", "vs", "nation", "q", "zz"]) for _ in range(rng.randint(1, 4))) for _ in range(25))]
+    rows = [(i * 2, rng.choice([None, "", "-", "", "SC/1/2001", "SC/2/2001"]), rng.choice(parties)) for i in range(160)]
+    df = spark.createDataFrame(rows, "record_id long, case_number string, party_name string").repartition(3)
+    want = {(a, b): 0.7 + 0.3 * token_set_ratio_of(p or "", q or "") / 100 for n, (a, c, p) in enumerate(rows) for b, d, q in rows[n + 1 :] if (c or "") == (d or "")}
+    want = {k: v for k, v in want.items() if v >= threshold}
+    found = dedupe.similar_record_groups(df, threshold, block).collect()
+    group: dict = {}
+    for i, c, p in rows:
+        group.setdefault((c or "", p or ""), []).append(i)
+    of = {x[0]: x for x in group.values()}
+    got = [((r.id1, r.id2), r.similarity) for r in found if r.kind == "member"]
+    got += [((b, a), s) for (r, a), s in list(got) for b in of[r][1 : of[r].index(a)]]
+    got += [(tuple(sorted((a, b))), r.similarity) for r in found if r.kind == "link" for a in of[r.id1] for b in of[r.id2]]
+    assert len(got) == len(dict(got)) and dict(got).keys() == want.keys() and all(abs(s - want[k]) < 1e-12 for k, s in got)
+
+
+def test_similar_records_of_empty_case_numbers(spark):
+    df = spark.createDataFrame([(4, "-", "x y"), (5, "-", "x y"), (6, "-", "y x z"), (7, None, "a"), (8, "", "a")], "record_id long, case_number string, party_name string")
+    kinds = lambda found: sorted((r[0], int(r[1]), int(r[2])) for r in found if r[0] != "exact")
+    assert kinds(dedupe.similar_record_groups(df).collect()) == [("link", 4, 6), ("member", 4, 5), ("member", 7, 8)]
+    assert kinds(dedupe.duplicate_candidates(df).where("kind <> 'number'").collect()) == [("member", 4, 5), ("member", 7, 8), ("record", 4, 6)]
+
+
 def test_orders(spark):
     rows = [(0, "SC/2/2020", "02-01-2020"), (1, "SC/10/2020", "-"), (2, "SC/2/2020", "01-01-2021"), (3, "-", "bad"), (4, "AS/1/2021", "03-01-2019")]
     df = spark.createDataFrame(rows, "record_id long, case_number string, hearing_date string")
