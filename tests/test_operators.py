@@ -1,6 +1,7 @@
 """Operators against small independent models."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,6 +139,29 @@ def test_similar_records_of_empty_case_numbers(spark):
     assert kinds(dedupe.duplicate_candidates(df).where("kind <> 'number'").collect()) == [("member", 4, 5), ("member", 7, 8), ("record", 4, 6)]
 
 
+def multiline_model(lines, kind):
+    kept = [x.strip() for x in lines if x.strip()]
+    text = kept[0] if len(kept) == 1 else re.sub(r"\s+", " ", " ".join(kept)).strip()
+    if not text:
+        return "-"
+    if kind == "text":
+        return text.replace("–", "-").replace("—", "-")
+    text = re.sub(r"\s+", " ", text)
+    for pattern, proper in [("vs", "Vs")] if kind == "party" else [(x, x) for x in ("ADPP", "APP", "ASP", "SP")]:
+        text = re.sub(rf"\b{pattern}\.?\b", proper, text, flags=re.IGNORECASE)
+    return text.strip()
+
+
+def test_multiline_query_reaches_all_types(spark, tmp_path):
+    from docketspark import queries
+
+    texts = ["A\nvs. B", " x  VS.y – z \n\n", "avsb vs\n—vs–", "", " \n\t", "one  line vs it", "Thiru. K\napp.X", "éapp app. é adpp.,\nsp.sp", "asp\u00a0SP.", "app_ app-sp — ASP"]
+    rows = [(i * 3 + k, t) for i, t in enumerate(texts) for k in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.value for r in queries.QUERIES["c11_process_multiline_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: multiline_model(t.split("\n"), ("party", "advocate", "text")[i % 3]) for i, t in rows}
+
+
 def test_orders(spark):
     rows = [(0, "SC/2/2020", "02-01-2020"), (1, "SC/10/2020", "-"), (2, "SC/2/2020", "01-01-2021"), (3, "-", "bad"), (4, "AS/1/2021", "03-01-2019")]
     df = spark.createDataFrame(rows, "record_id long, case_number string, hearing_date string")
