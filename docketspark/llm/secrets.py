@@ -1,6 +1,9 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are runs of 16 or more secret-like signs with at least one digit or mixed case. Each is described by its
+Candidates are (a) values of 4 signs or more, of any but white space and the quotes around them, that a credential's name
+is assigned, (b) passwords of URLs, and (c) other runs of 16 or more secret-like signs with at least one digit or mixed
+case, without the name and its = or : where they lead. Values of (a) without quotes end at , ; and brackets, in a query string
+at &, and need a digit, a sign or mixed case. Where (a) or (b) has a value, (c) has none, but for the whole URL. Each is described by its
 length, the transitions between kinds of characters, its entropy, the share of it that dictionary words cover, whether
 it looks like a path, address or number, and the words beside it. A forest trained from labelled findings gives each
 candidate the probability of being a secret.
@@ -30,7 +33,11 @@ from pyspark.sql import types as T
 MAX_TRAIN, TREES, DEPTH = 20_000, 20, 6
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.@:\-]{16,}")
-_NAME = re.compile(r"(?i)(token|secret|passw|pwd|api_?key|access_?key|private_?key|credential|auth|bearer)")
+_NAME = re.compile(r"(?i)(token|secret|passw|pwd|api_?key|access_?key|private_?key|credential|auth(?!or(?!i[sz]))|bearer)")
+_LEAD = re.compile(r"[A-Za-z][A-Za-z0-9_.\-]*[=:](?!//)(?=[^=:])")
+_ASSIGNED = re.compile(_NAME.pattern + r"""[\w.\-]{0,60}["']?\s{0,8}(?:=>|:=|==?|:(?!//))\s{0,8}(?:(?:bearer|basic)\s+)?(?:"([^"\s]{4,})"|'([^'\s]{4,})'|([^\s"'`<>,;(){}\[\]]{4,}))""")
+_URL_PASSWORD = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]{0,30}://[^\s/:@"'<>]*:([^\s/"'<>]{1,1000})@""")
+_ADDRESS = re.compile(r"://|^[^@\s]+@[\w\-]+(\.[\w\-]+)*\.[A-Za-z]{2,}$")
 _WORDS = re.compile(r"[A-Za-z]{3,}")
 _KINDS = ("digit", "lower", "upper", "sign")
 FEATURES = [
@@ -43,8 +50,51 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-def describe(value: str, before: str, after: str, dictionary: frozenset[str]) -> list[float]:
-    """FEATURES of a candidate between the texts before and after it."""
+def candidates(text: str) -> list[tuple[int, str, bool]]:
+    """(start, value, whether it stands where a credential does) in order, start in code points."""
+    out, taken, urls = [], [], []
+    for m in _URL_PASSWORD.finditer(text):
+        out.append((m.start(1), m[1], True))
+        urls.append(m.span(1))
+    at = 0
+    while m := _ASSIGNED.search(text, at):
+        group = m.lastindex
+        start, value = m.start(group), m[group]
+        at = m.end()
+        if group == 4:
+            name = re.search(r"[\w.\-]*$", text[max(0, m.start() - 80) : m.start()]).start() + max(0, m.start() - 80)
+            if name and text[name - 1] in "?&":
+                value = value.split("&")[0]
+            value = value.rstrip(".:")
+            if len(value) < 4 or not re.search(r"\d|[a-z][A-Z]|[^A-Za-z0-9]", value):
+                at = start  # a name may be the word before another
+                continue
+        if "://" in value:
+            at = start
+            continue
+        out.append((start, value, True))
+        taken.append((start, start + len(value)))
+    i = 0
+    for m in _CANDIDATE.finditer(text):
+        value, start = m[0].rstrip(".:=-"), m.start()
+        while lead := _LEAD.match(value):
+            if len(value) - lead.end() < 16 and not _NAME.search(lead[0]):
+                break
+            start, value = start + lead.end(), value[lead.end() :]
+        while i < len(taken) and taken[i][1] <= start:
+            i += 1
+        inside = i < len(taken) and taken[i][0] < start + len(value)
+        if inside or (start, start + len(value)) in urls or len(value) < 16 or not (re.search(r"\d", value) or re.search(r"[a-z][A-Z]", value)):
+            continue
+        # a piece of a password in a URL is no candidate of its own; the whole URL is
+        if any(a < start + len(value) and start < b and not (start <= a and b <= start + len(value)) for a, b in urls):
+            continue
+        out.append((start, value, False))
+    return sorted(out)
+
+
+def describe(value: str, before: str, after: str, dictionary: frozenset[str], credential: bool = False) -> list[float]:
+    """FEATURES of a candidate between the texts before and after it; credential: a name or a URL makes it one."""
     n = len(value)
     kinds = [_kind(c) for c in value]
     share = [kinds.count(k) / n for k in range(4)]
@@ -60,8 +110,8 @@ def describe(value: str, before: str, after: str, dictionary: frozenset[str]) ->
         float(n), *share, entropy, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(n - 1, 1),
         *(steps[(a, b)] / max(n - 1, 1) for a in range(4) for b in range(4) if a != b),
         covered / n, float(re.fullmatch(r"(?i)[0-9a-f]+", value) is not None), value.count("/") / n, value.count(".") / n,
-        float("@" in value or "://" in value), float(re.fullmatch(r"[\d.:\-+]+", value) is not None),
-        float(_NAME.search(name) is not None), float(assigned), float(tail[-1:] in "\"'" and tail != "" and after[:1] == tail[-1:]),
+        float(_ADDRESS.search(value) is not None), float(re.fullmatch(r"[\d.:\-+]+", value) is not None),
+        float(credential or _NAME.search(name) is not None), float(credential or assigned), float(tail[-1:] in "\"'" and tail != "" and after[:1] == tail[-1:]),
         word_like(left[0]), word_like(right[0]),
     ]
 
@@ -75,12 +125,9 @@ def features(docs: DataFrame, dictionary: Iterable[str], id_col: str = "doc_id")
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for m in _CANDIDATE.finditer(text or ""):
-                    value = m[0].rstrip(".:=-")
-                    if len(value) < 16 or not (re.search(r"\d", value) or re.search(r"[a-z][A-Z]", value)):
-                        continue
-                    at = m.start()
-                    rows.append((i, at, value, describe(value, text[max(0, at - 80) : at], text[at + len(value) : at + len(value) + 80], known)))
+                for start, value, credential in candidates(text or ""):
+                    end = start + len(value)
+                    rows.append((i, start, value, describe(value, text[max(0, start - 80) : start], text[end : end + 80], known, credential)))
             if rows:
                 at, start, value, x = zip(*rows, strict=True)
                 yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(start, pa.int64()), pa.array(value), pa.array(x, pa.list_(pa.float64()))], names=[id_col, "start", "value", "x"])
@@ -94,9 +141,15 @@ def _x(name: str):
 
 
 def silver_labels(found: DataFrame) -> DataFrame:
-    """found with label: 1 for values assigned to a credential's name, 0 for addresses, hosts, paths, numbers and words, else null."""
-    negative = (_x("address") == 1) | (_x("number") == 1) | (_x("dictionary") >= 0.5) | (_x("slashes") > 0.1) | (_x("digit") + _x("upper") == 0)
-    return found.withColumn("label", F.when(negative, 0).when((_x("named") == 1) & (_x("assigned") == 1), 1))
+    """found with label: 1 for values in a credential's place, 0 for addresses, and elsewhere for hosts, paths, numbers and words; else null.
+
+    In a credential's place, words, numbers and paths stay unclear.
+    """
+    credential, address = (_x("named") == 1) & (_x("assigned") == 1), _x("address") == 1
+    words = ((_x("dictionary") >= 0.5) & (_x("digit") == 0)) | (_x("digit") + _x("upper") + _x("sign") == 0)
+    path = F.col("value").rlike(r"^[.~]{0,2}/") & (_x("slashes") > 0.1)
+    elsewhere = (_x("number") == 1) | (_x("dictionary") >= 0.5) | (_x("slashes") > 0.1) | (_x("digit") + _x("upper") == 0)
+    return found.withColumn("label", F.when(address | (~credential & elsewhere), 0).when(credential & ~words & ~path & (_x("number") == 0), 1))
 
 
 def train(labelled: DataFrame, max_train: int = MAX_TRAIN, seed: int = 1):

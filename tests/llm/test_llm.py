@@ -384,6 +384,23 @@ def test_secrets(spark):
     assert secrets.digest(secrets.secrets(frame(spark, rows).limit(0), dictionary)).count() == 0
 
 
+def test_secrets_in_usual_forms(spark):
+    aws, hexed = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "0123456789abcdef0123456789abcdef"
+    forms = [
+        (f"AWS_SECRET_ACCESS_KEY={aws}", aws), (f"set API_KEY={hexed} now", hexed), (f"api_key:{hexed}.", hexed), ('password = "Tr0ub4dor3x"', "Tr0ub4dor3x"),
+        ("DB_PASSWORD='a!b#c$d&e*f1'", "a!b#c$d&e*f1"), ("password: a1!b#c$d&e*f", "a1!b#c$d&e*f"), ("see postgres://user:s3cr3t!pw@db.example.com:5432/x", "s3cr3t!pw"),
+        ("https://x.example.com/?token=abcd1234&page=2", "abcd1234"), (f'{{"api_key": "{hexed}"}}', hexed), ("pwd=P@ssw0rd.x1", "P@ssw0rd.x1"),
+        (f"Authorization: Bearer {hexed}", hexed), ('passwd = "a/b/c/9d/E"', "a/b/c/9d/E"), ("mongodb://u:abcdefghij0123456789@h/db", "abcdefghij0123456789"),
+    ]
+    rows = [(i, t) for i, (t, _) in enumerate(forms)] + [(100, "the author: Smith2020 wrote on passwords: see below"), (101, f"commit {hexed} at host example.com:8080/abcdefgh1")]
+    found = secrets.silver_labels(secrets.features(frame(spark, rows), ["example", "author", "page"])).collect()
+    for i, (text, value) in enumerate(forms):
+        good = [(r.start, r.value) for r in found if r.doc_id == i and r.label == 1]
+        assert good == [(text.index(value), value)], (text, good)
+    assert not [r for r in found if r.doc_id >= 100 and r.label == 1]
+    assert hexed in {r.value for r in found if r.doc_id == 101}
+
+
 def test_empty_tables(spark):
     none = frame(spark, corpus()).limit(0)
     assert substring_dedup.remove_repeats(none).count() == 0
