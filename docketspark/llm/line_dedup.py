@@ -8,9 +8,10 @@ and an earlier line), or when it has ``long`` words or more and stands earlier b
 its own window, so that passages in one line and documents of one line are found, while short stock lines need a run.
 
 1. Fingerprints are counted by a combined aggregation; windows whose fingerprint occurs at one place only end here.
-2. The positions of a repeated fingerprint are joined by the window that selected it to the earliest such position,
-   one match a window whatever the number of copies; both joins are equi-joins whose skewed side Spark may split.
-3. Matches that overlap or touch extend each other both ways into maximal runs, and the later copy's lines are deleted.
+2. All windows, not only one a fingerprint, whose fingerprint is repeated are grouped exactly by the hash of the whole
+   window and joined to the earliest place of it; both joins are equi-joins whose skewed side Spark may split.
+3. The lines of later windows are united and deleted. No match is extended line by line: a run of n lines is n - window + 1
+   windows that are each found, so their union is the maximal run.
 
 Null texts are empty documents. Rows sharing an id count as one document's texts: the union of removed lines applies
 to each. A null id sorts first. An empty table gives an empty result.
