@@ -8,15 +8,24 @@ stays bounded whatever the batch size; a single longer document makes a slice of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import tempfile
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 18
+#: stands for a null id in order and joins: it comes first
+NULL_ID = -(1 << 63)
+#: ids of several rows that may be broadcast, about 16 bytes each
+BROADCAST_IDS = 500_000
+#: a key with more than one in so many rows is hot
+HOT = 1000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _U = np.uint64
@@ -130,12 +139,12 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the folder the cluster names, or one of our own where none is named (tests)."""
+    """Make checkpoint() usable: the folder the cluster names; on one machine, where none is named, a new one (tests)."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            import tempfile
-
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             named = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
 
@@ -146,6 +155,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Documents are long rows: hand Python fewer of them at a time than Spark's default for short rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+def named(columns: Iterable[str]) -> list[Column]:
+    """Columns by name, whatever signs the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """The name with as many low lines behind it as no taken name has, in any case of letters."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def with_row_key(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, bool]:
+    """docs with _doc and _ord, by which texts are told apart and ordered, and whether any id has several rows.
+
+    _doc is the id, NULL_ID where it is null; _ord is 0, or the hash of the text where several rows have the id. So rows
+    of one id are documents of their own, in the order of their texts' hashes, and equal rows of one id are one document
+    that is there several times. Counting the ids reads that column alone; ids of several rows are joined back, and
+    broadcast up to BROADCAST_IDS.
+    """
+    docs = docs.drop("_doc", "_ord").withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
+    several = docs.groupBy("_doc").agg(F.count("*").alias("_ord")).where("_ord > 1").select("_doc", F.lit(True).alias("_ord"))
+    n = several.limit(BROADCAST_IDS + 1).count()
+    if n == 0:  # no literal, which the optimizer would move across exchanges that are to be shared
+        return docs.withColumn("_ord", F.col("_doc").bitwiseXOR(F.col("_doc"))), False
+    joined = docs.join(F.broadcast(several) if n <= BROADCAST_IDS else several, "_doc", "left")
+    return joined.withColumn("_ord", F.when(F.col("_ord"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long"))), True
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with table, which has one row a key with n, the rows of it; both are read several times, so cut them before.
+
+    A key with more than one in HOT of the rows meets its rows by a broadcast, of HOT keys at most; what is left is an
+    equi-join by shuffle in which no key is large.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = table.where(F.col("n") > total / HOT)
+    large, small = rows.join(F.broadcast(hot), keys), rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(table.where(F.col("n") <= total / HOT), keys)
+    return large.unionByName(small).drop("n")
