@@ -7,14 +7,20 @@ removed when it belongs to a run of at least ``window`` lines that also starts e
 and an earlier line), or when it has ``long`` words or more and stands earlier by itself: a line of that many words is
 its own window, so that passages in one line and documents of one line are found, while short stock lines need a run.
 
-1. Fingerprints are counted by a combined aggregation; windows whose fingerprint occurs at one place only end here.
-2. All windows, not only one a fingerprint, whose fingerprint is repeated are grouped exactly by the hash of the whole
-   window and joined to the earliest place of it; both joins are equi-joins whose skewed side Spark may split.
-3. The lines of later windows are united and deleted. No match is extended line by line: a run of n lines is n - window + 1
-   windows that are each found, so their union is the maximal run.
-
-Null texts are empty documents. Rows sharing an id count as one document's texts: the union of removed lines applies
-to each. A null id sorts first. An empty table gives an empty result.
+1. A row goes out for each selected position: its fingerprint, its place, and the hashes of the runs of ``window`` lines
+   around it that selected it, which reach from it to the left and to the right.
+2. Positions are joined by fingerprint: fingerprints are counted by a combined aggregation, and positions of those that
+   occur once end here.
+3. Matches are extended both ways: a position's runs to either side are grouped exactly by their hashes and joined to
+   the earliest place of the same lines. (A comparison with the earliest position of the fingerprint alone would not do, as
+   a later position may repeat another's neighbours.) Runs that also start earlier are deleted; runs that overlap are
+   one, so a repeat of any length goes whole.
+
+In both joins the hot keys, at most a thousand, are broadcast, and no other key holds more than a thousandth of the rows.
+
+Null texts are empty documents and stay null. Rows of one id are documents of their own, ordered by the hash of their
+texts; equal rows of one id are one document that is there several times, and each loses the same lines. Null ids come
+first. Other columns stay as they are, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,13 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .text import Words, cut, mix, slices, span_hashes
+from .text import Words, cut, free_name, join_hot, mix, named, slices, span_hashes, with_row_key
 
 WINDOW = 2
 #: words of a line that needs no neighbour to be a repeated passage
 LONG = 20
-NULL_ID, ALONE = -(1 << 63), 31
+ALONE = 31
 #: matched windows whose table may be broadcast: about 16 bytes each, and 40 for each document
 BROADCAST_MATCHES, BROADCAST_DOCS = 1_000_000, 400_000
 
@@ -61,11 +68,14 @@ def winnow(hashes: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return best
 
 
-def _windows(window: int, long: int):
+def _positions(window: int, long: int):
+    """Selected positions of rows (_doc, _ord, text): fingerprint, place, and the runs that selected it as (h1, h2, lo)."""
+    kinds = pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("lo", pa.int32())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for row, _, data, offsets in slices(batch.column(1)):
+            ids, ords = batch.column(0), batch.column(1)
+            for row, _, data, offsets in slices(batch.column(2)):
                 w = Words(data, offsets)
                 lines = Lines(w)
                 one, two = (span_hashes(w.hashes(x), lines.begin, lines.end, x) for x in (0, 1))
@@ -76,34 +86,37 @@ def _windows(window: int, long: int):
                 chosen = winnow(one, at, window)
                 new = np.ones(len(at) + len(alone), bool)
                 new[1 : len(at)] = chosen[1:] != chosen[:-1]
-                # a line by itself has a fingerprint of its own kind, so that it meets no window of several lines
+                # a line by itself has a fingerprint of its own kind, so that it meets no run of several lines
                 prints = np.concatenate([one[chosen], mix(one[alone], ALONE)])
                 h1, h2 = (np.concatenate([span_hashes(x, at, at + window, k), span_hashes(x, alone, alone + 1, k)]) for k, x in enumerate((one, two)))
                 size = np.repeat(np.array([window, 1], np.int32), [len(at), len(alone)])
                 at = np.concatenate([at, alone])
-                yield pa.record_batch([pa.array(prints.view(np.int64)), pa.array(new), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[row + lines.doc[at]]), pa.array(lines.place[at].astype(np.int32)), pa.array(size)], names=["fingerprint", "selected", "h1", "h2", "doc", "lo", "size"])
+                first = np.flatnonzero(new)
+                reach = pa.StructArray.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(lines.place[at].astype(np.int32))], names=["h1", "h2", "lo"])
+                doc = pa.array(row + lines.doc[at[first]])
+                runs = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), reach).cast(kinds)
+                yield pa.record_batch([pa.array(prints[first].view(np.int64)), ids.take(doc), ords.take(doc), pa.array(size[first]), runs], names=["fingerprint", "doc", "ord", "size", "runs"])
 
     return run
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", window: int = WINDOW, long: int = LONG) -> DataFrame:
-    """(doc, starts): first line (numbered among lines with words) and number of lines of the windows that also start earlier."""
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), "text")
-    found = cut(keyed.mapInArrow(_windows(window, long), "fingerprint long, selected boolean, h1 long, h2 long, doc long, lo int, size int"))
-    repeated = found.where("selected").groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    shared = found.drop("selected").join(repeated, "fingerprint").drop("fingerprint")
-    first = shared.groupBy("h1", "h2").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    matched = shared.join(first, ["h1", "h2"]).where(F.struct("doc", "lo") != F.col("first"))
-    return matched.groupBy("doc").agg(F.collect_list(F.struct("lo", "size")).alias("starts"))
+def repeated_lines(keyed: DataFrame, window: int = WINDOW, long: int = LONG) -> DataFrame:
+    """(doc, ord, starts): first line (numbered among lines with words) and number of lines of the runs that also start earlier."""
+    found = cut(keyed.select("_doc", "_ord", "text").mapInArrow(_positions(window, long), "fingerprint long, doc long, ord long, size int, runs array<struct<h1: long, h2: long, lo: int>>"))
+    repeated = cut(found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1"))
+    extended = cut(join_hot(found, repeated, ["fingerprint"]).select("doc", "ord", "size", F.inline("runs")))
+    first = cut(extended.groupBy("h1", "h2").agg(F.min(F.struct("doc", "ord", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    later = join_hot(extended, first, ["h1", "h2"]).where(F.struct("doc", "ord", "lo") != F.col("first"))
+    return later.groupBy("doc", "ord").agg(F.collect_list(F.struct("lo", "size")).alias("starts"))
+
 
+def _rebuild(text: int, last: int):
+    """The rows without the lines that column number last has, and (n_lines, n_removed) behind them."""
 
-def _rebuild():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, at = None, 0
         for batch in batches:
             names = batch.schema.names
-            at, last = names.index("text"), names.index("_starts")
-            starts, column = batch.column(last), batch.column(at)
+            starts, column = batch.column(last), batch.column(text)
             for row, end, data, offsets in slices(column):
                 lines = Lines(Words(data, offsets))
                 first = np.concatenate([[0], np.cumsum(lines.counts)])
@@ -115,30 +128,36 @@ def _rebuild():
                         continue
                     edge = np.zeros(counts[k] + 1, np.int64)
                     lo, size = gone.field("lo").to_numpy(), gone.field("size").to_numpy()
-                    inside = lo < counts[k]
-                    lo, size = lo[inside], size[inside]
                     np.add.at(edge, lo, 1)
                     np.add.at(edge, np.minimum(lo + size, counts[k]), -1)
                     hit = np.cumsum(edge[:-1]) > 0
                     drop = set(lines.number[first[k] : first[k + 1]][hit].tolist())
                     texts[k] = "\n".join(line for i, line in enumerate(texts[k].split("\n")) if i not in drop)
                     removed.append(int(hit.sum()))
-                cols = [c.slice(row, end - row) if i != at else pa.array(texts, pa.string()) for i, c in enumerate(batch.columns) if i != last]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*(n for n in names if n != "_starts"), "n_lines", "n_removed"])
+                cols = [c.slice(row, end - row) if i != text else pa.array(texts, pa.string()) for i, c in enumerate(batch.columns) if i != last]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*(n for i, n in enumerate(names) if i != last), "_n_lines", "_n_removed"])
 
     return run
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", window: int = WINDOW, long: int = LONG) -> DataFrame:
-    """docs with the repeated lines taken out of text, and n_lines (lines with words) and n_removed."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_doc", "_starts")]
-    gone = cut(repeated_lines(docs, id_col, window, long)).withColumnsRenamed({"doc": "_doc", "starts": "_starts"})
-    n, total = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_starts")), F.lit(0))).first()
+def _without_repeats(docs: DataFrame, id_col: str, window: int, long: int) -> tuple[DataFrame, str, str]:
+    """docs with the repeated lines taken out of text and two more columns, and the names of these."""
+    lines, removed = (free_name(n, docs.columns) for n in ("n_lines", "n_removed"))
+    rows = docs.select(F.struct(*named(docs.columns)).alias("row"), F.col("text").alias("text"), *named([id_col])).toDF("row", "text", "id")
+    keyed, _ = with_row_key(rows, "id")
+    gone = cut(repeated_lines(keyed, window, long)).withColumnsRenamed({"doc": "_doc", "ord": "_ord"})
+    n, total = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
     if n <= BROADCAST_DOCS and total <= BROADCAST_MATCHES:
         gone = F.broadcast(gone)
-    keyed = docs.select(*names).withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
-    schema = docs.select(*names).schema.add("n_lines", "long").add("n_removed", "long")
-    return keyed.join(gone, "_doc", "left").select(*names, "_starts").mapInArrow(_rebuild(), schema)
+    joined = keyed.join(gone, ["_doc", "_ord"], "left").select("row.*", "starts").toDF(*docs.columns, "_starts")
+    names = [*docs.columns, lines, removed]
+    schema = T.StructType([*docs.schema.fields, T.StructField(lines, T.LongType()), T.StructField(removed, T.LongType())])
+    return joined.mapInArrow(_rebuild(docs.columns.index("text"), len(docs.columns)), schema).toDF(*names), lines, removed
+
+
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", window: int = WINDOW, long: int = LONG) -> DataFrame:
+    """docs with the repeated lines taken out of text, and n_lines (lines with words) and n_removed (with _ behind, where docs has such a column)."""
+    return _without_repeats(docs, id_col, window, long)[0]
 
 
 def digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -148,8 +167,9 @@ def digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", window: int = WINDOW, long: int = LONG) -> DataFrame:
     """docs after line dedup: texts shortened, n_chars (where there is one) following them, and rows emptied by it gone."""
-    out = remove_repeated_lines(docs, id_col, window, long).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    out, lines, removed = _without_repeats(docs, id_col, window, long)
+    out = out.where((F.col(removed) == 0) | (F.col(removed) < F.col(lines)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(removed) == 0, F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+    return out.select(*named(docs.columns))
