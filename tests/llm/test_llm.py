@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docketspark.llm import decontamination, fingerprints, licenses, line_dedup, mixing, near_dedup, quality, secrets, substring_dedup, token_counts
 from docketspark.llm.graph import connected_components
-from docketspark.llm.text import small_batches
+from docketspark.llm.text import with_row_key
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, score string, doc string, lo int"
@@ -38,7 +38,6 @@ def corpus(seed: int = 1) -> list[tuple[int | None, str | None]]:
 
 
 def frame(spark, rows):
-    small_batches(spark)
     return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", "z", "q", "d", 1) for i, t in rows], SCHEMA).repartition(5)
 
 
@@ -63,9 +62,43 @@ def test_windows_removed_as_by_brute_force(spark, docs):
             assert got[i] == (len(words), sum(gone), " ".join(kept)), i
 
 
+def pass_shares(spark, texts, **options):
+    """Shares of windows let through by the sketch, and of those that truly repeat."""
+    dealt, _, shards = substring_dedup._dealt(frame(spark, list(enumerate(texts))), "doc_id", substring_dedup.BUCKET_BYTES, options.get("shard_keys", substring_dedup.SHARD_KEYS))
+    rows = substring_dedup.candidate_windows(dealt, shards, cell_bits=options.get("cell_bits", substring_dedup.CELL_BITS)).where("kind = 0").count()
+    windows = [tuple(w[a : a + 20]) for w in map(str.split, texts) for a in range(len(w) - 19)]
+    count: dict[tuple, int] = {}
+    for w in windows:
+        count[w] = count.get(w, 0) + 1
+    # a bucket hands on one row for a window that it holds several times: texts here are dealt over many buckets
+    return rows / len(windows), sum(n for n in count.values() if n > 1) / len(windows)
+
+
+def test_sketch_lets_through_little_more_than_what_repeats(spark):
+    rng = random.Random(31)
+    texts = [" ".join(f"w{rng.randrange(10**7)}" for _ in range(400)) for _ in range(300)]
+    texts += texts[:40]
+    small, repeated = pass_shares(spark, texts)
+    assert repeated <= small + 0.02 and small < repeated + 0.01
+    # 19,000 places in 4 shards of 2**17 cells: the load of 2**31 cells would need 300 million places in a shard, of the
+    # million that shards are cut for; at that load, as at any size of the input, few windows pass in vain
+    loaded, _ = pass_shares(spark, texts, cell_bits=17)
+    assert loaded < repeated + 0.02
+    crowded, _ = pass_shares(spark, texts, cell_bits=10)
+    assert crowded > 0.9  # and this is what a sketch of a fixed size would do in the end
+
+
+def test_sketch_grows_with_the_text(spark):
+    texts = [" ".join(f"w{i}-{j}" for j in range(1500)) for i in range(40)]
+    keys = sum(len(x) for x in texts) // 42
+    for shard_keys in (500, 2000):
+        _, _, shards = substring_dedup._dealt(frame(spark, list(enumerate(texts))), "doc_id", 1 << 16, shard_keys)
+        assert 0.5 < keys / shards / shard_keys < 2 or shards == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_count_min_never_underestimates(spark, docs):
     full = {r.doc_id: r.kept_text for r in substring_dedup.remove_repeats(docs).collect()}
-    tiny = {r.doc_id: r.kept_text for r in substring_dedup.remove_repeats(docs, max_sketch_bytes=1 << 15).collect()}
+    tiny = {r.doc_id: r.kept_text for r in substring_dedup.remove_repeats(docs, cell_bits=4, bucket_bytes=2000, shard_keys=100).collect()}
     assert full == tiny
 
 
@@ -110,6 +143,46 @@ def test_near_duplicate_chain_over_blocks(spark):
     assert got == brute_groups(rows, 4)
 
 
+@pytest.mark.parametrize("beside", [0, 50])
+def test_near_copies_are_hardly_dealt(spark, monkeypatch, beside):
+    """Rows dealt for the exact comparison: none for a group of near copies, and beside others a few for each document at most."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    rows, n = [], 2000
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    other = [w if i < 240 else f"y{i}" for i, w in enumerate(base)]  # 0.66 alike
+    rows += [(5000 + i, " ".join([*other[:-1], f"z{i}"])) for i in range(beside)]
+    seen = {}
+    monkeypatch.setattr(near_dedup, "dealt_nodes", lambda *a, f=near_dedup.dealt_nodes: seen.setdefault("dealt", f(*a)))
+    # blocks of 50 documents: all pairs of blocks would be 80,000 rows a lead
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows).repartition(9), k=4, block=15_000).collect()}
+    assert got == {i: 0 if i < 5000 else 5000 for i, _ in rows}
+    dealt = seen["dealt"].agg(F.coalesce(F.sum(F.when(F.col("inner"), F.col("b_out")).otherwise(F.col("b_in") + F.col("b_out"))), F.lit(0))).first()[0]
+    assert dealt == 0 if not beside else 0 < dealt < 8 * n, dealt
+
+
+def test_banding_recall(spark):
+    """Pairs of similarity 0.8 to 0.84 by brute force that get one group: 0.99 of them or more."""
+    rng = random.Random(5)
+    rows, pairs = [], 0
+    while pairs < 400:
+        words = [f"a{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 400))]
+        other, sim = list(words), 1.0
+        while sim >= 0.84:
+            other[rng.randrange(len(words))] = f"b{rng.randrange(10**6)}"
+            a, b = shingle_set(" ".join(words), 5), shingle_set(" ".join(other), 5)
+            sim = len(a & b) / len(a | b)
+        if sim >= 0.8:
+            rows += [(2 * pairs, " ".join(words)), (2 * pairs + 1, " ".join(other))]
+            pairs += 1
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(pairs)) >= 0.99 * pairs
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
@@ -410,6 +483,72 @@ def test_empty_tables(spark):
     assert quality.classify(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
+def rows_in_order(spark, rows):
+    """(doc, ord, id, text) of each row in the operators' order: null first, texts of one id by their hash."""
+    keyed, _ = with_row_key(frame(spark, rows).select("doc_id", "text"))
+    return sorted(((r._doc, r._ord, r.doc_id, r.text) for r in keyed.collect()), key=lambda x: x[:2])
+
+
+def odd_ids(seed: int = 41) -> list[tuple[int | None, str | None]]:
+    """Texts under shared and null ids, repeated rows, long texts, and passages that stand in several of them."""
+    rng = random.Random(seed)
+    line = lambda n: " ".join(f"{rng.choice('abcdef')}{rng.randrange(300)}" for _ in range(n))
+    texts = ["\n".join(line(rng.randint(4, 30)) for _ in range(rng.randint(1, 6))) for _ in range(14)]
+    passage, long = line(45), "\n".join(line(40) for _ in range(220))
+    texts += [f"{line(4)}\n{passage}\n{line(3)}" for _ in range(5)] + [long, long + " end", f"{line(9)}\n{passage}"]
+    rows: list[tuple[int | None, str | None]] = [(rng.choice([None, 1, 1, 2, 3, 4]), t) for t in texts]
+    return [*rows, *rows[:4], rows[14], rows[14], (None, None), (1, ""), (1, None)]
+
+
+def test_windows_of_shared_and_null_ids(spark):
+    rows = odd_ids()
+    seen: dict[tuple, tuple] = {}
+    want = []
+    for d, o, i, t in rows_in_order(spark, rows):
+        words = WORD.findall(t or "")
+        gone = [False] * len(words)
+        for a in range(len(words) - 19):
+            if seen.setdefault(tuple(words[a : a + 20]), (d, o, a)) != (d, o, a):
+                gone[a : a + 20] = [True] * 20
+        want.append((i, len(words), sum(gone), " ".join(w for w, g in zip(words, gone, strict=True) if not g)))
+    got = [tuple(r) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    left = sorted((str(r.doc_id), r.kept_text) for r in substring_dedup.remove_repeats(frame(spark, [(None, a), (1, a), (1, b), (2, b + " q")])).collect())
+    assert left == [("1", ""), ("1", b), ("2", "q"), ("None", a)]
+
+
+def test_lines_of_shared_and_null_ids(spark):
+    rows = odd_ids()
+    seen: dict[tuple, tuple] = {}
+    want = []
+    for d, o, i, t in rows_in_order(spark, rows):
+        lines = (t or "").split("\n")
+        solid = [n for n, x in enumerate(lines) if WORD.search(x)]
+        keys, gone = [tuple(WORD.findall(lines[n])) for n in solid], set()
+        for a in range(len(solid)):
+            for key, size in ((tuple(keys[a : a + 2]), 2), ((keys[a],), 1)):
+                if (a + size <= len(solid) and (size == 2 or len(keys[a]) >= line_dedup.LONG)) and seen.setdefault(key, (d, o, a)) != (d, o, a):
+                    gone |= set(solid[a : a + size])
+        want.append((i, len(solid), len(gone), "\n".join(x for n, x in enumerate(lines) if n not in gone) if t is not None else None))
+    got = [(r.doc_id, r.n_lines, r.n_removed, r.text) for r in line_dedup.remove_repeated_lines(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    cases = [(0, "a b\nc d"), (1, "a b\nc d"), (1, "p q\nr s\nt u")]
+    assert sorted((r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(frame(spark, cases)).collect()) == [cases[0], cases[2]]
+
+
+def test_near_duplicates_of_shared_and_null_ids(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(0, one), (5, one), (5, two), (5, two), (None, two + " z"), (None, one + " z"), (None, "alone " * 9), (7, None), (7, None), (None, "")]
+    left = near_dedup.drop_near_duplicates(frame(spark, rows))
+    assert left.columns == frame(spark, rows).columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(None, one + " z"), (None, two + " z"), (None, "alone " * 9), (None, ""), (7, None)], key=str)
+    left = near_dedup.drop_near_duplicates(frame(spark, [(0, one), (5, one), (5, two), (5, two)]))
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(0, one), (5, two)]
+    kept = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, [(0, one), (5, one), (5, two), (5, two)])).collect()}
+    assert kept == {(0, 0, True), (5, 0, False), (5, 5, True)}
+
+
 def test_null_and_repeated_ids(spark):
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(None, long), (1, long), (1, long), (None, "other text")]
