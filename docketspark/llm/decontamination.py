@@ -5,18 +5,23 @@ Words are lower-cased runs of letters and digits; shingles are runs of ``k`` of
 its windows, as long as the item, has a weighted Jaccard similarity (shared weight over joint weight) of
 ``threshold`` or more with it.
 
-1. Windows. A window can only reach the threshold if it shares shingles with the item, so windows are laid at the
-   places where a shingle of the item stands in a document, aligned by the shingle's place in the item. The
-   benchmark's shingles are broadcast after a check of their number, and joined by shuffle beyond it.
+1. Windows. A window without any shingle of the benchmark has a similarity of 0 with every item and needs no fingerprint,
+   so item-sized windows are laid where a document has a shingle of the benchmark: one for each length and place that
+   an item with this shingle suggests. Only (document, start, length) rows are shuffled; the texts of the
+   documents that have such windows are read once more for their words.
 2. SimHash. Each window and item gets the 64 signs of its weighted shingle votes.
 3. Multi-index search. Signatures are cut into 8 blocks of 8 bits; within Hamming distance 23 two signatures differ by
    at most two bits in some block. Items are listed under each block value and its 36 neighbours of one or two bits; an
-   equi-join on (number of words, block, value) so finds every item within ``radius`` of a window as long as it. A pair
-   that meets in several blocks goes on from the first of them only.
+   equi-join on (number of words, block, value) so finds every item within ``radius`` of a window as long as it, whichever
+   item the window was laid for. A pair that meets in several blocks goes on from the first of them only.
 4. Exact similarity of the survivors decides.
 
-Null texts and ids of items, and items with fewer than ``k`` words, match nothing. Repeated items and documents are
-compared once each by (id, text). A null document id is reported as null. Empty tables give an empty result.
+The index's rows are of a fixed size (BLOCK_BYTES); shingles of the benchmark and items' weighted shingles are broadcast
+after a check of their bytes, and joined by shuffle beyond BROADCAST_BYTES.
+
+Null texts and ids of items, and items with fewer than ``k`` words, match nothing. Repeated items are compared once. Rows of
+one document id are documents of their own: each is told by the hash of its text, which ``leaks`` does not return. Equal rows of one id give
+one result. A null document id is reported as null. Other columns take no part. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -26,26 +31,30 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import NULL_ID, cut, named, with_row_key
+
 K, THRESHOLD, RADIUS = 5, 0.8, 23
 BLOCKS, BITS = 8, 8
 #: bits that may differ in a block, and the masks of all such differences
 NEAR = 2
 MASKS = [sum(1 << b for b in bits) for n in range(NEAR + 1) for bits in combinations(range(BITS), n)]
-#: shingles of the benchmark, and block values of its items, that may be broadcast: about 40 bytes each
-BROADCAST_ROWS = 500_000
+#: bytes of a table that may be broadcast; of a row of the index, of a shingle's place, of a weighted shingle
+BROADCAST_BYTES, BLOCK_BYTES, PLACE_BYTES, WEIGHT_BYTES = 64 << 20, 56, 40, 32
+#: documents with windows whose rows may be broadcast, about 100 bytes each
+BROADCAST_DOCS = 200_000
 
 
 def words(text: str = "text") -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _shingle_at(pos: Column, k: int) -> Column:
+def _hash_at(pos: Column, k: int) -> Column:
     return F.xxhash64(*(F.get("words", pos + i) for i in range(k)))
 
 
-def _shingles(k: int) -> Column:
-    """The distinct shingle hashes of a short word list."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda p: _shingle_at(p, k)))
+def _hashes(k: int) -> Column:
+    """The hash of each run of k words of a short text, in order; none for fewer words."""
+    return F.when(F.size("words") >= k, F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda p: _hash_at(p, k))).otherwise(F.array().cast("array<bigint>"))
 
 
 def simhash(weighted: str) -> Column:
@@ -58,47 +67,69 @@ def _blocks(signature: str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: F.struct(b.alias("block"), F.call_function("shiftrightunsigned", F.col(signature), b * BITS).bitwiseAND(F.lit(255)).alias("value")))
 
 
-def _within(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _within(df: DataFrame, n_bytes: int) -> DataFrame:
+    return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", k: int = K, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """(id, item id, similarity, start, n_words): the best window of each item that a document leaks."""
+def _weighted(df: DataFrame, keys: list[str], counted: DataFrame, weight: Column, name: str) -> DataFrame:
+    """df's keys with the distinct shingles of the rows' words and their weights, in order."""
+    rows = df.select(*keys, F.explode(F.array_distinct("hashes")).alias("s")).join(counted, "s", "left")
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("s", weight.alias("w")))).alias(name))
+
+
+def row_leaks(keyed: DataFrame, benchmark: DataFrame, item_col: str = "item_id", k: int = K, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+    """(_doc, _ord, item, similarity, start, n_words): the best window of each item that a document of keyed(_doc, _ord, text) leaks."""
     if not 0 <= radius < (NEAR + 1) * BLOCKS:
         raise ValueError(f"radius must be below {(NEAR + 1) * BLOCKS}: {radius}")
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), words().alias("words")).where(F.size("words") >= k).distinct()
-    placed = items.select("item", F.size("words").alias("n_words"), "words", F.posexplode("words").alias("p", "w")).where(F.col("p") + k <= F.col("n_words")).select("item", "n_words", F.col("p"), _shingle_at(F.col("p"), k).alias("s"))
+    items = items.select("item", F.size("words").alias("n_words"), _hashes(k).alias("hashes"))
+    placed = items.select("n_words", F.posexplode("hashes").alias("p", "s"), "item")
     n_placed, n_items = placed.count(), items.count()
-    counted = placed.groupBy("s").agg(F.countDistinct("item").alias("df"))
+    counted = _within(placed.groupBy("s").agg(F.countDistinct("item").alias("df")), n_placed * PLACE_BYTES)
     weight = 1 + F.log((F.lit(n_items) + 1) / (F.coalesce("df", F.lit(0)) + 1))
 
-    # windows of documents at shared shingles
-    texts = docs.select(F.col(id_col).alias("doc"), words().alias("words")).where(F.size("words") >= k)
-    at = texts.select("doc", "words", F.posexplode("words").alias("pos", "w")).where(F.col("pos") + k <= F.size("words")).select("doc", "words", "pos", _shingle_at(F.col("pos"), k).alias("s"))
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("p"), F.size("words") - F.col("n_words")))
-    hits = at.join(_within(placed.select("s", "p", "n_words").distinct(), n_placed), "s").withColumn("start", start)
-    hits = hits.select("doc", "start", "n_words", F.slice("words", F.col("start") + 1, F.col("n_words")).alias("words")).distinct()
-    windows = hits.withColumn("s", F.explode(_shingles(k))).join(_within(counted, n_placed), "s", "left")
-    windows = windows.groupBy("doc", "start", "n_words", "words").agg(F.collect_list(F.struct("s", weight.alias("w"))).alias("ws"))
-    windows = windows.select("doc", "start", "n_words", F.array_sort("ws").alias("ws")).withColumn("signature", simhash("ws"))
-
-    signed = items.select("item", "words", F.explode(_shingles(k)).alias("s")).join(_within(counted, n_placed), "s").groupBy("item", "words").agg(F.array_sort(F.collect_list(F.struct("s", weight.alias("w")))).alias("iws"))
-    signed = signed.withColumn("item_signature", simhash("iws")).select("item", F.size("words").alias("item_words"), "iws", "item_signature", F.explode(_blocks("item_signature")).alias("b"))
-    near = F.transform(F.array(*map(F.lit, MASKS)), lambda m: F.col("b.value").bitwiseXOR(m.cast("long")))
-    probes = signed.select("item", F.col("item_words").alias("n_words"), "iws", "item_signature", F.col("b.block").alias("block"), F.explode(near).alias("value"))
-
-    blocks = windows.select("*", F.explode(_blocks("signature")).alias("b")).select("doc", "start", "n_words", "ws", "signature", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
+    # windows of documents where they have a shingle of the benchmark
+    texts = keyed.select("_doc", "_ord", words().alias("words")).where(F.size("words") >= k)
+    at = texts.select("_doc", "_ord", "words", F.size("words").alias("size"), F.posexplode("words").alias("pos", "w"))
+    at = at.where(F.col("pos") + k <= F.col("size")).select("_doc", "_ord", "size", "pos", _hash_at(F.col("pos"), k).alias("s"))  # the words end here
+    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("p"), F.col("size") - F.col("n_words")))
+    hits = at.join(_within(placed.select("s", "p", "n_words").distinct(), n_placed * PLACE_BYTES), "s").select("_doc", "_ord", start.alias("start"), "n_words").distinct()
+    laid = cut(hits.groupBy("_doc", "_ord").agg(F.collect_list(F.struct("start", "n_words")).alias("at")))
+    laid = F.broadcast(laid) if laid.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0] <= BROADCAST_DOCS else laid
+    rows = keyed.select("_doc", "_ord", "text").join(laid, ["_doc", "_ord"]).select("_doc", "_ord", "at", words().alias("words"))
+    cut_out = F.transform("at", lambda x: F.struct(x["start"].alias("start"), x["n_words"].alias("n_words"), F.slice("hashes", x["start"] + 1, F.greatest(F.lit(0), F.least(x["n_words"], F.col("size") - x["start"]) - k + 1)).alias("hashes")))
+    windows = rows.select("_doc", "_ord", F.size("words").alias("size"), _hashes(k).alias("hashes"), "at").select("_doc", "_ord", F.inline(cut_out))
+    windows = _weighted(windows, ["_doc", "_ord", "start", "n_words"], counted, weight, "ws").withColumn("signature", simhash("ws"))
+
+    signed = _weighted(items, ["item", "n_words"], counted, weight, "iws").withColumn("item_signature", simhash("iws"))
+    listed = signed.select("item", "n_words", "item_signature", F.inline(_blocks("item_signature")))
+    near = F.transform(F.array(*map(F.lit, MASKS)), lambda m: F.col("value").bitwiseXOR(m.cast("long")))
+    probes = _within(listed.select("item", "n_words", "item_signature", "block", F.explode(near).alias("value")), n_items * BLOCKS * len(MASKS) * BLOCK_BYTES)
+
+    blocks = windows.select("*", F.inline(_blocks("signature")))
     differ = F.col("signature").bitwiseXOR(F.col("item_signature"))
     meet = lambda b: F.bit_count(F.call_function("shiftrightunsigned", differ, b * BITS).bitwiseAND(F.lit(255))) <= NEAR
     once = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), meet)) == F.col("block")
-    pairs = blocks.join(_within(probes, n_items * BLOCKS * len(MASKS)), ["n_words", "block", "value"]).where((F.bit_count(differ) <= radius) & once)
+    pairs = blocks.join(probes, ["n_words", "block", "value"]).where((F.bit_count(differ) <= radius) & once)
+    pairs = pairs.join(_within(signed.select("item", "n_words", "iws"), n_placed * WEIGHT_BYTES), ["item", "n_words"])
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["w"])
     common = F.aggregate(F.filter("ws", lambda x: F.array_contains(F.transform("iws", lambda y: y["s"]), x["s"])), F.lit(0.0), lambda a, x: a + x["w"])
     scored = pairs.withColumn("common", common).withColumn("similarity", F.col("common") / (total("ws") + total("iws") - F.col("common")))
-    best = scored.where(F.col("similarity") >= threshold).groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("best"))
-    return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "best.similarity", (-F.col("best.back")).cast("long").alias("start"), F.col("best.n_words").cast("long").alias("n_words"))
+    best = scored.where(F.col("similarity") >= threshold).groupBy("_doc", "_ord", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("best"))
+    return best.select("_doc", "_ord", "item", "best.similarity", (-F.col("best.back")).cast("long").alias("start"), F.col("best.n_words").cast("long").alias("n_words"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", **options) -> DataFrame:
+    """(id, item id, similarity, start, n_words): the best window of each item that a document leaks."""
+    keyed, _ = with_row_key(docs.select(*named([id_col, "text"])).toDF("id", "text"), "id")
+    found = row_leaks(keyed, benchmark, item_col, **options)
+    return found.select(F.nullif("_doc", F.lit(NULL_ID)).alias(id_col), F.col("item").alias(item_col), "similarity", "start", "n_words")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that leak no item; a null id is never matched by id and stays."""
-    return docs.join(leaks(docs, benchmark, id_col, **options).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+    """The rows of docs that leak no item, told apart by id and text."""
+    rows = docs.select(F.struct(*named(docs.columns)).alias("row"), F.col("text").alias("text"), *named([id_col])).toDF("row", "text", "id")
+    keyed, _ = with_row_key(rows, "id")
+    gone = cut(row_leaks(keyed, benchmark, **options).select("_doc", "_ord").distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_DOCS else gone
+    return keyed.join(gone, ["_doc", "_ord"], "left_anti").select("row.*")
