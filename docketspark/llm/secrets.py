@@ -8,14 +8,15 @@ length, the transitions between kinds of characters, its entropy, the share of i
 it looks like a path, address or number, and the words beside it. A forest trained from labelled findings gives each
 candidate the probability of being a secret.
 
-``features`` finds and describes candidates, ``train`` fits a forest from described findings with a label, ``scan``
-scores. Where no findings have been labelled by hand, ``silver_labels`` labels those that are clear by themselves: a
-value that is assigned to a credential's name is a secret; addresses, hosts, paths, pure numbers and values made of
-words are not. The forest then judges those in between. Training takes a bounded sample (``max_train`` findings of the
-smallest hashes, 20,000 by default); candidates and scores cover all documents.
-
-Null and empty texts have no candidates. Repeated rows are scanned each. With labels of one kind only, there is no
-forest and the silver label (0.5 where unclear) is the score. An empty table gives an empty result.
+``features`` finds and describes candidates, ``describe_labelled`` those of labelled findings, ``train`` fits a forest from
+them, ``scan`` scores. Labelled findings are lines in which a value is marked as a secret or not (``findings`` makes a
+table of them where no team has judged its own): no rule over the features labels anything. So the corpus is read in one pass.
+Training takes a bounded sample (``max_train`` findings of the smallest hashes, 20,000 by default); candidates and scores
+cover all documents. ``silver_labels`` is a plain rule to compare a forest with.
+
+Null and empty texts have no candidates. Repeated rows, also of one or of a null id, are scanned each. Very long texts are read whole.
+With labels of one kind only, there is no forest and the rule (0.5 where it is unclear) is the score. Other columns take no part.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .findings import SCHEMA as FINDINGS
+from .findings import labelled_findings
+
 MAX_TRAIN, TREES, DEPTH = 20_000, 20, 6
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.@:\-]{16,}")
@@ -179,11 +183,21 @@ def scan(found: DataFrame, model) -> DataFrame:
     return model.transform(found.withColumn("vector", array_to_vector("x"))).withColumn("score", vector_to_array("probability")[1]).select(*found.columns, "score")
 
 
+def describe_labelled(findings: DataFrame, dictionary: Iterable[str]) -> DataFrame:
+    """(finding, value, x, label, form) of the candidates that overlap the marked value of findings.SCHEMA rows."""
+    marked = findings.select("finding", F.col("start").alias("at"), "n_chars", "label", "form")
+    found = features(findings, dictionary, "finding").join(marked, "finding")
+    return found.where("start < at + n_chars and start + length(value) > at").select("finding", "value", "x", "label", "form")
+
+
+def default_findings(spark) -> DataFrame:
+    return spark.createDataFrame(labelled_findings(), FINDINGS)
+
+
 def secrets(docs: DataFrame, dictionary: Iterable[str], labelled: DataFrame | None = None, id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """(id, start, value, score, is_secret) of every candidate; ``labelled`` has value, x and label, else silver labels train."""
-    found = features(docs, dictionary, id_col)
-    model = train(silver_labels(found) if labelled is None else labelled)
-    return scan(found, model).select(id_col, "start", "value", "score", (F.col("score") >= threshold).alias("is_secret"))
+    """(id, start, value, score, is_secret) of every candidate; ``labelled`` has value, x and label, by default those of ``default_findings``."""
+    model = train(describe_labelled(default_findings(docs.sparkSession), dictionary) if labelled is None else labelled)
+    return scan(features(docs, dictionary, id_col), model).select(id_col, "start", "value", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
 def digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -510,6 +510,24 @@ def test_secrets(spark):
     assert secrets.digest(secrets.secrets(frame(spark, rows).limit(0), dictionary)).count() == 0
 
 
+def test_forest_from_labelled_findings(spark):
+    """Held-out findings, of forms and values that training has not seen, by a forest that is given the labelled ones."""
+    dictionary = ["example", "config", "docs", "please", "changeme", "your", "here", "import", "com", "factory", "handler", "usr", "lib", "etc", "environ", "get", "mail", "www", "total", "row", "password", "secret", "token"]
+    described = lambda forms, seed: secrets.describe_labelled(spark.createDataFrame(secrets.labelled_findings(4000, seed, forms), secrets.FINDINGS), dictionary)
+    model = secrets.train(described("even", 1))
+    for forms, least in (("odd", 0.85), ("even", 0.97)):
+        r = secrets.scan(described(forms, 2), model).agg(F.avg(F.when(F.col("score") >= 0.5, F.col("label").cast("double"))).alias("precision"), F.avg(F.when(F.col("label") == 1, (F.col("score") >= 0.5).cast("double"))).alias("recall")).first()
+        assert r.precision >= least and r.recall >= least, (forms, r)
+    rng = random.Random(3)
+    hexed = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f"commit {hexed()} fixed the build") for i in range(20)] + [(100 + i, f'set token = "{hexed()}" there') for i in range(20)] + [(200, f"API_KEY={hexed()}"), (None, f"commit {hexed()}"), (1, f"see {hexed()}")]
+    rows += [(300, "word " * 30_000 + f'secret: "{hexed()}"'), rows[25], rows[25]]
+    for labelled in (None, described("all", 4)):
+        got = secrets.secrets(frame(spark, rows), dictionary, labelled).collect()
+        assert {r.doc_id for r in got if r.is_secret} == {*range(100, 120), 200, 300} and len(got) == len(rows)
+        assert sum(r.doc_id == 105 for r in got) == 3 and [r.start for r in got if r.doc_id == 200] == [8]
+
+
 def test_secrets_in_usual_forms(spark):
     aws, hexed = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "0123456789abcdef0123456789abcdef"
     forms = [
