@@ -7,6 +7,9 @@ found in another estimates containment however unequal the documents are.
 
 A fingerprint is the base64 of the sketch's sorted 48-bit hashes, 8 characters each. Equal texts have equal
 fingerprints; null, empty and blank texts have the empty one, which is like itself (1.0) and unlike all others (0.0).
+
+Repeated rows give a row each. Rows of one id, and of a null id, which comes first, follow each other by the hash of their
+texts. Very long texts are read whole. Other columns take no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .text import Words, slices
+from .text import NULL_ID, Words, named, slices
 
 K, SCALE = 5, 4
 
@@ -129,30 +132,51 @@ def _against_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     pa.array([encode(s) for s in theirs]),
                     pa.array([likeness(b[4], s) for (b, _, _), s in zip(done, theirs, strict=True)]),
                     pa.array([likeness(b[4], s) for b, _, s in done]),
+                    pa.array([containment(b[4], s) for (b, _, _), s in zip(done, theirs, strict=True)]),
+                    pa.array([containment(b[4], s) for b, _, s in done]),
+                    pa.array([containment(s, b[4]) for b, _, s in done]),
                 ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "in_edited", "in_next", "has_next"],
             )
 
 
+def stretch_of(doc: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The stretch of each (id, hash of text), in the order of both.
+
+    bounds are quantiles of the ids, in order: an id between two of them belongs to the stretch of the upper one. An id that is
+    several quantiles holds as many parts of the rows, and its rows are dealt to as many stretches by their hashes.
+    """
+    low, parts = np.searchsorted(bounds, doc, "left"), np.searchsorted(bounds, doc, "right")
+    parts = parts - low
+    share = (h.astype(np.float64) + 2.0**63) / 2.0**64
+    return low + np.where(parts > 1, np.minimum((share * parts).astype(np.int64), parts - 1), 0)
+
+
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Fingerprint of each text and of its edited text, and its likeness to that and to the next document.
 
-    Documents are ordered by id (null first, equal ids by text); the first follows the last. They are dealt by id into
-    stretches of about equal size, as many as there are shuffle partitions; the first row of each stretch goes to the
-    one before it too, so the texts cross the network once and no task sees more than its stretch. The table of
-    stretches has one small row for each shuffle partition, which bounds its broadcast. An only document follows itself.
+    in_edited and in_next are the estimated shares of the text's shingles that the edited and the next text have, has_next
+    that of the next text's shingles which this one has.
+
+    Documents are ordered by id (null first, equal ids by the hash of the text); the first follows the last. They are dealt by that into
+    stretches of about equal size, as many as there are shuffle partitions, by a search in the quantiles of the ids; the first row of each
+    stretch goes to the one before it too, so the texts cross the network once and no task sees more than its stretch. The
+    table of stretches has one small row for each shuffle partition, which bounds its broadcast. An only document follows itself.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = sorted(set(keyed.approxQuantile("doc", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    stretch = F.size(F.filter(F.array(*(F.lit(int(b)) for b in bounds)), lambda b: b < F.col("doc"))) if bounds else F.lit(0)
-    keyed = keyed.withColumn("stretch", stretch)
-    heads = {r[0]: r[1] for r in keyed.groupBy("stretch").agg(F.min(F.struct("doc", F.xxhash64("text").alias("h")))).collect()}
+    rows = docs.select(*named([id_col, "text"])).toDF("id", "text")
+    keyed = rows.select(F.coalesce(F.col("id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    bounds = np.array(sorted(int(b) for b in keyed.approxQuantile("doc", [i / n for i in range(1, n)], 0.2 / n)) if n > 1 else [], np.int64)
+    place = pandas_udf(lambda doc, h: pd.Series(stretch_of(doc.to_numpy(), h.to_numpy(), bounds).astype(np.int32)), "int")
+    keyed = keyed.withColumn("h", F.xxhash64("text"))
+    keyed = keyed.withColumn("stretch", place("doc", "h") if len(bounds) else F.lit(0))
+    heads = {r[0]: r[1] for r in keyed.groupBy("stretch").agg(F.min(F.struct("doc", "h"))).collect()}
     order = sorted(heads)
     spark = docs.sparkSession
     moved = spark.createDataFrame([(s, heads[s][0], heads[s][1], order[i - 1]) for i, s in enumerate(order)] or [(-1, 0, 0, 0)], "stretch int, doc long, h long, before int")
-    tails = keyed.withColumn("h", F.xxhash64("text")).join(F.broadcast(moved), ["stretch", "doc", "h"]).dropDuplicates(["before"])
-    rows = keyed.select("stretch", "doc", F.lit(0).alias("extra"), "text").unionByName(tails.select(F.col("before").alias("stretch"), "doc", F.lit(1).alias("extra"), "text"))
-    rows = rows.repartitionById(max(n, 1), F.col("stretch")).withColumn("h", F.xxhash64("text")).sortWithinPartitions("stretch", "extra", "doc", "h").drop("h")
-    out = rows.mapInArrow(_against_next, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63)))).withColumnRenamed("doc_id", id_col)
+    tails = keyed.join(F.broadcast(moved), ["stretch", "doc", "h"]).dropDuplicates(["before"])
+    both = keyed.select("stretch", "doc", F.lit(0).alias("extra"), "text").unionByName(tails.select(F.col("before").alias("stretch"), "doc", F.lit(1).alias("extra"), "text"))
+    both = both.repartitionById(max(n, 1), F.col("stretch")).withColumn("h", F.xxhash64("text")).sortWithinPartitions("stretch", "extra", "doc", "h").drop("h")
+    likenesses = ("near_edited", "near_next", "in_edited", "in_next", "has_next")
+    out = both.mapInArrow(_against_next, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, " + ", ".join(f"{c} double" for c in likenesses))
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID))).withColumnRenamed("doc_id", id_col)
