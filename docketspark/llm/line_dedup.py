@@ -135,7 +135,7 @@ def _rebuild(text: int, last: int):
                     texts[k] = "\n".join(line for i, line in enumerate(texts[k].split("\n")) if i not in drop)
                     removed.append(int(hit.sum()))
                 cols = [c.slice(row, end - row) if i != text else pa.array(texts, pa.string()) for i, c in enumerate(batch.columns) if i != last]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*(n for i, n in enumerate(names) if i != last), "_n_lines", "_n_removed"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*(n for i, n in enumerate(names) if i != last), "n_lines", "n_removed"])
 
     return run
 
@@ -149,10 +149,10 @@ def _without_repeats(docs: DataFrame, id_col: str, window: int, long: int) -> tu
     n, total = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
     if n <= BROADCAST_DOCS and total <= BROADCAST_MATCHES:
         gone = F.broadcast(gone)
-    joined = keyed.join(gone, ["_doc", "_ord"], "left").select("row.*", "starts").toDF(*docs.columns, "_starts")
-    names = [*docs.columns, lines, removed]
-    schema = T.StructType([*docs.schema.fields, T.StructField(lines, T.LongType()), T.StructField(removed, T.LongType())])
-    return joined.mapInArrow(_rebuild(docs.columns.index("text"), len(docs.columns)), schema).toDF(*names), lines, removed
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # mapInArrow asks for columns by name, which a dot would break
+    joined = keyed.join(gone, ["_doc", "_ord"], "left").select("row.*", "starts").toDF(*plain, "starts")
+    schema = T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(plain, docs.schema.fields, strict=True)), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return joined.mapInArrow(_rebuild(docs.columns.index("text"), len(docs.columns)), schema).toDF(*docs.columns, lines, removed), lines, removed
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", window: int = WINDOW, long: int = LONG) -> DataFrame:

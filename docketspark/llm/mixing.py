@@ -5,8 +5,10 @@ own size, and what is above that goes to the others by weight until none is abov
 its size. A document is taken floor(rate) times, plus once more when a hash of its id and the seed, read as a number
 in [0, 1), is below the fraction of the rate: reruns agree whatever the partitioning.
 
-Sources are ordered by code point, null last, and weigh ``weights`` in turn. Null texts have no words. A source
-without words has rate 0. Rows sharing an id are taken alike. An empty table gives an empty result.
+Sources are ordered by code point, null last, and weigh ``weights`` in turn. Null and empty texts have no words. A source
+without words has rate 0. Rows sharing an id, or without one, are taken alike, equal rows each by itself. Other columns stay as they are, and
+a new column whose name is taken gets _ behind. The table of sources, one narrow row each, is ordered in one task; the
+documents are not. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import free_name, named
+
 WEIGHTS = (5, 2, 1)
 #: sources whose targets may be broadcast, about 50 bytes each
 BROADCAST_SOURCES = 100_000
@@ -50,29 +54,35 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate:
     return shared.select("source", "source_size", F.when(level.isNull(), F.col("cap")).otherwise(F.least("cap", level * F.col("weight"))).alias("target"))
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", weights: Sequence[int] = WEIGHTS, max_rate: float = 3.0, seed: int = 0) -> DataFrame:
-    """docs with size, source_size, target and copies (how often the mix takes the document)."""
-    clash = [c for c in ("size", "source_size", "target", "copies", "_source") if c in docs.columns]
-    sized = docs.drop(*clash).withColumn("size", n_words())
+def _taken(docs: DataFrame, id_col: str, weights: Sequence[int], max_rate: float, seed: int) -> DataFrame:
+    """(row: all columns of docs, id, size, source_size, target, copies)."""
+    rows = docs.select(F.struct(*named(docs.columns)).alias("row"), *named([id_col, "source", "text"])).toDF("row", "id", "source", "text")
+    sized = rows.select("row", "id", "source", n_words().alias("size"))
     targets = source_targets(sized.select("source", "size"), weights, max_rate).withColumnRenamed("source", "_source")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    joined = sized.join(targets, sized.source.eqNullSafe(targets._source), "left").drop("_source")
+    joined = sized.join(targets, sized.source.eqNullSafe(targets._source), "left").drop("_source", "source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    extra = unit_hash(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(seed))) < rate - F.floor(rate)
+    extra = unit_hash(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(str(seed))) < rate - F.floor(rate)
     return joined.withColumn("copies", F.floor(rate) + extra.cast("long"))
 
 
+def copies(docs: DataFrame, id_col: str = "doc_id", weights: Sequence[int] = WEIGHTS, max_rate: float = 3.0, seed: int = 0) -> DataFrame:
+    """docs with size, source_size, target and copies (how often the mix takes the document)."""
+    new = ("size", "source_size", "target", "copies")
+    names = [free_name(c, docs.columns) for c in new]
+    return _taken(docs, id_col, weights, max_rate, seed).select("row.*", *new).toDF(*docs.columns, *names)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", weights: Sequence[int] = WEIGHTS, max_rate: float = 3.0, seed: int = 0) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with a copy number from 1 on."""
-    taken = copies(docs, id_col, weights, max_rate, seed)
-    names = [c for c in docs.columns if c in taken.columns and c not in ("size", "source_size", "target", "copies")]
-    return taken.where("copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    """The rows of docs, each as often as the mix takes it, with a copy number, copy, from 1 on."""
+    taken = _taken(docs, id_col, weights, max_rate, seed).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("number")).select("row.*", "number").toDF(*docs.columns, free_name("copy", docs.columns))
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
-    return copies(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return _taken(docs, "doc_id", WEIGHTS, 3.0, 0).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 SQL = r"""

@@ -15,7 +15,8 @@ default), however rare labels are among the documents, and about ``max_train`` o
 text; at most two rows an id and in all about 20 MB of features on the driver. Everything else is distributed. Scores
 depend on the text alone. Null and empty texts score like any text without words. With no positive label there is nothing to learn: the
 score is 1.0 and nothing is rejected. Rows sharing an id are scored one by one; if labels disagree on an id, the
-lower label counts; a null id is never a label. An empty table gives an empty result.
+lower label counts; a null id is never a label. Very long texts are read whole. Other columns stay as they are, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .text import Words, slices
+from .text import Words, free_name, named, slices
 
 MAX_TRAIN, MAX_LABELS = 60_000, 30_000
 BINS = 8
@@ -174,11 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_train:
     return fit_nnpu(x[quality == 1], x[unlabelled] if unlabelled.any() else x, prior)
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataFrame:
-    """docs with score (0 to 1)."""
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs with score (0 to 1), or score_ where docs has such a column."""
+    name, names = free_name("score", docs.columns), docs.columns
     if model is None:
-        return docs.withColumn("score", F.lit(1.0))
-    names = [c for c in docs.columns if c != "score"]
+        return docs.withColumn(name, F.lit(1.0))
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,18 +188,19 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataF
             scores = [model.score(text_features(data, offsets)) for _, _, data, offsets in slices(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names, "score"])
 
-    schema = docs.select(names).schema.add("score", "double")
-    return docs.select(names).mapInArrow(run, schema)
+    plain = [f"c{i}" for i in range(len(names))]  # mapInArrow asks for columns by name, which a dot would break
+    schema = T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(plain, docs.schema.fields, strict=True)), T.StructField("score", T.DoubleType())])
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*names, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.7, max_train: int = MAX_TRAIN, max_labels: int = MAX_LABELS) -> DataFrame:
     """id, held_out, score, predicted of each row of docs."""
     model = train(docs, labels, id_col, max_train, max_labels)
-    scored = score(docs.select(id_col, "text"), model, id_col)
+    scored = score(docs.select(id_col, "text"), model)
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.7, max_train: int = MAX_TRAIN, max_labels: int = MAX_LABELS) -> DataFrame:
     """The rows of docs that the classifier does not reject."""
-    columns = docs.columns
-    return score(docs, train(docs, labels, id_col, max_train, max_labels), id_col).where(F.col("score") >= threshold).select(columns)
+    scored = score(docs, train(docs, labels, id_col, max_train, max_labels))
+    return scored.where(scored[scored.columns[-1]] >= threshold).select(*named(docs.columns))

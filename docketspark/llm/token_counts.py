@@ -7,7 +7,8 @@ word costs one pass over its bytes and no piece is ever built.
 
 Words are the matches of a pattern in the text (by default letters, single digits, and other signs, each ended by a
 word-end sign), lower-cased in normal form C. A word that no sequence of greedy pieces covers counts as one token.
-Null and empty texts have none. Any row gives one row, repeated ids included. An empty table gives an empty result.
+Null and empty texts have none; very long texts, and words, are read whole. Any row gives one row, repeated and null ids included. Other
+columns take no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 END = 0xFF
 #: fixed values: how the vocabulary's tokenizer cuts texts into words
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-#: words whose counts a task remembers
-CACHE = 500_000
+#: words whose counts a task remembers, and the signs that such a word has at most: some 100 MB
+CACHE, CACHED = 500_000, 64
 
 
 @dataclass
@@ -104,9 +105,10 @@ class Counter(dict):
 
     def __missing__(self, word: str) -> int:
         n = self.count(word.encode() + bytes([END]))
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = n
+        if len(word) <= CACHED:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = n
         return n
 
 

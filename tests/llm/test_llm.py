@@ -15,7 +15,9 @@ from docketspark.llm.graph import connected_components
 from docketspark.llm.text import with_row_key
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, score string, doc string, lo int"
+#: the columns of documents and others whose names the operators use themselves, or that need quotes
+EXTRA = ("kept", "size", "score", "doc", "lo", "copy", "copies", "target", "source_size", "n_lines", "n_removed", "h", "id", "row", "_doc", "_ord", "bucket", "node", "a", "b", "x.y", "held_out")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
 
 
 def corpus(seed: int = 1) -> list[tuple[int | None, str | None]]:
@@ -38,7 +40,7 @@ def corpus(seed: int = 1) -> list[tuple[int | None, str | None]]:
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", "z", "q", "d", 1) for i, t in rows], SCHEMA).repartition(5)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *(f"{c} of {i}" for c in EXTRA)) for i, t in rows], SCHEMA).repartition(5)
 
 
 @pytest.fixture(scope="module")
@@ -204,7 +206,8 @@ def test_components(spark):
 def test_lines_removed_as_by_brute_force(spark, docs, window):
     out = line_dedup.remove_repeated_lines(docs, window=window)
     assert out.columns[: len(docs.columns)] == docs.columns
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in out.collect()}
+    assert all(tuple(r)[5 : len(docs.columns)] == tuple(f"{c} of {r.doc_id}" for c in EXTRA) for r in out.collect())
+    got = {r.doc_id: (r["n_lines_"], r["n_removed_"], r.text) for r in out.collect()}
     seen: set[tuple] = set()
     for i, t in sorted(corpus()):
         lines = (t or "").split("\n")
@@ -222,7 +225,7 @@ def test_lines_removed_as_by_brute_force(spark, docs, window):
 def test_long_single_lines_need_no_neighbour(spark):
     long, short = " ".join(f"w{i}" for i in range(line_dedup.LONG)), " ".join(f"w{i}" for i in range(line_dedup.LONG - 1))
     rows = [(1, long), (2, long), (3, f"a\n{long}\nb"), (4, short), (5, short), (6, f"c\n{short}\nd"), (7, f"{long} more"), (8, f"e\nf\n\n{long}"), (9, "e\nf")]
-    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.remove_repeated_lines(frame(spark, rows)).collect()}
+    got = {r.doc_id: (r["n_removed_"], r.text) for r in line_dedup.remove_repeated_lines(frame(spark, rows)).collect()}
     assert got == {1: (0, long), 2: (1, ""), 3: (1, "a\nb"), 4: (0, short), 5: (0, short), 6: (0, rows[5][1]), 7: (0, rows[6][1]), 8: (1, "e\nf\n"), 9: (2, "")}
     assert {r.doc_id for r in line_dedup.drop_repeated_lines(frame(spark, rows)).collect()} == {1, 3, 4, 5, 6, 7, 8}
 
@@ -257,9 +260,42 @@ def test_fingerprints(spark, docs):
     assert fingerprints.containment(fingerprints.decode(fingerprints.encode(both)), both) == 1.0
 
 
+def test_fingerprints_of_very_unequal_texts(spark):
+    """Containment, both ways, against exact shares; shared, null and repeated ids; stretches of one id."""
+    rng = random.Random(14)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, errors = [], []
+    for i in range(12):
+        small = line(400)
+        rows += [(2 * i, small), (2 * i + 1, f"{line(6000)} {small[: len(small) * i // 12]} {line(20_000 if i == 3 else 10)}")]
+    got = {r.doc_id: r for r in fingerprints.compare_with_next(frame(spark, rows)).collect()}
+    for (i, t), (_, following) in zip(rows, rows[1:], strict=False):
+        a, b = shingle_set(t, 5), shingle_set(following, 5)
+        errors += [got[i].in_next - len(a & b) / len(a), got[i].has_next - len(a & b) / len(b)]
+        edit = shingle_set(fingerprints.edited(t, following), 5)
+        errors.append(got[i].in_edited - len(a & edit) / len(a))
+    assert max(map(abs, errors)) < 0.15 and np.mean(np.abs(errors)) < 0.02
+    pairs = [fingerprints.sketches(__import__("pyarrow").array([x])) [0] for x in (rows[0][1], rows[1][1])]
+    whole = fingerprints.sketches(__import__("pyarrow").array([rows[0][1] + " " + rows[1][1]]))[0]
+    assert len(np.setxor1d(fingerprints.merge(*pairs), whole)) <= 8  # but for shingles across the border
+    odd = [(1, "a b"), (1, "c d e"), (1, "c d e"), (None, "x y z"), (None, "u v"), (2, None), (3, "")] * 3 + [(None, f"t{i} t t") for i in range(60)]
+    order = sorted(((r.i is not None, r.i, r.h), r.t) for r in frame(spark, odd).select(F.col("doc_id").alias("i"), F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t")).collect())
+    want = [(key[1], hashlib.sha256(fingerprints.edited(t, order[(n + 1) % len(order)][1]).encode()).hexdigest()) for n, (key, t) in enumerate(order)]
+    got = [(r.doc_id, r.edited_sha256) for r in fingerprints.compare_with_next(frame(spark, odd)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_stretches_keep_the_order_and_split_hot_ids():
+    rng = np.random.default_rng(2)
+    doc, h = np.sort(np.where(rng.random(4000) < 0.4, 7, rng.integers(-50, 50, 4000))), rng.integers(-(2**63), 2**63 - 1, 4000)
+    order = np.lexsort((h, doc))
+    s = fingerprints.stretch_of(doc[order], h[order], np.quantile(doc, np.arange(1, 10) / 10, method="nearest").astype(np.int64))
+    assert (np.diff(s) >= 0).all() and np.bincount(s).max() < 1000
+
+
 def test_mixing(spark):
     rng = random.Random(3)
-    rows = [(i, "w " * rng.randint(0, 30), "en", rng.choice(["a", "b", "c", None, "é"]), 0, "k", "z", "q", "d", 1) for i in range(3000)] + [(9000, None, "en", "none", 0, "k", "z", "q", "d", 1)]
+    rows = [(i, "w " * rng.randint(0, 30), "en", rng.choice(["a", "b", "c", None, "é"]), 0, *(f"{c} of {i}" for c in EXTRA)) for i in range(3000)] + [(9000, None, "en", "none", 0, *(f"{c} of 9000" for c in EXTRA))]
     df = spark.createDataFrame(rows, SCHEMA)
     got = mixing.mix_digest(df).collect()
     source = {r[0]: r[3] for r in rows}
@@ -282,7 +318,15 @@ def test_mixing(spark):
         assert abs(sum(r.taken for r in mine) - target[s]) <= 0.1 * target[s] + 30
     assert sorted(got) == sorted(mixing.mix_digest(df.repartition(7)).collect())
     copies = mixing.mix(df)
-    assert copies.columns == [*df.columns[:6], "score", "doc", "lo", "copy"] or "copy" in copies.columns
+    assert copies.columns == [*df.columns, "copy_"] and mixing.mix(df.drop("copy")).columns == [*df.drop("copy").columns, "copy"]
+    counted: dict = {}
+    for r in copies.collect():
+        assert tuple(r)[5:-1] == tuple(f"{c} of {r.doc_id}" for c in EXTRA)
+        counted.setdefault(r.doc_id, []).append(r["copy_"])
+    taken = {r.doc_id: r["copies_"] for r in mixing.copies(df).collect()}
+    assert all(sorted(counted.get(i, [])) == list(range(1, n + 1)) for i, n in taken.items())
+    twice = mixing.mix_digest(df.where("doc_id = 5").unionByName(df).unionByName(df.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long")))).where("doc_id = 5 or doc_id is null").collect()
+    assert len(twice) == 3 and len({tuple(r) for r in twice if r.doc_id == 5}) == 1
     assert mixing.mix_digest(df.limit(0)).count() == 0
 
 
@@ -297,7 +341,8 @@ def test_quality(spark):
     held = [r for i, r in got.items() if r.held_out and i < 600]
     assert len(got) == 602 and held and np.mean([r.predicted == int(r.doc_id % 5 != 0) for r in held]) > 0.97
     assert all(0 <= r.score <= 1 for r in got.values())
-    assert quality.keep_good(df, labels).columns == df.columns
+    good_rows = quality.keep_good(df, labels)
+    assert good_rows.columns == df.columns and all(tuple(r)[5:] == tuple(f"{c} of {r.doc_id}" for c in EXTRA) for r in good_rows.collect())
     nothing = quality.classify(df, labels.limit(0)).select("score").distinct().collect()
     assert [r.score for r in nothing] == [1.0]
     only = quality.classify(df, labels.where("quality = 1")).collect()
@@ -306,7 +351,7 @@ def test_quality(spark):
     rare = frame(spark, rows + [(0, rows[0][1])] * 300)
     model = quality.train(rare, labels.where("doc_id < 150"), max_train=200)
     scored = quality.score(rare, model).where("doc_id >= 150 and doc_id < 600").collect()
-    assert np.mean([(r.score >= 0.5) == (r.doc_id % 5 != 0) for r in scored]) > 0.95
+    assert np.mean([(r["score_"] >= 0.5) == (r.doc_id % 5 != 0) for r in scored]) > 0.95
 
 
 def test_decontamination(spark, docs):
@@ -602,7 +647,7 @@ def test_lines_of_shared_and_null_ids(spark):
                 if (a + size <= len(solid) and (size == 2 or len(keys[a]) >= line_dedup.LONG)) and seen.setdefault(key, (d, o, a)) != (d, o, a):
                     gone |= set(solid[a : a + size])
         want.append((i, len(solid), len(gone), "\n".join(x for n, x in enumerate(lines) if n not in gone) if t is not None else None))
-    got = [(r.doc_id, r.n_lines, r.n_removed, r.text) for r in line_dedup.remove_repeated_lines(frame(spark, rows)).collect()]
+    got = [(r.doc_id, r["n_lines_"], r["n_removed_"], r.text) for r in line_dedup.remove_repeated_lines(frame(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     cases = [(0, "a b\nc d"), (1, "a b\nc d"), (1, "p q\nr s\nt u")]
     assert sorted((r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(frame(spark, cases)).collect()) == [cases[0], cases[2]]
