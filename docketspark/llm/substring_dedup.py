@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .text import MAX64, Words, mix, named, slices, span_hashes, with_row_key
 
 WIDTH, GRAM, DEPTH = 20, 8, 2
-BUCKET_BYTES, SHARD_KEYS, CELL_BITS = 16 << 20, 1 << 20, 31
+BUCKET_BYTES, SHARD_KEYS, CELL_BITS = 16 << 20, 1 << 19, 31
 #: places that a task gathers before it hands on a sketch of them
 FLUSH = 1_000_000
 #: rows of an Arrow batch handed back
@@ -225,7 +225,7 @@ def _dealt(docs: DataFrame, id_col: str, bucket_bytes: int, shard_keys: int) ->
     keyed, _ = with_row_key(docs.select(*named([id_col, "text"])).toDF("_id", "text"), "_id")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets, shards = max(8 * n, size // bucket_bytes), max(n, size // (42 * shard_keys))
+    buckets, shards = max(8 * n, size // bucket_bytes), 1 + size // (42 * shard_keys)
     rows = keyed.select(F.pmod(F.xxhash64("_doc", "_ord"), F.lit(buckets)).cast("int").alias("bucket"), "_id", "_doc", "_ord", "text")
     return rows.repartition(n, "bucket"), int(buckets), int(shards)
 
