@@ -67,7 +67,7 @@ def finished_records(raw: DataFrame, as_of: Column, id_col: str = "record_id") -
 def extract(regions: DataFrame, as_of: Column, secondary: DataFrame | None = None) -> DataFrame:
     """Text boxes, of one OCR pass or two, to finished records with image_id and row_idx."""
     boxes = regions if secondary is None else merge.merge_ocr(regions, secondary)
-    raw = layout.cells_to_records(layout.rows_from_regions(boxes.repartition("image_id")))
+    raw = layout.cells_to_records(layout.rows_from_regions(boxes))
     keyed = raw.withColumn("record_id", F.col("image_id") * 1_000_000 + F.col("row_idx"))
     return finished_records(keyed, as_of)
 

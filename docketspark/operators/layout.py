@@ -1,7 +1,7 @@
 """Text boxes of page images to rows, columns, cells and records.
 
-All work is per image: every window and aggregation has image_id as its key, so one exchange by image_id serves them
-all. A box is known by (image_id, region_idx); region_idx ascending is the reading order of the OCR engine.
+All work is per image: every window and aggregation has image_id in its key, and from boxes to records there are no joins,
+so the boxes are read once and one exchange by image_id serves all steps. A box is known by (image_id, region_idx); region_idx ascending is the reading order of the OCR engine.
 """
 
 from __future__ import annotations
@@ -43,12 +43,12 @@ def rows_from_regions(regions: DataFrame, vertical_threshold: int = 20, same_box
     """Boxes in rows and order; of identical boxes in one image, the last one's values stand for all ("keep": each its own)."""
     if same_box not in ("last", "keep"):
         raise ValueError(f"same_box: {same_box}")
-    boxes = region_boxes(regions)
+    rows = cluster_rows(region_boxes(regions), vertical_threshold)  # first, as it deals the boxes by image alone
     if same_box == "last":
-        values = [c for c in ("text", "raw_text", "confidence", "engine") if c in boxes.columns]
+        values = [c for c in ("text", "raw_text", "confidence", "engine") if c in rows.columns]
         same = Window.partitionBy("image_id", *BOX).orderBy("region_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        boxes = boxes.withColumns({c: F.last(c).over(same) for c in values})
-    return order_row_items(cluster_rows(boxes, vertical_threshold))
+        rows = rows.withColumns({c: F.last(c).over(same) for c in values})
+    return order_row_items(rows)
 
 
 def column_boundaries(boxes: DataFrame, gap: int = 30) -> DataFrame:
@@ -83,6 +83,28 @@ def _keywords(text: Column) -> Column:
     return sum((F.contains(text, F.lit(k.lower())).cast("int") for k in HEADER_KEYWORDS), F.lit(0))
 
 
+def _described(rows: DataFrame) -> DataFrame:
+    """rows with _line (the texts of its row in order), _n (its boxes) and _header (the image's header row), by windows alone."""
+    line = Window.partitionBy("image_id", "row_idx")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text"))).over(line)), lambda x: x["text"])
+    out = rows.withColumn("_n", F.count("*").over(line)).withColumn("_line", F.array_join(texts, " "))
+    header = F.min(F.when(_keywords(F.lower("_line")) >= 2, F.col("row_idx"))).over(Window.partitionBy("image_id"))
+    return out.withColumn("_header", F.coalesce(header, F.lit(0)).cast("long"))
+
+
+def _has_phrase(line: Column) -> Column:
+    found = F.lit(False)
+    for p in SECTION_PHRASES:
+        found = found | F.contains(line, F.lit(p))
+    return found
+
+
+def _cells(described: DataFrame, expected: int) -> DataFrame:
+    raw = F.coalesce("raw_text", F.lit("")) if "raw_text" in described.columns else F.lit("")
+    cells = described.where((F.col("row_idx") != F.col("_header")) & (F.col("pos") < expected))
+    return cells.select("image_id", "row_idx", F.col("pos").alias("col_idx"), strip(F.coalesce("text", F.lit(""))).alias("content"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), raw.alias("raw_ocr"))
+
+
 def detect_header_row(rows: DataFrame) -> DataFrame:
     """(image_id, header_row_idx): the first row with two header words or more, else row 0."""
     matches = _keywords(F.lower(F.array_join("texts", " ")))
@@ -91,16 +113,14 @@ def detect_header_row(rows: DataFrame) -> DataFrame:
 
 def column_headers(rows: DataFrame) -> DataFrame:
     """(image_id, header_row_idx, column_headers): the header row's texts, stripped, without empty ones."""
-    header = detect_header_row(rows)
-    texts = F.filter(F.transform("texts", strip), lambda t: t != "")
-    return _row_texts(rows).join(header, "image_id").where(F.col("row_idx") == F.col("header_row_idx")).select("image_id", "header_row_idx", texts.alias("column_headers"))
+    header = _described(rows).where(F.col("row_idx") == F.col("_header"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", strip(F.coalesce("text", F.lit(""))).alias("text")))), lambda x: x["text"])
+    return header.groupBy("image_id", F.col("_header").alias("header_row_idx")).agg(F.filter(texts, lambda t: t != "").alias("column_headers"))
 
 
 def parse_cells(rows: DataFrame, expected: int = 4) -> DataFrame:
     """(image_id, row_idx, col_idx, content, confidence, raw_ocr): the first columns of all rows but the header."""
-    raw = F.coalesce("raw_text", F.lit("")) if "raw_text" in rows.columns else F.lit("")
-    cells = rows.join(detect_header_row(rows), "image_id").where((F.col("row_idx") != F.col("header_row_idx")) & (F.col("pos") < expected))
-    return cells.select("image_id", "row_idx", F.col("pos").alias("col_idx"), strip(F.coalesce("text", F.lit(""))).alias("content"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), raw.alias("raw_ocr"))
+    return _cells(_described(rows), expected)
 
 
 def table_structure(rows: DataFrame, expected: int = 4) -> DataFrame:
@@ -111,11 +131,7 @@ def table_structure(rows: DataFrame, expected: int = 4) -> DataFrame:
 
 def section_headings(rows: DataFrame) -> DataFrame:
     """(image_id, row_idx) of rows of one or two boxes whose text has a heading's phrase."""
-    joined = F.array_join("texts", " ")
-    phrase = F.lit(False)
-    for p in SECTION_PHRASES:
-        phrase = phrase | F.contains(joined, F.lit(p))
-    return _row_texts(rows).where((F.col("n") <= 2) & phrase).select("image_id", "row_idx")
+    return _row_texts(rows).where((F.col("n") <= 2) & _has_phrase(F.array_join("texts", " "))).select("image_id", "row_idx")
 
 
 def cell_lookup(cells: DataFrame, row: int, col: int | None = None) -> DataFrame:
@@ -131,7 +147,7 @@ def cells_to_records(rows: DataFrame, expected: int = 4) -> DataFrame:
 
     Columns are case number, date, party and advocate by position; a missing cell is a dash of confidence 0.
     """
-    cells = parse_cells(rows, expected).join(section_headings(rows), ["image_id", "row_idx"], "left_anti")
+    cells = _cells(_described(rows).where((F.col("_n") > 2) | ~_has_phrase(F.col("_line"))), expected)
     at = lambda k, c: F.max(F.when(F.col("col_idx") == k, F.col(c)))
     wide = cells.groupBy("image_id", "row_idx").agg(*(at(k, "content").alias(f"_{f}") for k, f in enumerate(FIELDS)), *(F.coalesce(at(k, "confidence"), F.lit(0.0)).alias(f"{c}_confidence") for k, c in enumerate(("case_number", "date", "party_name", "advocate"))))
     kinds = ("text", "text", "party", "advocate")

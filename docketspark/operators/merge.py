@@ -12,20 +12,19 @@ def merge_ocr(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """Boxes of two passes over the same images, matched by lower-cased text within an image.
 
     A primary box keeps its text and polygon and gets the mean confidence with the first matching secondary box;
-    secondary boxes without a match follow. source tells primary from secondary rows. Both sides are dealt by image_id
-    alone, so that layout stages after it need no other exchange.
+    secondary boxes without a match follow. source tells primary from secondary rows. Both passes are read once, as one
+    table that is dealt by image_id alone, so that layout stages after it need no other exchange.
     """
     values = [c for c in primary.columns if c in secondary.columns and c not in ("confidence", "engine")]
-    key = F.lower(F.coalesce("text", F.lit("")))
-    p = primary.withColumn("_key", key).repartition("image_id")
-    s = secondary.withColumn("_key", key).repartition("image_id")
-    first = s.withColumn("_n", F.row_number().over(Window.partitionBy("image_id", "_key").orderBy("region_idx"))).where("_n = 1").select("image_id", "_key", F.col("confidence").alias("_other"))
-    matched = F.col("_other").isNotNull()
-    engine = F.col("engine") if "engine" in primary.columns else F.lit("paddle")
-    both = p.join(first, ["image_id", "_key"], "left").select(*values, F.when(matched, (F.col("confidence") + F.col("_other")) / 2.0).otherwise(F.col("confidence")).alias("confidence"), F.when(matched, "paddle+secondary").otherwise(engine).alias("engine"), F.lit("primary").alias("source"))
-    other = F.col("engine") if "engine" in secondary.columns else F.lit("secondary")
-    alone = s.join(p.select("image_id", "_key").distinct(), ["image_id", "_key"], "left_anti").select(*values, "confidence", other.alias("engine"), F.lit("secondary").alias("source"))
-    return both.unionByName(alone)
+    engine = lambda df, name: F.col("engine") if "engine" in df.columns else F.lit(name)
+    side = lambda df, name: df.select(*values, "confidence", engine(df, "paddle" if name == "primary" else name).alias("engine"), F.lit(name).alias("source"), F.lower(F.coalesce("text", F.lit(""))).alias("_key"))
+    both = side(primary, "primary").unionByName(side(secondary, "secondary")).repartition("image_id")
+    same, is_first = Window.partitionBy("image_id", "_key"), F.col("source") == "primary"
+    both = both.withColumn("_other", F.min(F.when(~is_first, F.struct("region_idx", "confidence"))).over(same)).withColumn("_met", F.max(is_first).over(same))
+    matched = is_first & F.col("_other").isNotNull() & F.col("_other.confidence").isNotNull()
+    confidence = F.when(matched, (F.col("confidence") + F.col("_other.confidence")) / 2.0).otherwise(F.col("confidence"))
+    kept = both.where(is_first | ~F.col("_met"))
+    return kept.select(*values, confidence.alias("confidence"), F.when(matched, "paddle+secondary").otherwise(F.col("engine")).alias("engine"), "source")
 
 
 def page_confidence(merged: DataFrame) -> DataFrame:

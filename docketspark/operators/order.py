@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_sort_key
 from ..functions.text import CASE_PATTERN, let, natural_sort_key, strip
+from .sizing import broadcast_if_small, materialize
 
 
 def case_sort_key(c: Column) -> Column:
@@ -76,11 +77,29 @@ def sort_by_mode(df: DataFrame, mode: str = "prefix_number_year", id_col: str =
 
 
 def group_and_sort(df: DataFrame, group_field: str, sort_field: str = "case_number", id_col: str = "record_id") -> DataFrame:
-    """df with group_value and pos, the place in the group; rows stay flat, so no group is ever gathered in memory."""
+    """df with group_value and pos, the place in the group; rows stay flat, and a group of any size is sorted by many tasks.
+
+    Rows are dealt by ranges of group and order; a row's place is its place in its range and group, and how many rows of the
+    group the ranges before it hold.
+    """
     value = F.coalesce(F.col(group_field).cast("string"), F.lit("unknown")) if group_field in df.columns else F.lit("unknown")
     out = df.withColumn("group_value", value)
-    order = Window.partitionBy("group_value").orderBy(sort_key(sort_field), F.col(id_col))
-    return out.withColumn("pos", F.row_number().over(order).cast("long"))
+    order = [sort_key(sort_field), F.col(id_col)]
+    ranged = materialize(out.repartitionByRange("group_value", *order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part", "group_value").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy("group_value").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", "group_value", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    placed = ranged.withColumn("pos", F.row_number().over(Window.partitionBy("_part", "group_value").orderBy(*order)).cast("long"))
+    return placed.join(broadcast_if_small(offsets), ["_part", "group_value"]).withColumn("pos", F.col("pos") + F.col("_before")).select(*out.columns, "pos")
+
+
+def with_position(df: DataFrame, orders: list[Column]) -> DataFrame:
+    """df with position, the place from 1 on of each row in a total order; sorted by ranges, of which only the sizes meet in one task."""
+    ranged = materialize(df.repartitionByRange(*orders).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    placed = ranged.withColumn("position", F.row_number().over(Window.partitionBy("_part").orderBy(*orders)).cast("long"))
+    return placed.join(F.broadcast(offsets), "_part").withColumn("position", F.col("position") + F.col("_before")).select(*df.columns, "position")
 
 
 def page(df: DataFrame, limit: int = 100, offset: int = 0, id_col: str = "record_id") -> DataFrame:

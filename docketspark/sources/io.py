@@ -38,7 +38,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def write_records(records: DataFrame, path: str, mode: str = "append") -> None:
     """Parquet, a folder for each run, dealt by run so that a task writes few files."""
-    records.repartition("run_id").write.mode(mode).partitionBy("run_id").parquet(path)
+    records.hint("rebalance", F.col("run_id")).write.mode(mode).partitionBy("run_id").parquet(path)
 
 
 def write_jdbc(records: DataFrame, url: str, table: str, **options: str) -> None:
