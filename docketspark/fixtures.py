@@ -67,6 +67,19 @@ SELECT image_id, region_idx,
 FROM r WHERE (image_id + region_idx) % 4 <> 0
 """
 
+REGIONS_HEADED = f"""
+SELECT * FROM ({REGIONS_FLAT})
+UNION ALL
+SELECT o_orderkey AS image_id, CAST(9000 + k AS BIGINT) AS region_idx,
+  CASE CAST((o_orderkey + k) % 6 AS INT) WHEN 0 THEN 'For Orders' WHEN 1 THEN 'Arguments (part)' WHEN 2 THEN 'for orders' WHEN 3 THEN 'Service Pending' WHEN 4 THEN 'Steps to' ELSE 'SC/1/2001' END AS text,
+  CAST(0.9 AS DOUBLE) AS confidence, CAST(k * 200 AS DOUBLE) AS x_min, CAST(900 AS DOUBLE) AS y_min, CAST(k * 200 + 150 AS DOUBLE) AS x_max, CAST(930 AS DOUBLE) AS y_max
+FROM orders CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k) n WHERE k <= o_orderkey % 4
+"""
+
+IMAGES_2X2 = r"""
+SELECT p_partkey AS image_id, CAST(p_partkey % 256 AS BIGINT) AS a, CAST((p_partkey * 7) % 256 AS BIGINT) AS b, CAST(p_size * 5 AS BIGINT) AS c, CAST((p_partkey * p_size) % 256 AS BIGINT) AS d FROM part
+"""
+
 DOCUMENTS_META = r"""
 SELECT doc_id, 'list_' || CAST(doc_id AS STRING) || CASE CAST(doc_id % 9 AS INT) WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.jpg' WHEN 3 THEN '.jpeg'
     WHEN 4 THEN '.tiff' WHEN 5 THEN '.bmp' WHEN 6 THEN '.webp' WHEN 7 THEN '' ELSE '.tar.gz' END AS filename,
@@ -105,3 +118,10 @@ def regions(spark: SparkSession, sf_dir: str, sql: str = REGIONS_FLAT) -> DataFr
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     flat = view(spark, sf_dir, sql)
     return flat.select("image_id", "region_idx", "text", F.col("text").alias("raw_text"), "confidence", F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("bounding_box"), F.lit("paddle").alias("engine"))
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gray pictures of two by two pixels, as Spark's image reader hands pictures on."""
+    pixels = view(spark, sf_dir, IMAGES_2X2)
+    data = F.unhex(F.concat(*(F.lpad(F.hex(F.col(c)), 2, "0") for c in "abcd")))
+    return pixels.select(F.struct(F.col("image_id").cast("string").alias("origin"), F.lit(2).alias("height"), F.lit(2).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data")).alias("image"))

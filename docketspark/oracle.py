@@ -6,9 +6,16 @@ Each function gives SQL text; a query's text is put together from common table e
 from __future__ import annotations
 
 from . import fixtures as fx
-from .functions.dates import DATE_PATTERN, DATE_SWAPS
-from .functions.text import ABBREVIATIONS, CASE_PATTERN, CASE_SWAPS, KNOWN_PREFIXES
-from .operators.layout import HEADER_KEYWORDS, SECTION_PHRASES
+
+#: fixed values, stated here once more so that a slip in the library shows: prefixes, patterns, signs taken for each other, words of headers and headings
+KNOWN_PREFIXES = ("CRLA", "CRL", "CRLM", "CRL.M.P", "CRL.A", "SC", "WP", "WMP", "OS", "AS", "SA", "MFA", "IA", "RFA")
+CASE_PATTERN = r"^([A-Z]+\.?[A-Z]?\.?[A-Z]?)/([0-9]+)/([0-9]{4})$"
+CASE_SWAPS = (("O", "0"), ("0", "O"), ("I", "1"), ("1", "I"), ("S", "5"), ("5", "S"))
+ABBREVIATIONS = ("ADPP", "APP", "ASP", "SP")
+DATE_PATTERN = r"^(\d{1,2})[-/.]?(\d{1,2})[-/.]?(\d{4})$"
+DATE_SWAPS = (("O", "0"), ("0", "O"), ("I", "1"), ("1", "I"))
+HEADER_KEYWORDS = ("Case", "Number", "Party", "Advocate", "Sr", "No", "Date", "Hearing")
+SECTION_PHRASES = ("Arguments", "Judgement", "For Orders", "Await Records", "For Further Proceedings", "Admission", "CMP Pending", "Service Pending", "Steps", "For Hearing", "Disposal")
 
 AS_OF = f"DATE '{fx.AS_OF}'"
 FAR = f"CAST({AS_OF} + INTERVAL 365 DAY AS DATE)"
@@ -315,3 +322,28 @@ SQL |= {
     "o4_sort_by_party_name": _keys + "SELECT record_id, party_name FROM k",
     "o5_sort_by_fields": _keys + _sorted.format(cols="prefix, key_year", order="prefix DESC, number DESC, year DESC, key_year DESC, key_month DESC, key_day DESC, record_id DESC"),
 }
+
+# what the queries above leave out: headings that are there, confidences, positions in an order, words in common, images
+_headed = lambda name: SQL[name].replace(fx.REGIONS_FLAT, fx.REGIONS_HEADED)
+_word_list = lambda x: rf"list_distinct(list_filter(string_split_regex({x}, '\s+'), lambda w: w <> ''))"
+_one_has_all = lambda a, b: f"(len(list_intersect({a}, {b})) > 0 AND (len(list_intersect({a}, {b})) = len({a}) OR len(list_intersect({a}, {b})) = len({b})))"
+_level_cells = "|| '</td><td><span class=''' || lower(confidence_level) || '''>' || upper(confidence_level) || '</span></td>' || CASE WHEN needs_review THEN '<td>Yes</td>' ELSE '<td>No</td>' END || '</tr>' AS value, abs(round(overall_confidence * 100, 2) - overall_confidence * 100) <= 0.0050000001 AS near"
+SQL |= {
+    "l11_headings_present": _headed("l11_section_headings"),
+    "l12_records_without_headings": _headed("l12_cells_to_records"),
+    "k6_html_rows_confidence": SQL["k6_html_rows"].replace("|| '</td></tr>' AS value", _level_cells).replace("SELECT '<tr'", "SELECT record_id, '<tr'"),
+    "f4_list_view_confidence": f"WITH {SCORED} SELECT record_id, case_number, round(overall_confidence, 9) AS exact, abs(round(overall_confidence, 4) - overall_confidence) <= 0.00005000001 AS near FROM levelled",
+    "f3_export_filter": f"WITH {SCORED} SELECT record_id, confidence_level, needs_review FROM levelled WHERE confidence_level = 'MEDIUM' AND needs_review",
+    "o2_case_number_positions": f"WITH {CLEANED}, k AS (SELECT record_id, {CASE_KEY('case_number')} FROM cleaned) SELECT record_id, row_number() OVER (ORDER BY prefix, number, year, record_id) AS position FROM k",
+    "o4_party_name_positions": f"WITH {CLEANED}, k AS (SELECT record_id, list_transform({NATURAL.format('party_name')}, lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN lpad(x, 20, '0') ELSE x END) AS key FROM cleaned) SELECT record_id, row_number() OVER (ORDER BY key, record_id) AS position FROM k",
+    "o6_number_positions": f"WITH {CLEANED}, k AS (SELECT record_id, {CASE_KEY('case_number')} FROM cleaned) SELECT record_id, number, row_number() OVER (ORDER BY number, record_id) AS position FROM k",
+    "o8_page_counts": f"WITH {CLEANED} SELECT count(*) AS total, CAST(ceil(count(*) / 20) AS BIGINT) AS pages FROM cleaned",
+    "a7_group_members": f"WITH {CLEANED} SELECT CAST(page_number * 1000 + run_id AS VARCHAR) AS group_value, array_to_string(list_sort(list(record_id)), ',') AS members FROM cleaned GROUP BY 1",
+    "d0_words_in_common": f"WITH {CLEANED}, w AS (SELECT record_id, {_word_list('raw_party_name')} AS a, {_word_list('party_name')} AS b FROM cleaned) SELECT record_id, {_one_has_all('a', 'b')} AS is_full FROM w",
+    "j2_equal_parties": f"WITH {CLEANED}, g AS MATERIALIZED (SELECT case_number AS c, party_name AS p, min(record_id) AS f, count(*) AS n, {_word_list('party_name')} AS w FROM cleaned GROUP BY 1, 2), "
+    "m AS (SELECT 'member' AS kind, f AS id1, record_id AS id2 FROM cleaned JOIN g ON case_number = c AND party_name = p WHERE record_id > f AND len(w) > 0), "
+    f"l AS (SELECT 'link' AS kind, least(x.f, y.f) AS id1, greatest(x.f, y.f) AS id2 FROM g x JOIN g y ON x.c = y.c AND x.p < y.p WHERE {_one_has_all('x.w', 'y.w')}) SELECT *, 1.0::DOUBLE AS similarity FROM m UNION ALL SELECT *, 1.0::DOUBLE FROM l",
+    "s10_image_quality": f"WITH i AS ({fx.IMAGES_2X2}), e AS (SELECT *, 2 * b + 2 * c - 4 * a AS la, 2 * a + 2 * d - 4 * b AS lb, 2 * a + 2 * d - 4 * c AS lc, 2 * b + 2 * c - 4 * d AS ld FROM i) "
+    "SELECT image_id, round((la * la + lb * lb + lc * lc + ld * ld) / 4.0::DOUBLE - ((la + lb + lc + ld) / 4.0::DOUBLE) ** 2, 6) AS sharpness, round(sqrt(greatest(0, (a * a + b * b + c * c + d * d) / 4.0::DOUBLE - ((a + b + c + d) / 4.0::DOUBLE) ** 2)), 6) AS contrast, "
+    "round((a + b + c + d) / 4.0::DOUBLE, 6) AS brightness, round((abs(la) + abs(lb) + abs(lc) + abs(ld)) / 4.0::DOUBLE / 255.0::DOUBLE, 6) AS noise FROM e",
+}

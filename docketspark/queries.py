@@ -15,7 +15,7 @@ from .functions import dates as T
 from .functions import text as C
 from .functions.similarity import token_set_ratio
 from .jobs import flows
-from .operators import dedupe, layout, merge, order, query, summary
+from .operators import dedupe, image_quality, layout, merge, order, query, summary
 from .sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,3 +318,44 @@ _add("o5_sort_by_fields", lambda df: order.sort_by_fields(df, [("case_number", T
 _add("o6_sort_modes", lambda df: order.sort_by_mode(df, "number_only").select("record_id", _case_key("case_number")[1]), cleaned)
 _add("o7_group_and_sort", lambda df: order.group_and_sort(df, "run_id").select("record_id", "group_value", "pos"), cleaned)
 _add("o8_page", lambda df: order.page(df, 100, 40).select("record_id", "case_number"), cleaned)
+
+# what the queries above leave out: headings that are there, confidences, positions in an order, words in common, images
+
+
+def headed_rows(spark: SparkSession, d: str) -> DataFrame:
+    return layout.rows_from_regions(fx.regions(spark, d, fx.REGIONS_HEADED))
+
+
+_add("l11_headings_present", layout.section_headings, headed_rows)
+_add("l12_records_without_headings", lambda df: layout.cells_to_records(df).drop("date_confidence", "party_name_confidence", "advocate_confidence"), headed_rows)
+_add("f3_export_filter", lambda df: query.export_filter(df, "MEDIUM", True).select("record_id", "confidence_level", "needs_review"), scored)
+_add("o2_case_number_positions", lambda df: order.with_position(df, order.mode_orders()).select("record_id", "position"), cleaned)
+_add("o4_party_name_positions", lambda df: order.with_position(df, [order.sort_key("party_name").asc(), F.col("record_id").asc()]).select("record_id", "position"), cleaned)
+_add("o6_number_positions", lambda df: order.with_position(df, order.mode_orders("number_only")).select("record_id", _case_key("case_number")[1], "position"), cleaned)
+_add("o8_page_counts", order.page_counts, cleaned)
+_add("a7_group_members", lambda df: summary.group_members(df.withColumn("page", F.col("page_number") * 1000 + F.col("run_id")), "page").withColumn("members", F.array_join("members", ",")), cleaned)
+_add("d0_words_in_common", lambda df: df.select("record_id", (token_set_ratio(F.col("raw_party_name"), F.col("party_name")) == 100).alias("is_full")), cleaned)
+_add("j2_equal_parties", lambda df: dedupe.similar_record_groups(df, threshold=1.0), cleaned)
+
+
+@_named
+def f4_list_view_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The exact confidence, and whether the list view's is within half of the fourth digit: engines round ties of it differently."""
+    shown = query.list_view(scored(spark, d).withColumn("advocate", F.col("overall_confidence")))
+    return shown.select("record_id", "case_number", F.round("advocate", 9).alias("exact"), (F.abs(F.col("overall_confidence") - F.col("advocate")) <= 0.00005000001).alias("near"))
+
+
+@_named
+def k6_html_rows_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with their level and review cells, and whether the percentage cell is near: engines write ties of its second digit differently."""
+    cell, tag = r"<td>(-?[0-9.]+)%</td>", r"~~([0-9]+)~~([^<]*)</td>"
+    done = scored(spark, d).withColumn("advocate", F.concat_ws("~~", "advocate", "record_id", F.col("overall_confidence").cast("string")))
+    found = lambda pattern, i: F.regexp_extract("value", pattern, i)
+    near = F.abs(found(cell, 1).cast("double") - found(tag, 2).cast("double") * 100) <= 0.0050000001
+    return io.html_rows(done).select(found(tag, 1).cast("long").alias("record_id"), F.regexp_replace(F.regexp_replace("value", cell, ""), tag, "</td>").alias("value"), near.alias("near"))
+
+
+@_named
+def s10_image_quality(spark: SparkSession, d: str) -> DataFrame:
+    found = image_quality.image_quality_metrics(fx.images(spark, d))
+    return found.select(F.col("origin").cast("long").alias("image_id"), *(F.round(c, 6).alias(c) for c in ("sharpness", "contrast", "brightness", "noise")))

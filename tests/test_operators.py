@@ -176,6 +176,21 @@ def test_orders(spark):
     assert tuple(order.page_counts(df, 2).first()) == (5, 3)
 
 
+def test_positions_over_many_ranges(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["g", "g", "g", "h", None]), f"SC/{rng.randrange(40)}/2020") for i in range(900)]
+    df = spark.createDataFrame(rows, "record_id long, team string, case_number string").repartition(7)
+    number = lambda r: (int(r[2].split("/")[1]), r[0])
+    want = {r[0]: n for n, r in enumerate(sorted(rows, key=number), 1)}
+    assert {r.record_id: r.position for r in order.with_position(df, order.mode_orders()).collect()} == want
+    placed: dict = {}
+    for r in sorted(rows, key=number):
+        placed.setdefault(r[1] or "unknown", []).append(r[0])
+    got = {(r.group_value, r.record_id): r.pos for r in order.group_and_sort(df, "team").collect()}
+    assert got == {(g, i): n for g, ids in placed.items() for n, i in enumerate(ids, 1)}
+    assert order.group_and_sort(df.limit(0), "team").count() == 0
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(0, "CRLA/1/2020", "LOW", True, ["error: x"]), (1, "crlb/2/2021", "HIGH", False, [])], "record_id long, case_number string, confidence_level string, needs_review boolean, validation_issues array<string>")
     assert query.filter_case_number(df, "rla/1").count() == 1 and query.filter_case_number(df, "CR_B").count() == 1
@@ -207,10 +222,15 @@ def test_image_quality(spark, tmp_path):
     assert (got.brightness, got.contrast, got.noise) == (127.5, 127.5, 2.0) and got.sharpness == 510.0**2 and got.height_inches == 4 / 96
 
 
-def test_job_has_one_exchange_by_image_and_no_row_udf(spark):
+def test_job_has_one_exchange_by_image_and_no_row_udf(spark, tmp_path):
     regions = fx.regions(spark, "/root/testdata/sf0.001")
-    plan = layout.cells_to_records(layout.rows_from_regions(regions.repartition("image_id")))._jdf.queryExecution().executedPlan().toString()
+    regions.write.mode("overwrite").parquet(str(tmp_path / "regions"))
+    stored = spark.read.parquet(str(tmp_path / "regions"))
+    plan = layout.cells_to_records(layout.rows_from_regions(stored))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan
+    assert plan.count("Exchange hashpartitioning(image_id") == plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and "Join" not in plan
+    merged = merge.merge_ocr(stored, stored.withColumn("confidence", F.lit(0.5)))._jdf.queryExecution().executedPlan().toString()
+    assert merged.count("Exchange") == 1 and merged.count("FileScan") == 2 and "Join" not in merged
     done = flows.extract(regions, fx.as_of())
     assert "BatchEvalPython" not in done._jdf.queryExecution().executedPlan().toString()
     assert done.count() == 4452
