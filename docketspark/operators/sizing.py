@@ -5,21 +5,26 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: rows of a narrow table (about 100 bytes each) that may be broadcast
 MAX_BROADCAST_ROWS = 200_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; on one machine without one, as in tests, a new one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """The same rows, read from the folder that the cluster names in spark.checkpoint.dir; on one machine without one, from a new one."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """The same rows, read from the shared folder: what depends on their partitions is worked out once."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

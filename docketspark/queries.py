@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +14,7 @@ from .functions import dates as T
 from .functions import text as C
 from .functions.similarity import token_set_ratio
 from .jobs import flows
-from .operators import dedupe, image_quality, layout, merge, order, query, summary
+from .operators import dedupe, image_quality, layout, merge, order, query, sizing, summary
 from .sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,9 +47,8 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster shares; a local one only where none is named, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new folder below the one the cluster shares."""
+    return f"{sizing.shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def no_amounts(messages: Column) -> Column:
