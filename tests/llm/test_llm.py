@@ -522,6 +522,47 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_alignment_against_all_paths():
+    """The banded alignment of short sequences against every path, step by step."""
+    rng = random.Random(11)
+
+    def best_of(doc, template, band):
+        best = (0, 0)
+
+        def walk(i, j, score, matched):
+            nonlocal best
+            best = max(best, (score, matched))
+            if j >= len(template) or score < 0 or (matched and not score):  # local: a path ends where its score is used up
+                return
+            if i < len(doc) and 0 <= i - j <= 2 * band:
+                same = doc[i] == template[j]
+                walk(i + 1, j + 1, score + (1 if same else -1), matched + same)
+            if i < len(doc) and i + 1 - j <= 2 * band:
+                walk(i + 1, j, score - 1, matched)
+            if i - j - 1 >= 0:
+                walk(i, j + 1, score - 1, matched)
+
+        for j in range(len(template)):
+            for i in range(j, min(len(doc), j + 2 * band + 1)):
+                if doc[i] == template[j]:
+                    walk(i, j, 0, 0)
+        return best
+
+    for _ in range(150):
+        band = rng.choice([1, 2])
+        template = np.array([rng.randrange(4) for _ in range(rng.randint(1, 6))], np.uint64)
+        doc = np.array([rng.randrange(4) for _ in range(rng.randint(1, 6 + band))], np.uint64)
+        matched, begin, end = licenses.align(doc, template, band)
+        assert matched == best_of(doc.tolist(), template.tolist(), band)[1] and 0 <= begin <= end <= len(doc)
+
+
+def test_licenses_of_odd_rows(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    rows = [(None, mit), (None, mit), (1, "w " * 20_000 + mit + " v" * 20_000), (2, None), (2, "")]
+    got = sorted(((r.doc_id, r.license, round(r.coverage, 3), r.start) for r in licenses.scan(frame(spark, rows)).collect()), key=str)
+    assert got == [(1, "MIT", 1.0, 20_000), (None, "MIT", 1.0, 0), (None, "MIT", 1.0, 0)]
+
+
 def test_licenses_whole_parts_and_other_words(spark):
     texts = dict(licenses.template_table())
     gpl, parts = texts["GPL-3.0"], licenses.parts_of(licenses.TEMPLATES["MIT"])
@@ -674,16 +715,55 @@ def test_null_and_repeated_ids(spark):
     assert sorted(kept, key=str) == sorted([(None, None, True), (None, None, True), (1, None, False), (1, None, False)], key=str)
 
 
+def write_tables(spark, folder, docs, rows, benchmark):
+    docs.write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame([(i, 1) for i, t in rows if t], "doc_id long, quality int").write.parquet(str(folder / "labels.parquet"))
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    return str(folder)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     rows = corpus()
-    frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1) for i, t in rows if t], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([(1, rows[0][1] or "x")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    folder = write_tables(spark, tmp_path, docs, rows, [(1, rows[0][1] or "x")])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near", "decontaminate", "mix"]
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy"]
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy"] and out.count() > 0
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     near = corpus_pipeline.near(spark, docs, str(tmp_path))
     assert {r.doc_id for r in near.collect()} == {i for i, g in brute_groups(rows, 5).items() if g[2]}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Shared and null ids, repeated rows, null texts, columns named like the operators' own: every stage keeps what is another row's."""
+    import corpus_pipeline
+
+    rows = odd_ids()
+    item = next(t for _, t in rows if t and len(t.split()) > 60)
+    folder = write_tables(spark, tmp_path, frame(spark, rows), rows, [(1, " ".join(item.split()[:40]))])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        assert all(tuple(r)[5:] == tuple(f"{c} of {r.doc_id}" for c in EXTRA) for r in out.collect()), name
+    done = corpus_pipeline.run(spark, folder)
+    assert done.columns == [*docs.columns, "copy_"] and done.count() > 0
+    left = {(r.doc_id, r.text) for r in done.collect()}
+    assert not any(t and " ".join(item.split()[:40]) in " ".join(t.split()) for _, t in left)
+
+
+def test_pipeline_of_no_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = write_tables(spark, tmp_path, frame(spark, corpus()).limit(0), [], [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_token_counts_of_odd_rows(spark):
+    pieces = [b"a", b"b", bytes([token_counts.END]), b"a" + bytes([token_counts.END])]
+    rows = [(None, "a b"), (1, "ab"), (1, "ab"), (2, None), (3, ""), (4, "a" * 100_000 + " b")]
+    got = sorted(((r.doc_id, r.n_words, r.n_tokens) for r in token_counts.token_counts(frame(spark, rows), pieces).collect()), key=str)
+    assert got == sorted([(None, 2, 3), (1, 1, 3), (1, 1, 3), (2, 0, 0), (3, 0, 0), (4, 2, 100_002)], key=str)
+    assert token_counts.token_counts(frame(spark, rows).limit(0), pieces).count() == 0
