@@ -16,11 +16,13 @@ CASE_PATTERN = r"^([A-Z]+\.?[A-Z]?\.?[A-Z]?)/([0-9]+)/([0-9]{4})$"
 #: letter and digit that OCR takes for each other, as replaced over a whole text
 CASE_SWAPS = (("O", "0"), ("0", "O"), ("I", "1"), ("1", "I"), ("S", "5"), ("5", "S"))
 ABBREVIATIONS = ("ADPP", "APP", "ASP", "SP")
+#: the characters that are white space in Unicode, as (?U)\s matches them
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any kind at both ends; Spark's trim only takes the space character."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends, by a set of characters, which costs less than a pattern."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def collapse_spaces(c: Column) -> Column:

@@ -92,3 +92,9 @@ def test_similarity():
     assert lcs_length("CRLA/72/2024", "CRLA/73/2024") == 11
     assert round(token_set_ratio_of("CRLA/72/2024", "CRLA/73/2024"), 2) == 91.67
     assert token_set_ratio_of("", "a") == 0 and token_set_ratio_of("a b", "b a") == 100 and token_set_ratio_of("a b", "b") == 100
+
+
+def test_strip_takes_what_the_pattern_takes(spark):
+    texts = [(f"{chr(i)}a{chr(i)} b{chr(i)}{chr(i)}",) for i in range(1, 0x3100)] + [("",), (None,), (" \t　",)]
+    got = spark.createDataFrame(texts, "t string").select(C.strip(F.col("t")).alias("stripped"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("expected"))
+    assert got.where(~F.col("stripped").eqNullSafe(F.col("expected"))).count() == 0
