@@ -80,7 +80,15 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_documents(spark, sf_dir))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damaged, digest, repair
+
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return digest(conversations, *repair(damaged(conversations)))
+
+
 QUERIES = {
+    "op13_conversation_repair": op13_conversation_repair,
     "op3_secrets": op3_secrets,
     "op5_token_counts": op5_token_counts,
     "op9_licenses": op9_licenses,
