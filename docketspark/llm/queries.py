@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import hard_negatives, mixing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,12 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(conversations, *repair(damaged(conversations)))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.query_labels(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 QUERIES = {
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_conversation_repair": op13_conversation_repair,
     "op3_secrets": op3_secrets,
     "op5_token_counts": op5_token_counts,
@@ -101,4 +106,4 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op11_hard_negatives": hard_negatives.SQL}
