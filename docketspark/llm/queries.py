@@ -91,7 +91,14 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(hard_negatives.query_labels(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import digest, remove_repeated_bytes
+
+    return digest(remove_repeated_bytes(_documents(spark, sf_dir)))
+
+
 QUERIES = {
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op11_hard_negatives": op11_hard_negatives,
     "op13_conversation_repair": op13_conversation_repair,
     "op3_secrets": op3_secrets,
