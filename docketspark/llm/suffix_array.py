@@ -76,10 +76,10 @@ def _next_smaller(m: np.ndarray, last: np.ndarray) -> np.ndarray:
 def suffix_ranks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each byte of texts data[offsets[k]:offsets[k + 1]], how many suffixes of texts are smaller than the one that starts there."""
     n = len(data)
-    end = np.repeat(offsets[1:], np.diff(offsets))
+    end = np.repeat(offsets[1:].astype(np.int32), np.diff(offsets))
     order = np.argsort(data, kind="stable")
     base = np.concatenate([[0], np.cumsum(np.bincount(data, minlength=256))])
-    group, length, rank = np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64)
+    group, length, rank = np.zeros(n, np.int32), np.ones(n, np.int32), np.zeros(n, np.int32)
     present = np.flatnonzero(np.diff(base))
 
     for c in present[::-1].tolist():
@@ -121,7 +121,7 @@ def suffix_ranks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         after = np.zeros(len(at), np.int64)
         after[inside] = np.searchsorted(at, follow[inside])
         key[inside] = n + 2 + own[after[inside]]
-        groups = _Groups(own.copy())
+        groups = _Groups(own.astype(np.int64))
         some = np.flatnonzero(groups.open(np.arange(len(at))))
         there = some
         while len(some):

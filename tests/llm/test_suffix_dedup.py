@@ -65,7 +65,7 @@ def found(spark, rows, **options):
     return sorted(((r[0], *r[1:4], bytes(r[4])) for r in sd.remove_repeated_bytes(frame, **options).collect()), key=lambda r: (r[0] is not None, r))
 
 
-@pytest.mark.parametrize("options", [{}, {"width": 33, "gram": 9}, {"bucket_bytes": 3000, "shard_keys": 50, "cell_bits": 6, "sorted_bytes": 500}])
+@pytest.mark.parametrize("options", [{}, {"width": 33, "gram": 9}, {"bucket_bytes": 3000, "shard_keys": 50, "cell_bits": 6, "sorted_bytes": 500}, {"bucket_bytes": 3000, "hot": 2}])
 def test_bytes_removed_as_by_all_windows(spark, options):
     rows = corpus(2)
     assert found(spark, rows, **options) == model(rows, options.get("width", 50))
@@ -87,7 +87,7 @@ def test_many_empty_texts_without_id_are_spread(spark):
     docs = spark.createDataFrame([(None, "")] * 4000, "doc_id long, text string")
     dealt, _ = sd._dealt(docs, "doc_id", 1 << 20)
     sizes = [r["count"] for r in dealt.groupBy("bucket").count().collect()]
-    assert sum(sizes) == 4000 and max(sizes) < 400
+    assert sum(sizes) == 4000 and max(sizes) < 700 and len(sizes) >= 8
 
 
 def test_no_rows(spark):
