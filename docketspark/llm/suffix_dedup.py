@@ -387,7 +387,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", width: int =
     dealt, size = _dealt(docs, id_col, bucket_bytes)
     shards = 1 + 2 * size // ((width - gram + 2) * shard_keys)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(4 * tasks, size // (8 << 20))
+    parts = max(tasks, size // (8 << 20))
     cells = dealt.mapInArrow(_sketch(width, gram, shards, cell_bits), "shard int, bucket int, cells array<int>").groupBy("shard").applyInArrow(_merged(hot), "bucket int, shard int, cells array<int>, hot array<int>")
     segments = dealt.groupBy("bucket").cogroup(cells.groupBy("bucket")).applyInArrow(_candidates(width, gram, shards, cell_bits, parts), SEGMENTS)
     runs = segments.groupBy("part").applyInArrow(_judge(width, gram, sorted_bytes), RUNS)
