@@ -3,56 +3,228 @@
 With A, B the word sets: no words on a side give 0; a common word and nothing left on a side give 100. Otherwise the
 score is 100 * (1 - indel / total length) of the sorted rests, each with the common words before it, and, where there
 are common words, also of the common words alone against each side; the largest counts.
+
+``token_set_ratio`` is a column of built-in functions: the longest common subsequence is a fold over the characters of one rest, a
+row of the table in the bits of a number, or of several for longer rests. ``Names`` does the same for very many pairs
+of a task at once, with a bound of the score first, so that only what may be similar is compared.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql import functions as F
+
+from .text import let
+
+#: characters of a rest that one number of the fold holds, so that sums stay within a long
+BITS = 62
+#: what Python and the OCR engines take for white space between words
+BETWEEN = r"(?U)[\s\x1c-\x1f]+"
+
+
+def words(c: Column) -> Column:
+    """Different words in order; none for null."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce(c, F.lit("")), BETWEEN), lambda w: w != "")))
+
+
+def _characters(text: Column) -> Column:
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1))))
+
+
+def _fold(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of texts, of which a is not empty."""
+    every = (1 << BITS) - 1
+    numbers = F.ceil(F.length(a) / BITS).cast("int")
+    alphabet = F.array_join(F.array_distinct(_characters(a)), "")
+
+    def places(letters: Column, c: Column) -> Column:
+        """Where c stands in a, as ones among zeros."""
+        at = F.instr(letters, c)
+        one = F.concat(F.repeat(F.lit("0"), at - 1), F.lit("1"), F.repeat(F.lit("0"), F.length(letters) - at))
+        return F.when(at > 0, F.call_function("translate", a, letters, one)).otherwise("")
+
+    def number(bits: Column) -> Column:
+        return F.conv(F.reverse(bits), 2, 10).cast("long")
+
+    def step(row: Column, hit: Column) -> Column:
+        u = row.bitwiseAND(hit)
+        return (row + u).bitwiseOR(row - u).bitwiseAND(F.lit(every))
+
+    def short(letters: Column) -> Column:
+        hits = F.transform(_characters(b), lambda c: number(places(letters, c)))
+        row = F.aggregate(hits, F.lit(every).cast("long"), lambda r, h: F.when(h.isNull() | (h == 0), r).otherwise(step(r, h)))
+        return BITS - F.bit_count(row)
+
+    def long(letters: Column) -> Column:
+        start = F.array_repeat(F.lit(every).cast("long"), numbers)
+
+        def next_row(row: Column, c: Column) -> Column:
+            def cell(state: Column, k: Column) -> Column:
+                r = F.get(row, k)
+                h = F.coalesce(number(F.substring(state["bits"], k * BITS + 1, F.lit(BITS))), F.lit(0).cast("long"))
+                u = r.bitwiseAND(h)
+                total = r + u + state["carry"]
+                done = total.bitwiseOR(r - u).bitwiseAND(F.lit(every))
+                return F.struct(F.array_append(state["row"], done).alias("row"), F.shiftright(total, BITS).alias("carry"), state["bits"].alias("bits"))
+
+            first = F.struct(F.array().cast("array<bigint>").alias("row"), F.lit(0).cast("long").alias("carry"), places(letters, c).alias("bits"))
+            folded = F.aggregate(F.sequence(F.lit(0), numbers - 1), first, cell, lambda s: s["row"])
+            return F.when(F.instr(letters, c) > 0, folded).otherwise(row)
+
+        rows = F.aggregate(_characters(b), start, next_row)
+        return F.aggregate(rows, F.lit(0), lambda n, r: n + BITS - F.bit_count(r))
+
+    return let(alphabet, lambda letters: F.when(numbers == 1, short(letters)).otherwise(long(letters)))
+
+
+def common_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence; the shorter text gives the bits."""
+    swap = F.length(a) > F.length(b)
+    pair = F.struct(F.when(swap, b).otherwise(a).alias("a"), F.when(swap, a).otherwise(b).alias("b"))
+    return let(pair, lambda p: F.when(F.length(p["a"]) == 0, 0).otherwise(_fold(p["a"], p["b"])))
+
+
+def _of_rests(common: Column, rest_a: Column, rest_b: Column) -> Column:
+    gap = (F.length(common) > 0).cast("int")
+
+    def scores(n: Column) -> Column:
+        indel = n["ra"] + n["rb"] - 2 * n["lcs"]
+        score = 100.0 * (1 - indel / (n["a"] + n["b"]))
+        alone = [100.0 * (1 - (n["gap"] + n[r]) / (n["shared"] + n[x])) for r, x in (("ra", "a"), ("rb", "b"))]
+        return F.when(n["shared"] > 0, F.greatest(score, *alone)).otherwise(score)
+
+    shared, ra, rb = F.length(common), F.length(rest_a), F.length(rest_b)
+    numbers = F.struct(shared.alias("shared"), gap.alias("gap"), ra.alias("ra"), rb.alias("rb"), (shared + gap + ra).alias("a"), (shared + gap + rb).alias("b"), common_subsequence(rest_a, rest_b).alias("lcs"))
+    return F.when((gap == 1) & ((ra == 0) | (rb == 0)), 100.0).otherwise(let(numbers, scores))
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """0 to 100; null counts as empty."""
+
+    def compared(w: Column) -> Column:
+        parts = F.struct(*(F.array_join(x, " ").alias(n) for n, x in (("common", F.array_intersect(w["a"], w["b"])), ("a", F.array_except(w["a"], w["b"])), ("b", F.array_except(w["b"], w["a"])))))
+        rated = let(parts, lambda p: _of_rests(p["common"], p["a"], p["b"]))
+        return F.when((F.size(w["a"]) == 0) | (F.size(w["b"]) == 0), 0.0).otherwise(rated)
+
+    return let(F.struct(words(a).alias("a"), words(b).alias("b")), compared)
 
 
 def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a whole row of the table in the bits of one number."""
-    if len(a) > len(b):
-        a, b = b, a
+    """Length of the longest common subsequence, a row of the table in the bits of one number of any length."""
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
-    every = (1 << len(a)) - 1
-    row = every
+    every = row = (1 << len(a)) - 1
     for c in b:
         hit = row & places.get(c, 0)
         row = ((row + hit) | (row - hit)) & every
     return len(a) - row.bit_count()
 
 
-@lru_cache(maxsize=100_000)
 def token_set_ratio_of(a: str, b: str) -> float:
-    """0 to 100."""
+    """The ratio of one pair, for texts too long for Names."""
     words_a, words_b = set(a.split()), set(b.split())
     if not words_a or not words_b:
         return 0.0
     common = words_a & words_b
-    rest_a, rest_b = " ".join(sorted(words_a - common)), " ".join(sorted(words_b - common))
+    rest_a, rest_b = (" ".join(sorted(w - common)) for w in (words_a, words_b))
     if common and (not rest_a or not rest_b):
         return 100.0
     shared = len(" ".join(common))
     gap = shared > 0
     len_a, len_b = shared + gap + len(rest_a), shared + gap + len(rest_b)
-    indel = len(rest_a) + len(rest_b) - 2 * lcs_length(rest_a, rest_b)
-    score = 100.0 * (1 - indel / (len_a + len_b))
-    if shared:
-        score = max(score, *(100.0 * (1 - (gap + len(r)) / (shared + n)) for r, n in ((rest_a, len_a), (rest_b, len_b))))
-    return score
+    score = 100.0 * (1 - (len(rest_a) + len(rest_b) - 2 * lcs_length(rest_a, rest_b)) / (len_a + len_b))
+    return max(score, *(100.0 * (1 - (gap + len(r)) / (shared + n)) for r, n in ((rest_a, len_a), (rest_b, len_b)))) if shared else score
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio_of(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
+class Names:
+    """Texts made ready for the comparison of many pairs: words in order, their places as bits, counts of signs by class."""
 
+    CHARACTERS, WORDS, CLASSES = 64, 8, 16
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """0 to 100; null counts as empty."""
-    return pandas_udf(_ratios, "double")(a, b)
+    def __init__(self, texts: list[str]) -> None:
+        self.texts, n = texts, len(texts)
+        split = [sorted(set(t.split())) for t in texts]
+        joined = [" ".join(w) for w in split]
+        self.length = np.array([len(t) for t in joined], np.int64)
+        self.many = np.array([len(w) for w in split], np.int64)
+        #: texts that fit the bits; others are compared one by one
+        self.fits = (self.length <= self.CHARACTERS) & (self.many <= self.WORDS) & ~np.array(["\0" in t for t in texts], bool)
+        width = int(self.length[self.fits].max(initial=1))
+        points = np.array([t if f else "" for t, f in zip(joined, self.fits, strict=True)], dtype=f"U{max(width, 1)}").view(np.uint32).reshape(n, -1)
+        table = np.full(0x110000, -1, np.int32)
+        table[points.ravel()] = 0
+        table[0] = -1
+        letters = np.flatnonzero(table == 0)
+        table[letters] = np.arange(len(letters))
+        self.code = table[points]
+        self.classes = np.zeros((n, self.CLASSES), np.int16)
+        self.hits = np.zeros((n, len(letters) + 1), np.uint64)  # the last column is for no letter
+        for p in range(points.shape[1]):
+            some = np.flatnonzero(self.code[:, p] >= 0)
+            self.hits[some, self.code[some, p]] |= np.uint64(1 << p)
+            self.classes[some, points[some, p] % self.CLASSES] += 1
+        number: dict[str, int] = {}
+        slots = max(1, int(self.many[self.fits].max(initial=1)))
+        self.word = np.full((n, slots), -1, np.int64)
+        self.bits, self.space, self.size = (np.zeros((n, slots), np.uint64) for _ in range(3))
+        one = np.flatnonzero(self.fits & (self.many == 1))
+        self.word[one, 0] = [number.setdefault(split[i][0], len(number)) for i in one.tolist()]
+        self.size[one, 0] = self.length[one]
+        self.bits[one, 0] = np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - self.length[one]).astype(np.uint64)
+        for i in np.flatnonzero(self.fits & (self.many > 1)).tolist():
+            at = 0
+            for k, w in enumerate(split[i]):
+                self.word[i, k], self.size[i, k] = number.setdefault(w, len(number)), len(w)
+                last = k == len(split[i]) - 1
+                self.bits[i, k] = ((1 << (len(w) + (not last))) - 1) << at
+                self.space[i, k] = 0 if last else 1 << (at + len(w))
+                at += len(w) + 1
+
+    def _kept(self, i: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """The bits of words that are not common, without the space behind the last."""
+        kept, space = np.zeros(len(i), np.uint64), np.zeros(len(i), np.uint64)
+        for k in range(self.word.shape[1]):
+            own = ~common[:, k] & (self.word[i, k] >= 0)
+            kept |= np.where(own, self.bits[i, k], np.uint64(0))
+            space = np.where(own, self.space[i, k], space)
+        return kept & ~space
+
+    def ratios(self, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+        """The ratio of each pair (i, j), or 0 where a bound shows that it is below least; and how many pairs were compared in full."""
+        out = np.zeros(len(i))
+        slow = ~(self.fits[i] & self.fits[j])
+        for k in np.flatnonzero(slow).tolist():
+            out[k] = token_set_ratio_of(self.texts[i[k]], self.texts[j[k]])
+        fast = np.flatnonzero(~slow & (self.many[i] > 0) & (self.many[j] > 0))
+        a, b = i[fast], j[fast]
+        in_a, in_b = (np.zeros((len(a), self.word.shape[1]), bool) for _ in range(2))
+        for k in range(int(self.many[a].max(initial=0))):
+            for m in range(int(self.many[b].max(initial=0))):
+                same = (self.word[a, k] == self.word[b, m]) & (self.word[a, k] >= 0)
+                in_a[:, k] |= same
+                in_b[:, m] |= same
+        n_common = in_a.sum(axis=1)
+        shared = (self.size[a].astype(np.int64) * in_a).sum(axis=1) + np.maximum(n_common - 1, 0)
+        gap = (n_common > 0).astype(np.int64)
+        len_a, len_b = self.length[a], self.length[b]
+        rest_a, rest_b = len_a - shared - gap, len_b - shared - gap
+        whole = (gap == 1) & ((n_common == self.many[a]) | (n_common == self.many[b]))
+        alone = np.where(gap == 1, np.maximum(100.0 * (1 - (gap + rest_a) / (shared + len_a)), 100.0 * (1 - (gap + rest_b) / (shared + len_b))), 0.0)
+        apart = np.abs(self.classes[a] - self.classes[b]).sum(axis=1)
+        bound = 100.0 * (1 - apart / (len_a + len_b))
+        score = np.where(whole, 100.0, alone)
+        open_ = np.flatnonzero(~whole & (bound >= least) & (bound > alone))
+        x, y = a[open_], b[open_]
+        kept_a, kept_b = self._kept(x, in_a[open_]), self._kept(y, in_b[open_])
+        row = np.full(len(x), np.uint64(0xFFFFFFFFFFFFFFFF))
+        for p in range(int(self.length[y].max(initial=0))):
+            now = (kept_b >> np.uint64(p)) & np.uint64(1)
+            u = row & self.hits[x, self.code[y, p]] & kept_a & (np.uint64(0) - now)
+            row = (row + u) | (row - u)
+        lcs = np.bitwise_count(~row & kept_a).astype(np.int64)
+        indel = rest_a[open_] + rest_b[open_] - 2 * lcs
+        score[open_] = np.maximum(100.0 * (1 - indel / (len_a + len_b)[open_]), alone[open_])
+        out[fast] = score
+        return out, len(open_) + int(slow.sum())

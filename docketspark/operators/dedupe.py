@@ -1,8 +1,7 @@
 """Exact and similar duplicates of records.
 
 Case numbers that are empty or unreadable are one hot key; they take part in no window. ``similar_record_groups`` compares
-them like all others, by representatives and in blocks; ``similar_records`` lists plain pairs, of these only if asked for.
-Counts combine before the shuffle.
+them like all others, by representatives and in blocks. Counts combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -11,17 +10,26 @@ from collections.abc import Iterator
 from itertools import combinations
 from math import ceil, floor
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import token_set_ratio, token_set_ratio_of
-from ..functions.text import is_empty
+from ..functions.similarity import Names, words
+from ..functions.text import is_empty, let
+from .order import ranked
+from .sizing import materialize
 
 #: longest value whose shortened forms are compared; longer ones are compared by segments
 SHORT = 15
 #: representatives of a case number that one task compares with as many others
 BLOCK = 512
+#: representatives of a case number up to which all its pairs are one row's work
+SMALL = 64
+#: a word of more than one in so many values is common; there are at most that many times as many of them as a value has words
+COMMON = 1000
+#: sources of a case number up to which they are listed in one row
+LISTED = 1000
 
 
 def duplicate_case_numbers(records: DataFrame) -> DataFrame:
@@ -46,9 +54,29 @@ def mark_duplicates(records: DataFrame, id_col: str = "record_id") -> DataFrame:
     return out.withColumn("is_duplicate", later).withColumn("duplicate_of", F.when(later, F.col("_first"))).drop("_case", "_first")
 
 
-def duplicate_sources(records: DataFrame, source_col: str = "image_id") -> DataFrame:
-    """(case_number, count, sources in order) of repeated non-empty case numbers."""
-    return records.where(F.col("case_number") != "").groupBy("case_number").agg(F.count("*").alias("count"), F.sort_array(F.collect_set(source_col)).alias("sources")).where("count > 1")
+def source_counts(records: DataFrame, source_col: str = "image_id") -> DataFrame:
+    """(case_number, source, count, place) of repeated non-empty case numbers: a row for each source, place from 1 on in its order.
+
+    Counts combine before the shuffle and places come from ranges, so a case number of very many sources is the work of
+    many tasks. A null source counts as none.
+    """
+    flat = records.where(F.col("case_number") != "").groupBy("case_number", F.col(source_col).alias("source")).agg(F.count("*").alias("count"))
+    repeated = flat.groupBy("case_number").agg(F.sum("count").alias("_all")).where("_all > 1").drop("_all")
+    named = flat.join(repeated, "case_number").where("source is not null")
+    return ranked(named, ["case_number"], [F.col("source").asc()], "place")
+
+
+def duplicate_sources(records: DataFrame, source_col: str = "image_id", listed: int = LISTED) -> DataFrame:
+    """(case_number, count, n_sources, sources in order) of repeated non-empty case numbers.
+
+    The list is null where a case number has more than listed sources; ``source_counts`` has them all, one a row.
+    """
+    flat = records.where(F.col("case_number") != "").groupBy("case_number", F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
+    totals = flat.groupBy("case_number").agg(F.sum("n").alias("count"), F.count("source").alias("n_sources")).where("count > 1")
+    few = totals.where(F.col("n_sources") <= listed).select("case_number")
+    lists = flat.where("source is not null").join(few, "case_number").groupBy("case_number").agg(F.sort_array(F.collect_list("source")).alias("sources"))
+    nothing = F.when(F.col("n_sources") == 0, F.array())
+    return totals.join(lists, "case_number", "left").withColumn("sources", F.coalesce("sources", nothing))
 
 
 def handle_duplicates(marked: DataFrame, mode: str = "review") -> DataFrame:
@@ -62,59 +90,155 @@ def handle_duplicates(marked: DataFrame, mode: str = "review") -> DataFrame:
     raise ValueError(f"unknown duplicate mode: {mode}")
 
 
-def similar_records(records: DataFrame, threshold: float = 0.9, skip_empty: bool = True, id_col: str = "record_id") -> DataFrame:
-    """(id1, id2, similarity) of records with equal case numbers: 0.7 + 0.3 * party similarity >= threshold.
+def _least_ratio(threshold: float) -> float:
+    """The ratio from which on records of one case number are similar, a little less for rounding."""
+    return 100 * (threshold - 0.7) / 0.3 - 1e-6
+
+
+def _pairs_of_rows(threshold: float, counts: bool):
+    """Rows with lists of representatives (ids, parties, and other_ids, other_parties where two lists meet) to links, or to counts of pairs."""
+    least = _least_ratio(threshold)
+
+    def compared(names: Names, ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        ratio, full = names.ratios(i, j, least)
+        if counts:
+            return pa.record_batch([pa.array([len(i)]), pa.array([full])], names=["pairs", "compared"])
+        similarity = 0.7 + 0.3 * (ratio / 100.0)
+        hit = similarity >= threshold
+        one, two = ids[i[hit]], ids[j[hit]]
+        return pa.record_batch([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(similarity[hit])], names=["id1", "id2", "similarity"])
 
-    Empty case numbers are equal to each other; skip_empty leaves these pairs out.
+    def pairs(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs within lists that begin at first."""
+        one, two = [], []
+        for n in np.unique(size).tolist():
+            a, b = np.triu_indices(n, 1)
+            at = first[size == n]
+            one.append((at[:, None] + a).ravel())
+            two.append((at[:, None] + b).ravel())
+        return (np.concatenate(one), np.concatenate(two)) if one else (first, first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = {c: batch.column(c) for c in ("ids", "parties", "other_ids", "other_parties") if c in batch.schema.names}
+            step = 1 if "other_ids" in lists else 256
+            for begin in range(0, batch.num_rows, step):
+                part = {c: x.slice(begin, step) for c, x in lists.items()}
+                sizes = {c: np.diff(part[c].offsets.to_numpy()) for c in ("ids", "other_ids") if c in part}
+                ids, parties = part["ids"].flatten().to_numpy(), part["parties"].flatten().to_pylist()
+                if "other_ids" not in part or part["other_ids"][0].as_py() is None:
+                    first = np.cumsum(sizes["ids"]) - sizes["ids"]
+                    i, j = pairs(first, sizes["ids"])
+                else:
+                    n, m = int(sizes["ids"][0]), int(sizes["other_ids"][0])
+                    ids, parties = np.concatenate([ids, part["other_ids"].flatten().to_numpy()]), parties + part["other_parties"].flatten().to_pylist()
+                    i, j = np.repeat(np.arange(n), m), n + np.tile(np.arange(m), n)
+                if len(i):
+                    yield compared(Names(parties), ids, i, j)
+
+    return run
+
+
+def _needed_words(w: Column, common: Column | None, ratio: float) -> Column:
+    """Of sorted words, those of which one must be shared with any text of which this one is mostly a part.
+
+    Such a pair scores by the common words alone: 1 - (1 + rest) / (common + length) >= ratio, or has no rest. Words are taken from the
+    rarest on; once the words from one on, all shared, can't reach the ratio, one before it must be shared.
     """
-    rows = records.where(~is_empty(F.col("case_number"))) if skip_empty else records
-    rows = rows.select(F.coalesce("case_number", F.lit("")).alias("case"), F.col(id_col).alias("id"), F.coalesce("party_name", F.lit("")).alias("party"))
-    a, b = (rows.withColumnsRenamed({"id": f"id{i}", "party": f"party{i}"}) for i in (1, 2))
-    pairs = a.join(b, "case").where("id1 < id2")
-    return pairs.withColumn("similarity", 0.7 + 0.3 * (token_set_ratio(F.col("party1"), F.col("party2")) / 100.0)).where(F.col("similarity") >= threshold).select("id1", "id2", "similarity")
+    count = lambda x: F.coalesce(F.try_element_at(common, x), F.lit(0).cast("long")) if common is not None else F.lit(0).cast("long")
+    rare_first = F.array_sort(F.transform(w, lambda x: F.struct(count(x).alias("n"), x.alias("word"))))
+    size = lambda words_: F.aggregate(words_, F.lit(0), lambda a, x: a + F.length(x["word"]) + 1)
 
+    def needed(ordered: Column) -> Column:
+        def enough(x: Column, i: Column) -> Column:
+            before = size(F.slice(ordered, F.lit(1), i))  # the rest and the space behind it
+            whole = size(ordered) - 1
+            return (i == 0) | (before <= (1 - ratio + 1e-9) * (whole - before + whole))
 
-def similar_record_groups(records: DataFrame, threshold: float = 0.9, block: int = BLOCK, id_col: str = "record_id") -> DataFrame:
+        return F.transform(F.filter(ordered, enough), lambda x: x["word"])
+
+    return let(rare_first, needed)
+
+
+def similar_record_groups(records: DataFrame, threshold: float = 0.9, block: int = BLOCK, small: int = SMALL, id_col: str = "record_id", counts: bool = False) -> DataFrame:
     """(kind, id1, id2, similarity): all similar records of equal case numbers, empty ones included, by representatives.
 
     Records of equal case number and party name are a group, its smallest id stands for it. ``member`` rows name the
     representative and each other record of its group, where these are similar to each other; ``link`` rows name two
-    representatives, id1 < id2, whose records are all similar across. A case number's representatives are dealt into
-    blocks of about ``block``, and each pair of blocks is compared by itself, so a hot key is the work of many tasks.
-    """
-
-    def compare(table: pa.Table) -> pa.Table:
-        low, high, ids, parties = (table.column(c).to_pylist() for c in ("is_low", "is_high", "id", "party"))
-        one, two, score = [], [], []
-        right = [k for k in range(len(ids)) if high[k]]
-        for a in (k for k in range(len(ids)) if low[k]):
-            for b in right:
-                if low[b] and high[a] and ids[a] >= ids[b]:
-                    continue  # both of one block: each pair once
-                similarity = 0.7 + 0.3 * (token_set_ratio_of.__wrapped__(parties[a], parties[b]) / 100.0)
-                if similarity >= threshold:
-                    one.append(min(ids[a], ids[b]))
-                    two.append(max(ids[a], ids[b]))
-                    score.append(similarity)
-        return pa.table([pa.array(one, id_type), pa.array(two, id_type), pa.array(score, pa.float64())], names=["id1", "id2", "similarity"])
+    representatives, id1 < id2, whose records are all similar across.
 
+    The pairs of a case number of up to ``small`` representatives are one row's work. Those of others are dealt into blocks by the length of
+    their words and a hash; blocks meet whose lengths are so near that a pair can be similar as a whole, a pair of blocks a row, so
+    a hot key is the work of many tasks. Where lengths are further apart a short name can only be a part of a long one, and the
+    two meet by a word that they must share and by the long one's order of length. Of the pairs that meet, bounds by common words and by classes of signs leave few more than the
+    links to be compared in full; counts=True gives (pairs, compared) in place of the links.
+    """
     rows = records.select(F.coalesce("case_number", F.lit("")).alias("case"), F.coalesce("party_name", F.lit("")).alias("party"), F.col(id_col).cast("long").alias("id"))
-    id_type = pa.int64()
-    groups = rows.groupBy("case", "party").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    repeated = groups.where("n > 1").withColumn("similarity", 0.7 + 0.3 * (token_set_ratio(F.col("party"), F.col("party")) / 100.0)).where(F.col("similarity") >= threshold).drop("n")
+    groups = materialize(rows.groupBy("case", "party").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    alike = 0.7 + 0.3 * (F.when(F.size(words(F.col("party"))) > 0, 100.0).otherwise(0.0) / 100.0)
+    repeated = groups.where("n > 1").withColumn("similarity", alike).where(F.col("similarity") >= threshold).drop("n")
     members = rows.join(repeated, ["case", "party"]).where("id > first").select(F.lit("member").alias("kind"), F.col("first").alias("id1"), F.col("id").alias("id2"), "similarity")
 
-    sizes = groups.groupBy("case").agg(F.count("*").alias("size")).where("size > 1").select("case", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, "case").select("case", "party", F.col("first").alias("id"), "blocks", F.pmod(F.xxhash64("party"), F.col("blocks")).cast("int").alias("own"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
-    pairs = other.select("case", low, high, "id", "party", "own").select("case", "low", "high", "id", "party", (F.col("own") == F.col("low")).alias("is_low"), (F.col("own") == F.col("high")).alias("is_high"))
+    ratio = _least_ratio(threshold) / 100
+    sizes = groups.groupBy("case").agg(F.count("*").alias("size")).where("size > 1")
+    named = groups.join(sizes, "case").withColumn("w", words(F.col("party"))).where(F.lit(ratio <= 0) | (F.size("w") > 0))
+    named = named.select("case", "size", F.col("first").alias("id"), "party", "w", F.length(F.array_join("w", " ")).alias("length"))
+    listed = (F.collect_list("id").alias("ids"), F.collect_list("party").alias("parties"))
+    within = named.where(F.col("size") <= small).groupBy("case").agg(*listed)
+
+    large = named.where(F.col("size") > small)
+    per_length = large.groupBy("case", "length").agg(F.count("*").alias("n")).select("case", "length", F.ceil(F.col("n") / block).cast("int").alias("subs"))
+    dealt = large.join(per_length, ["case", "length"]).withColumn("sub", F.pmod(F.xxhash64("party"), F.col("subs")).cast("int"))
+    blocks = dealt.groupBy("case", "length", "sub").agg(*listed)
+    lengths = per_length.groupBy("case").agg(F.collect_list(F.struct("length", "subs")).alias("lengths"))
+    most = F.col("length") * ((2 - ratio) / ratio) + 1e-6 if ratio > 0 else F.lit(float("inf"))
+    near = F.filter("lengths", lambda x: (x["length"] >= F.col("length")) & (x["length"] <= most))
+    partners = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), x["subs"] - 1), lambda k: F.struct(x["length"].alias("length"), k.alias("sub")))))
+    later = F.filter(partners, lambda x: (x["length"] > F.col("length")) | (x["sub"] >= F.col("sub")))
+    met = blocks.join(lengths, "case").withColumn("other", F.explode(later)).drop("lengths")
+    own = (F.col("length") == F.col("other.length")) & (F.col("sub") == F.col("other.sub"))
+    others = blocks.select(F.col("case").alias("_case"), F.struct("length", "sub").alias("_other"), F.col("ids").alias("_ids"), F.col("parties").alias("_parties"))
     # few bytes and much work: a stated number of tasks is not joined to fewer
-    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = pairs.repartition(tasks, "case", "low", "high").groupBy("case", "low", "high").applyInArrow(compare, "id1 long, id2 long, similarity double")
+    tasks = 4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across = met.join(others, (F.col("case") == F.col("_case")) & (F.col("other") == F.col("_other"))).repartition(tasks, "case", "length", "sub", "other")
+    across = across.select("ids", "parties", F.when(~own, F.col("_ids")).alias("other_ids"), F.when(~own, F.col("_parties")).alias("other_parties"))
+
+    schema = "pairs long, compared long" if counts else "id1 long, id2 long, similarity double"
+    links = within.select("ids", "parties").mapInArrow(_pairs_of_rows(threshold, counts), schema).unionByName(across.mapInArrow(_pairs_of_rows(threshold, counts), schema))
+    if ratio > 0:
+        factor = (2 - ratio) / ratio
+        rank = F.floor(F.log(F.col("length").cast("double")) / F.log(F.lit(factor))).cast("int")
+        ranks = large.select("case", rank.alias("rank")).distinct()
+        short = large.select("case", "id", "party", "w", "length", rank.alias("_rank")).join(ranks, "case").where("rank > _rank")
+        short = short.select("case", "rank", "id", "party", "length", F.explode(_needed_words(F.col("w"), None, ratio)).alias("word"))
+        long = large.select("case", rank.alias("rank"), F.col("id").alias("_id"), F.col("party").alias("_party"), F.col("length").alias("_length"), F.explode("w").alias("word"))
+        part = short.join(long, ["case", "rank", "word"]).where(F.col("_length") > F.col("length") * factor + 1e-6)
+        apart = part.groupBy("id", "_id").agg(F.first("party").alias("party"), F.first("_party").alias("_party"))
+        far = apart.select(F.array("id").alias("ids"), F.array("party").alias("parties"), F.array("_id").alias("other_ids"), F.array("_party").alias("other_parties"))
+        links = links.unionByName(far.mapInArrow(_pairs_of_rows(threshold, counts), schema))
+    if counts:
+        return links.agg(F.sum("pairs").alias("pairs"), F.sum("compared").alias("compared"))
     return links.select(F.lit("link").alias("kind"), "id1", "id2", "similarity").unionByName(members)
 
 
+def similar_records(records: DataFrame, threshold: float = 0.9, skip_empty: bool = True, id_col: str = "record_id") -> DataFrame:
+    """(id1, id2, similarity) of records with equal case numbers: 0.7 + 0.3 * party similarity >= threshold.
+
+    The groups of ``similar_record_groups``, each record for itself: as many rows as there are pairs. Empty case numbers are equal to each
+    other; skip_empty leaves these pairs out.
+    """
+    rows = records.where(~is_empty(F.col("case_number"))) if skip_empty else records
+    found = similar_record_groups(rows, threshold, id_col=id_col)
+    links, members = found.where("kind = 'link'"), found.where("kind = 'member'")
+    first = rows.groupBy(F.coalesce("case_number", F.lit("")).alias("_case"), F.coalesce("party_name", F.lit("")).alias("_party")).agg(F.min(F.col(id_col).cast("long")).alias("first")).select("first")
+    of = first.select("first", F.col("first").alias("id")).unionByName(members.select(F.col("id1").alias("first"), F.col("id2").alias("id")))
+    across = links.join(of.select(F.col("first").alias("id1"), F.col("id").alias("a")), "id1").join(of.select(F.col("first").alias("id2"), F.col("id").alias("b")), "id2")
+    pairs = across.select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), "similarity")
+    own = members.select("id1", "id2", "similarity")
+    beside = own.select("id1", F.col("id2").alias("a"), "similarity").join(own.select("id1", F.col("id2").alias("b")), "id1").where("a < b").select(F.col("a").alias("id1"), F.col("b").alias("id2"), "similarity")
+    return pairs.unionByName(own).unionByName(beside)
+
+
 def _allowed(total: int, threshold: float) -> int:
     """The most insertions and deletions of two texts of this length together at which they are still similar."""
     return floor((1 - threshold) * total + 1e-9)
@@ -127,13 +251,26 @@ def _common_length(n: int, other: int, threshold: float) -> int | None:
 
 
 def candidate_keys(value: str, threshold: float) -> set[tuple[str, str]]:
-    """Keys such that values of similar sorted words, without a word in common, share one.
+    """Keys such that values of similar sorted words, without a word in common, share one."""
+    return text_keys(" ".join(sorted(set(value.split()))), threshold)
+
 
-    Two values of up to SHORT characters share a subsequence of the length their lengths demand: each gives all of
+def bag_keys(value: str, threshold: float) -> set[tuple[str, str]]:
+    """Keys of the sorted signs of a value, such that values whose whole texts are similar share one, whatever words they share.
+
+    Setting common words aside changes neither the length of two texts nor by how many signs they differ, and sorted signs
+    differ by no more insertions and deletions than the texts.
+    """
+    return {(f"bag {kind}", key) for kind, key in text_keys("".join(sorted(" ".join(set(value.split())))), threshold)}
+
+
+def text_keys(text: str, threshold: float) -> set[tuple[str, str]]:
+    """Keys such that texts of as few insertions and deletions as the threshold allows share one.
+
+    Two texts of up to SHORT characters share a subsequence of the length their lengths demand: each gives all of
     its own. Otherwise the shorter is cut into one segment more than edits are allowed; one stays whole and
     stands in the longer at most that many places away.
     """
-    text = " ".join(sorted(set(value.split())))
     n, keys = len(text), set()
     if n <= SHORT:
         for m in {_common_length(n, other, threshold) for other in range(1, SHORT + 1)} - {None}:
@@ -153,31 +290,78 @@ def candidate_keys(value: str, threshold: float) -> set[tuple[str, str]]:
     return keys
 
 
-def similar_case_numbers(records: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(case1, case2, similarity, pairs): different values, case1 < case2, similar by token_set_ratio; pairs counts their rows.
+def common_words(values: DataFrame, per: int = COMMON) -> DataFrame:
+    """(word, n) of words that stand in more than one in per values; bounded by per times the words of a value."""
+    total = values.count()
+    return values.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > total / per)
 
-    Works on distinct values. Values that share no word meet by candidate keys, those that share one and of which one has
-    several by that word; every meeting is checked exactly. No pair at or above the threshold is missed.
+
+def pairs_by_words(values: DataFrame, threshold: float) -> DataFrame:
+    """(case1, case2) of values of which one may be mostly a part of the other: a word that the one needs is among the other's.
+
+    Words are taken in one order for all values, those that few values have first; the table of common ones is bounded and broadcast.
+    """
+    counted = F.broadcast(common_words(values).agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("common")))
+    needed = values.join(counted).select("value", F.explode(_needed_words(F.col("w"), F.col("common"), threshold)).alias("word"))
+    every = values.select(F.col("value").alias("other"), F.explode("w").alias("word"))
+    return needed.join(every, "word").where("value != other").select(F.least("value", "other").alias("case1"), F.greatest("value", "other").alias("case2"))
+
+
+def similar_number_pairs(values: DataFrame, threshold: float) -> DataFrame:
+    """(case1, case2) that may be similar, case1 < case2, of different values (value, w: its words).
+
+    Three ways lead to a ratio: the whole texts are similar and no word is shared (keys of the text), they are similar and
+    words are shared (keys of the sorted signs, only of values of several words), or one value is mostly a part of the other: then they meet by
+    one of its words that must be shared, the rarest first, so that a word of very many values is looked up
+    only by values that hardly consist of anything else.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
-                rows = [(v, kind, k) for v in batch.column(0).slice(begin, 256).to_pylist() for kind, k in candidate_keys(v, threshold)]
+                rows = []
+                for v in batch.column(0).slice(begin, 256).to_pylist():
+                    formed = candidate_keys(v, threshold) | (bag_keys(v, threshold) if len(set(v.split())) > 1 else set())
+                    rows += [(v, kind, k) for kind, k in formed]
                 if rows:
                     yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["value", "kind", "key"])
 
-    counted = records.groupBy(F.coalesce("case_number", F.lit("")).alias("value")).agg(F.count("*").alias("n")).where(F.trim("value") != "")
-    formed = counted.select("value").mapInArrow(keys, "value string, kind string, key string")
-    words = counted.select("value", F.array_distinct(F.filter(F.split("value", r"(?U)\s+"), lambda w: w != "")).alias("words"))
-    by_word = words.select("value", (F.size("words") > 1).alias("several"), F.explode("words").alias("word"))
+    # few bytes and much work: a stated number of tasks is not joined to fewer
+    tasks = 4 * int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    formed = values.select("value").repartition(tasks, "value").mapInArrow(keys, "value string, kind string, key string")
     a, b = (formed.withColumnRenamed("value", f"case{i}") for i in (1, 2))
     near = a.join(b, ["kind", "key"]).where("case1 < case2").select("case1", "case2")
-    c, d = (by_word.withColumnsRenamed({"value": f"case{i}", "several": f"several{i}"}) for i in (1, 2))
-    sharing = c.join(d, "word").where("case1 < case2 and (several1 or several2)").select("case1", "case2")
-    pairs = near.unionByName(sharing).distinct()
-    scored = pairs.withColumn("similarity", token_set_ratio(F.col("case1"), F.col("case2")) / 100.0).where(F.col("similarity") >= threshold)
-    n1, n2 = (counted.withColumnsRenamed({"value": f"case{i}", "n": f"n{i}"}) for i in (1, 2))
+
+    return near.unionByName(pairs_by_words(values, threshold)).distinct()
+
+
+def _rated(threshold: float):
+    """Pairs of values to those that are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (batch.column(c).dictionary_encode() for c in ("case1", "case2"))
+            i, j = one.indices.to_numpy(), two.indices.to_numpy() + len(one.dictionary)
+            names = Names(one.dictionary.to_pylist() + two.dictionary.to_pylist())
+            similarity = names.ratios(i, j, 100 * threshold - 1e-6)[0] / 100.0
+            hit = pa.array(similarity >= threshold)
+            yield pa.record_batch([*(batch.column(c).filter(hit) for c in ("case1", "case2")), pa.array(similarity).filter(hit)], names=["case1", "case2", "similarity"])
+
+    return run
+
+
+def similar_case_numbers(records: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(case1, case2, similarity, pairs): different values, case1 < case2, similar by token_set_ratio; pairs counts their rows.
+
+    Works on distinct values; every pair of ``similar_number_pairs`` is compared in full. No pair at or above the threshold is missed.
+    """
+    counted = records.groupBy(F.coalesce("case_number", F.lit("")).alias("value")).agg(F.count("*").alias("n")).withColumn("w", words(F.col("value"))).where(F.size("w") > 0)
+    counted = materialize(counted)
+    # few bytes and much work: a stated number of tasks is not joined to fewer
+    tasks = 4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = similar_number_pairs(counted.select("value", "w"), threshold)
+    scored = pairs.repartition(tasks, "case1").sortWithinPartitions("case1").mapInArrow(_rated(threshold), "case1 string, case2 string, similarity double")
+    n1, n2 = (counted.select(F.col("value").alias(f"case{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
     return scored.join(n1, "case1").join(n2, "case2").select("case1", "case2", "similarity", (F.col("n1") * F.col("n2")).alias("pairs"))
 
 

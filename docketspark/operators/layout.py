@@ -51,26 +51,45 @@ def rows_from_regions(regions: DataFrame, vertical_threshold: int = 20, same_box
     return order_row_items(rows)
 
 
+def _boundaries(xs: Column, gap: int) -> Column:
+    """Of borders in order, those more than gap beyond the one taken before."""
+    far = lambda a, x: F.when((F.size(a) == 0) | (x - F.get(a, F.size(a) - 1) > gap), F.array_append(a, x)).otherwise(a)
+    return F.aggregate(xs, F.array().cast("array<int>"), far)
+
+
 def column_boundaries(boxes: DataFrame, gap: int = 30) -> DataFrame:
-    """(image_id, boundaries): left and right borders in order, each more than gap beyond the boundary before it."""
+    """(image_id, width, boundaries): left and right borders in order, each more than gap beyond the boundary before it."""
     xs = F.sort_array(F.flatten(F.collect_list(F.array("x_min", "x_max"))))
-    far = lambda a, x: F.when((F.size(a) == 0) | (x - F.get(a, F.size(a) - 1) > gap), F.array_append(a, x)).otherwise(a)
-    return boxes.groupBy("image_id").agg(xs.alias("xs"), F.max("x_max").alias("width")).select("image_id", "width", F.aggregate("xs", F.array().cast("array<int>"), far).alias("boundaries"))
+    return boxes.groupBy("image_id").agg(xs.alias("xs"), F.max("x_max").alias("width")).select("image_id", "width", _boundaries(F.col("xs"), gap).alias("boundaries"))
+
+
+def _column_of(boundaries: Column, x_min: Column, x_max: Column) -> Column:
+    """The column that holds the centre; null outside all columns."""
+    centre = (x_min + x_max) / 2
+    col = F.size(F.filter(boundaries, lambda v: v <= centre)) - 1
+    return F.when((col >= 0) & (col < F.size(boundaries) - 1), col)
 
 
 def assign_columns(boxes: DataFrame, boundaries: DataFrame) -> DataFrame:
     """boxes with col: the column that holds their centre; boxes outside all columns go."""
-    centre = (F.col("x_min") + F.col("x_max")) / 2
-    col = F.size(F.filter("boundaries", lambda v: v <= centre)) - 1
-    return boxes.join(boundaries, "image_id").withColumn("col", col).where((F.col("col") >= 0) & (F.col("col") < F.size("boundaries") - 1)).drop("boundaries")
+    col = _column_of(F.col("boundaries"), F.col("x_min"), F.col("x_max"))
+    return boxes.join(boundaries, "image_id").withColumn("col", col).where("col is not null").drop("boundaries")
 
 
-def organize_columns(rows: DataFrame, expected: int = 4) -> DataFrame:
-    """rows with col by the boundaries of all boxes; an image with fewer than two gets equal parts of its width."""
-    found = column_boundaries(rows)
+def organize_columns(rows: DataFrame, expected: int = 4, gap: int = 30) -> DataFrame:
+    """rows with col by the boundaries of all boxes; an image with fewer than two gets equal parts of its width.
+
+    The boxes of an image, a page's, are gathered once with their boundaries and dealt out again with their columns: no join, and no
+    exchange where rows are dealt by image already.
+    """
+    boxes = F.col("boxes")
+    xs = F.array_sort(F.flatten(F.transform(boxes, lambda b: F.array(b["x_min"], b["x_max"]))))
+    gathered = rows.groupBy("image_id").agg(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in rows.columns))).alias("boxes"))
+    found = gathered.select("boxes", _boundaries(xs, gap).alias("found"), F.array_max(F.transform(boxes, lambda b: b["x_max"])).alias("width"))
     equal = F.transform(F.sequence(F.lit(0), F.lit(expected)), lambda i: i * F.col("width") / expected)
-    usable = F.when(F.size("boundaries") < 2, equal).otherwise(F.col("boundaries").cast("array<double>"))
-    return assign_columns(rows, found.select("image_id", usable.alias("boundaries")))
+    bounds = found.select("boxes", F.when(F.size("found") < 2, equal).otherwise(F.col("found").cast("array<double>")).alias("bounds"))
+    placed = bounds.select(F.explode(F.transform(boxes, lambda b: F.struct(b.alias("box"), _column_of(F.col("bounds"), b["x_min"], b["x_max"]).alias("col")))).alias("placed"))
+    return placed.where("placed.col is not null").select("placed.box.*", "placed.col")
 
 
 def _row_texts(rows: DataFrame) -> DataFrame:

@@ -63,43 +63,63 @@ def sort_by_fields(df: DataFrame, order: list[tuple[str, bool]] | None = None, p
     return df.orderBy(*field_orders(order or [("case_number", False)], per_field, id_col))
 
 
-def mode_orders(mode: str = "prefix_number_year", id_col: str = "record_id") -> list[Column]:
-    """Sort columns of a mode: prefix_number_year, number_only or original."""
+def mode_keys(mode: str = "prefix_number_year") -> list[Column]:
+    """Sort keys of a mode: prefix_number_year, number_only or original (none)."""
     key = case_sort_key(F.col("case_number"))
-    modes = {"prefix_number_year": [key.asc()], "number_only": [key["number"].asc()], "original": []}
+    modes = {"prefix_number_year": [key], "number_only": [key["number"]], "original": []}
     if mode not in modes:
         raise ValueError(f"unknown sort mode: {mode}")
-    return [*modes[mode], F.col(id_col).asc()]
+    return modes[mode]
+
+
+def mode_orders(mode: str = "prefix_number_year", id_col: str = "record_id") -> list[Column]:
+    """Sort columns of a mode."""
+    return [*(k.asc() for k in mode_keys(mode)), F.col(id_col).asc()]
 
 
 def sort_by_mode(df: DataFrame, mode: str = "prefix_number_year", id_col: str = "record_id") -> DataFrame:
     return df.orderBy(*mode_orders(mode, id_col))
 
 
-def group_and_sort(df: DataFrame, group_field: str, sort_field: str = "case_number", id_col: str = "record_id") -> DataFrame:
-    """df with group_value and pos, the place in the group; rows stay flat, and a group of any size is sorted by many tasks.
+def ranked(keys: DataFrame, group: list[str], orders: list[Column], name: str) -> DataFrame:
+    """keys with name, the place from 1 on of each row in its group; a group of any size is sorted by many tasks.
 
     Rows are dealt by ranges of group and order; a row's place is its place in its range and group, and how many rows of the
-    group the ranges before it hold.
+    group the ranges before it hold. Give it narrow rows with the columns of the orders: they are written to the shared folder before
+    ranges are drawn, which read the rows twice, so what the order depends on is worked out once.
+    """
+    held = materialize(keys)
+    ranged = materialize(held.repartitionByRange(*(F.col(g) for g in group), *orders).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part", *group).agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", *group, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    placed = ranged.withColumn(name, F.row_number().over(Window.partitionBy("_part", *group).orderBy(*orders)).cast("long"))
+    return placed.join(broadcast_if_small(offsets), ["_part", *group]).withColumn(name, F.col(name) + F.col("_before")).select(*keys.columns, name)
+
+
+def group_and_sort(df: DataFrame, group_field: str, sort_field: str = "case_number", id_col: str = "record_id") -> DataFrame:
+    """df with group_value and pos, the place in the group; rows stay flat. id_col must tell the rows apart.
+
+    Only the group, the sorted field's key and the id are dealt and written; places are joined back by id.
     """
     value = F.coalesce(F.col(group_field).cast("string"), F.lit("unknown")) if group_field in df.columns else F.lit("unknown")
     out = df.withColumn("group_value", value)
-    order = [sort_key(sort_field), F.col(id_col)]
-    ranged = materialize(out.repartitionByRange("group_value", *order).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part", "group_value").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy("group_value").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", "group_value", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    placed = ranged.withColumn("pos", F.row_number().over(Window.partitionBy("_part", "group_value").orderBy(*order)).cast("long"))
-    return placed.join(broadcast_if_small(offsets), ["_part", "group_value"]).withColumn("pos", F.col("pos") + F.col("_before")).select(*out.columns, "pos")
-
-
-def with_position(df: DataFrame, orders: list[Column]) -> DataFrame:
-    """df with position, the place from 1 on of each row in a total order; sorted by ranges, of which only the sizes meet in one task."""
-    ranged = materialize(df.repartitionByRange(*orders).withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    placed = ranged.withColumn("position", F.row_number().over(Window.partitionBy("_part").orderBy(*orders)).cast("long"))
-    return placed.join(F.broadcast(offsets), "_part").withColumn("position", F.col("position") + F.col("_before")).select(*df.columns, "position")
+    keys = out.select(F.col("group_value"), sort_key(sort_field).alias("_key"), F.col(id_col).alias("_id"))
+    places = ranked(keys, ["group_value"], [F.col("_key").asc(), F.col("_id").asc()], "pos").select("_id", "pos")
+    return out.join(places, F.col(id_col) == F.col("_id")).drop("_id")
+
+
+def with_position(df: DataFrame, orders: list[Column], columns: list[str] | None = None, id_col: str = "record_id") -> DataFrame:
+    """df with position, the place from 1 on of each row in a total order.
+
+    With columns, the id and those that the order reads, only these are dealt and written, and places are joined back by id, which must tell
+    the rows apart.
+    """
+    narrow = df.select(*(F.col(f"`{c}`") for c in columns or df.columns), F.lit(0).alias("_all"))
+    places = ranked(narrow, ["_all"], orders, "position").drop("_all")
+    if columns is None:
+        return places
+    return df.join(places.select(id_col, "position"), id_col).select(*(F.col(f"`{c}`") for c in df.columns), "position")
 
 
 def page(df: DataFrame, limit: int = 100, offset: int = 0, id_col: str = "record_id") -> DataFrame:

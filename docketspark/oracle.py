@@ -347,3 +347,35 @@ SQL |= {
     "SELECT image_id, round((la * la + lb * lb + lc * lc + ld * ld) / 4.0::DOUBLE - ((la + lb + lc + ld) / 4.0::DOUBLE) ** 2, 6) AS sharpness, round(sqrt(greatest(0, (a * a + b * b + c * c + d * d) / 4.0::DOUBLE - ((a + b + c + d) / 4.0::DOUBLE) ** 2)), 6) AS contrast, "
     "round((a + b + c + d) / 4.0::DOUBLE, 6) AS brightness, round((abs(la) + abs(lb) + abs(lc) + abs(ld)) / 4.0::DOUBLE / 255.0::DOUBLE, 6) AS noise FROM e",
 }
+
+# similarity in full: words, what is common, and the longest common subsequence of the rests as a fold over bits (rests of up to 62 signs)
+_D = "::DOUBLE"
+_rated = lambda pairs: (
+    f"t AS (SELECT *, list_sort({_word_list('a')}) AS wa, list_sort({_word_list('b')}) AS wb FROM ({pairs})), "
+    "c AS (SELECT *, array_to_string(list_filter(wa, lambda w: list_contains(wb, w)), ' ') AS s, array_to_string(list_filter(wa, lambda w: NOT list_contains(wb, w)), ' ') AS ra, array_to_string(list_filter(wb, lambda w: NOT list_contains(wa, w)), ' ') AS rb FROM t), "
+    "m AS (SELECT *, list_transform(string_split(rb, ''), lambda x: CAST(list_sum(list_transform(range(1, length(ra) + 1), lambda i: CASE WHEN ra[i] = x THEN 1::BIGINT << (i - 1) ELSE 0::BIGINT END)) AS BIGINT)) AS hits FROM c), "
+    "l AS (SELECT *, CASE WHEN ra = '' OR rb = '' THEN 0 ELSE 62 - bit_count(list_reduce(hits, lambda r, h: ((r + (r & h)) | (r - (r & h))) & 4611686018427387903::BIGINT, 4611686018427387903::BIGINT)) END AS lcs, "
+    "CASE WHEN s = '' THEN 0 ELSE 1 END AS gap, length(s) AS ns, length(ra) AS na, length(rb) AS nb FROM m), "
+    f"q AS (SELECT *, 100.0{_D} * (1 - (na + nb - 2 * lcs){_D} / (2 * (ns + gap) + na + nb){_D}) AS whole, 100.0{_D} * (1 - (gap + na){_D} / (ns + ns + gap + na){_D}) AS alone_a, 100.0{_D} * (1 - (gap + nb){_D} / (ns + ns + gap + nb){_D}) AS alone_b FROM l WHERE len(wa) > 0 AND len(wb) > 0), "
+    f"rated AS (SELECT *, CASE WHEN gap = 1 AND (na = 0 OR nb = 0) THEN 100.0{_D} WHEN gap = 1 THEN greatest(whole, alone_a, alone_b) ELSE whole END AS ratio FROM q)"
+)
+_groups = f"g AS MATERIALIZED (SELECT case_number AS c, party_name AS p, min(record_id) AS f, count(*) AS n, {_word_list('party_name')} AS w FROM cleaned GROUP BY 1, 2)"
+_similar_records = (
+    f"WITH {CLEANED}, {_groups}, {_rated('SELECT x.f AS f1, y.f AS f2, x.p AS a, y.p AS b FROM g x JOIN g y ON x.c = y.c AND x.p < y.p')}, "
+    f"links AS (SELECT 'link' AS kind, least(f1, f2) AS id1, greatest(f1, f2) AS id2, 0.7{_D} + 0.3{_D} * (ratio / 100.0{_D}) AS similarity FROM rated), "
+    f"members AS (SELECT 'member' AS kind, f AS id1, record_id AS id2, 1.0{_D} AS similarity FROM cleaned JOIN g ON case_number = c AND party_name = p WHERE record_id > f AND len(w) > 0) "
+)
+# different numbers of one word each are near only if few signs are put in, left out or changed; those of several words are held against all
+_similar_numbers = (
+    f"WITH {CLEANED}, v AS MATERIALIZED (SELECT case_number AS v, count(*) AS n, len({_word_list('case_number')}) AS k FROM cleaned GROUP BY 1), "
+    f"{_rated('SELECT x.v AS a, y.v AS b, x.n * y.n AS pairs FROM v x JOIN v y ON x.v < y.v WHERE x.k > 0 AND y.k > 0 AND (x.k > 1 OR y.k > 1 OR (abs(length(x.v) - length(y.v)) <= 0.15 * (length(x.v) + length(y.v)) AND levenshtein(x.v, y.v) <= 0.15 * (length(x.v) + length(y.v))))')} "
+)
+_number_rows = f"FROM rated WHERE ratio / 100.0{_D} >= 0.85{_D}"
+SQL |= {
+    "d0_token_set_ratio": f"WITH {CLEANED}, {_rated('SELECT record_id, raw_party_name AS a, party_name AS b FROM cleaned')} SELECT cleaned.record_id, coalesce(ratio, 0.0{_D}) AS ratio FROM cleaned LEFT JOIN rated USING (record_id)",
+    "j2_similar_records": _similar_records + f"SELECT * FROM links WHERE similarity >= 0.9{_D} UNION ALL SELECT * FROM members",
+    "j3_similar_case_numbers": _similar_numbers + f"SELECT a AS case1, b AS case2, ratio / 100.0{_D} AS similarity, pairs " + _number_rows,
+    "d5_duplicate_candidates": f"SELECT 'exact' AS kind, case_number AS first, case_number AS second, CAST(count AS DOUBLE) AS score FROM ({SQL['d1_duplicate_case_numbers']}) UNION ALL "
+    f"SELECT CASE kind WHEN 'link' THEN 'record' ELSE kind END, CAST(id1 AS VARCHAR), CAST(id2 AS VARCHAR), similarity FROM ({_similar_records}SELECT * FROM links WHERE similarity >= 0.9{_D} UNION ALL SELECT * FROM members) UNION ALL "
+    f"SELECT 'number', a, b, ratio / 100.0{_D} FROM ({_similar_numbers}SELECT * {_number_rows})",
+}

@@ -272,7 +272,7 @@ def j4_records_of_documents(spark: SparkSession, d: str) -> DataFrame:
 _add("d1_duplicate_case_numbers", dedupe.duplicate_case_numbers, cleaned)
 _add("d2_unique_case_numbers", dedupe.unique_case_numbers, cleaned)
 _add("d3_mark_duplicates", lambda df: df.select("record_id", "is_duplicate", "duplicate_of"), records)
-_add("d4_duplicate_sources", lambda df: dedupe.duplicate_sources(df, "run_id").withColumn("sources", F.array_join("sources", ",")), cleaned)
+_add("d4_duplicate_sources", lambda df: dedupe.duplicate_sources(df, "run_id").select("case_number", "count", F.array_join("sources", ",").alias("sources")), cleaned)
 _add("d5_duplicate_candidates", dedupe.duplicate_candidates, cleaned)
 
 
@@ -327,9 +327,9 @@ def headed_rows(spark: SparkSession, d: str) -> DataFrame:
 _add("l11_headings_present", layout.section_headings, headed_rows)
 _add("l12_records_without_headings", lambda df: layout.cells_to_records(df).drop("date_confidence", "party_name_confidence", "advocate_confidence"), headed_rows)
 _add("f3_export_filter", lambda df: query.export_filter(df, "MEDIUM", True).select("record_id", "confidence_level", "needs_review"), scored)
-_add("o2_case_number_positions", lambda df: order.with_position(df, order.mode_orders()).select("record_id", "position"), cleaned)
-_add("o4_party_name_positions", lambda df: order.with_position(df, [order.sort_key("party_name").asc(), F.col("record_id").asc()]).select("record_id", "position"), cleaned)
-_add("o6_number_positions", lambda df: order.with_position(df, order.mode_orders("number_only")).select("record_id", _case_key("case_number")[1], "position"), cleaned)
+_add("o2_case_number_positions", lambda df: order.with_position(df, order.mode_orders(), ["record_id", "case_number"]).select("record_id", "position"), cleaned)
+_add("o4_party_name_positions", lambda df: order.with_position(df, [order.sort_key("party_name").asc(), F.col("record_id").asc()], ["record_id", "party_name"]).select("record_id", "position"), cleaned)
+_add("o6_number_positions", lambda df: order.with_position(df, order.mode_orders("number_only"), ["record_id", "case_number"]).select("record_id", _case_key("case_number")[1], "position"), cleaned)
 _add("o8_page_counts", order.page_counts, cleaned)
 _add("a7_group_members", lambda df: summary.group_members(df.withColumn("page", F.col("page_number") * 1000 + F.col("run_id")), "page").withColumn("members", F.array_join("members", ",")), cleaned)
 _add("d0_words_in_common", lambda df: df.select("record_id", (token_set_ratio(F.col("raw_party_name"), F.col("party_name")) == 100).alias("is_full")), cleaned)
