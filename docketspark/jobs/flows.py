@@ -24,25 +24,36 @@ def clean_fields(raw: DataFrame) -> DataFrame:
     )
 
 
-def field_results(as_of: Column) -> dict[str, Column]:
+def field_results(as_of: Column, parsed: Column | None = None) -> dict[str, Column]:
     return {
         "case_number": V.validate_case_number(F.col("case_number"), F.col("case_number_confidence")),
-        "hearing_date": V.validate_date(F.col("hearing_date"), F.col("date_confidence"), as_of),
+        "hearing_date": V.validate_date(F.col("hearing_date"), F.col("date_confidence"), as_of, parsed),
         "party_name": V.validate_party_name(F.col("party_name"), F.col("party_name_confidence")),
         "advocate": V.validate_advocate(F.col("advocate"), F.col("advocate_confidence")),
     }
 
 
+def _staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns worked out in a step of their own.
+
+    The step is a generator of one row: the optimizer neither merges it with others nor repeats its expressions in a filter on them, so each
+    is compiled to methods small enough for the JVM to optimize.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def validate_records(cleaned: DataFrame, as_of: Column) -> DataFrame:
     """cleaned with validation_issues, validation_passed (no issue) and has_issues (a field asks for review)."""
-    results = field_results(as_of)
-    named = cleaned.withColumns({f"_{k}": v for k, v in results.items()})
+    results = field_results(as_of, F.col("_parsed"))
+    named = _staged(cleaned, {"_parsed": T.parse_date(F.col("hearing_date"))})
+    for k, v in results.items():
+        named = _staged(named, {f"_{k}": v})
     each = [F.col(f"_{k}") for k in results]
     review = each[0]["requires_review"]
     for r in each[1:]:
         review = review | r["requires_review"]
-    out = named.withColumn("validation_issues", V.issues(*each)).withColumn("has_issues", review)
-    return out.withColumn("validation_passed", F.size("validation_issues") == 0).drop(*(f"_{k}" for k in results))
+    out = _staged(named, {"validation_issues": V.issues(*each)}).withColumn("has_issues", review)
+    return out.withColumn("validation_passed", F.size("validation_issues") == 0).drop("_parsed", *(f"_{k}" for k in results))
 
 
 def assess_records(validated: DataFrame) -> DataFrame:
