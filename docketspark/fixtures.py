@@ -82,6 +82,13 @@ IMAGES_2X2 = r"""
 SELECT p_partkey AS image_id, CAST(p_partkey % 256 AS BIGINT) AS a, CAST((p_partkey * 7) % 256 AS BIGINT) AS b, CAST(p_size * 5 AS BIGINT) AS c, CAST((p_partkey * p_size) % 256 AS BIGINT) AS d FROM part
 """
 
+#: pixels of colour pictures, five wide and four high
+PIXELS_5X4 = r"""
+SELECT p_partkey AS image_id, y, x, CAST((p_partkey * (3 * x + 7 * y + 1) + p_size * 5) % 256 AS BIGINT) AS blue, CAST((p_partkey * (x + 2) + 31 * y * p_size) % 256 AS BIGINT) AS green, CAST((p_size * (11 * x + y) + p_partkey * y) % 256 AS BIGINT) AS red
+FROM part CROSS JOIN (SELECT 0 AS y UNION ALL SELECT 1 AS y UNION ALL SELECT 2 AS y UNION ALL SELECT 3 AS y) h
+CROSS JOIN (SELECT 0 AS x UNION ALL SELECT 1 AS x UNION ALL SELECT 2 AS x UNION ALL SELECT 3 AS x UNION ALL SELECT 4 AS x) w
+"""
+
 DOCUMENTS_META = r"""
 SELECT doc_id, 'list_' || CAST(doc_id AS STRING) || CASE CAST(doc_id % 9 AS INT) WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.jpg' WHEN 3 THEN '.jpeg'
     WHEN 4 THEN '.tiff' WHEN 5 THEN '.bmp' WHEN 6 THEN '.webp' WHEN 7 THEN '' ELSE '.tar.gz' END AS filename,
@@ -129,3 +136,13 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = view(spark, sf_dir, IMAGES_2X2)
     data = F.unhex(F.concat(*(F.lpad(F.hex(F.col(c)), 2, "0") for c in "abcd")))
     return pixels.select(F.struct(F.col("image_id").cast("string").alias("origin"), F.lit(2).alias("height"), F.lit(2).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data")).alias("image"))
+
+
+def colour_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour pictures of five by four pixels, as Spark's image reader hands pictures on: rows of blue, green and red bytes."""
+    pixels = view(spark, sf_dir, PIXELS_5X4)
+    signs = F.concat(*(F.lpad(F.hex(F.col(c)), 2, "0") for c in ("blue", "green", "red")))
+    ordered = F.array_sort(F.collect_list(F.struct("y", "x", signs.alias("signs"))))
+    data = F.unhex(F.array_join(F.transform(ordered, lambda p: p["signs"]), ""))
+    made = pixels.groupBy("image_id").agg(data.alias("data"))
+    return made.select(F.struct(F.col("image_id").cast("string").alias("origin"), F.lit(4).alias("height"), F.lit(5).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), "data").alias("image"))

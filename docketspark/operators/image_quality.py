@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +14,7 @@ from ..functions.confidence import image_quality_score
 DPI = 96.0
 
 
-def gray_of(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
+def gray_of(height: int, width: int, channels: int, data: bytes | pa.Buffer) -> np.ndarray:
     """Gray values of an image as Spark decodes it: rows of blue, green, red (and alpha) bytes."""
     pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(float)
     if channels == 1:
@@ -30,20 +30,24 @@ def laplacian(gray: np.ndarray) -> np.ndarray:
     return wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:] - 4 * gray
 
 
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of metrics for each picture; a batch holds some 64 MB of pictures, as Spark cuts batches by bytes, and one is worked on at a time."""
+    names = ["origin", "sharpness", "contrast", "brightness", "noise", "height_inches", "width_inches"]
     for batch in batches:
         rows = []
-        for origin, h, w, channels, data in batch.itertuples(index=False):
-            gray = gray_of(h, w, channels, data)
+        for k in range(batch.num_rows):
+            origin, h, w, channels = (batch.column(c)[k].as_py() for c in ("origin", "height", "width", "nChannels"))
+            gray = gray_of(h, w, channels, batch.column("data")[k].as_buffer())
             edges = laplacian(gray)
             rows.append((origin, edges.var(), gray.std(), gray.mean(), np.abs(edges).mean() / 255.0, h / DPI, w / DPI))
-        yield pd.DataFrame(rows, columns=["origin", "sharpness", "contrast", "brightness", "noise", "height_inches", "width_inches"])
+        if rows:
+            yield pa.record_batch([pa.array(c, pa.string() if n == "origin" else pa.float64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
 
 def image_quality_metrics(images: DataFrame) -> DataFrame:
     """Metrics of spark.read.format("image") rows; images that could not be decoded go."""
     pixels = images.select("image.*").where(F.col("height") > 0).select("origin", "height", "width", "nChannels", "data")
-    return pixels.mapInPandas(_measure, "origin string, sharpness double, contrast double, brightness double, noise double, height_inches double, width_inches double")
+    return pixels.mapInArrow(_measure, "origin string, sharpness double, contrast double, brightness double, noise double, height_inches double, width_inches double")
 
 
 def with_quality_score(metrics: DataFrame) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: fixed values
 LEVELS = ("HIGH", "MEDIUM", "LOW", "CRITICAL")
+#: fixed values
 LIST_COLUMNS = ("record_id", "case_number", "hearing_date", "party_name", "advocate", "overall_confidence", "confidence_level", "needs_review")
+#: fixed values
 DETAIL_COLUMNS = (
     "record_id", "case_number", "hearing_date", "party_name", "advocate", "case_number_confidence", "date_confidence", "party_name_confidence", "advocate_confidence",
     "overall_confidence", "confidence_level", "needs_review", "is_duplicate", "validation_passed", "validation_issues", "page_number", "line_number",

@@ -379,3 +379,26 @@ SQL |= {
     f"SELECT CASE kind WHEN 'link' THEN 'record' ELSE kind END, CAST(id1 AS VARCHAR), CAST(id2 AS VARCHAR), similarity FROM ({_similar_records}SELECT * FROM links WHERE similarity >= 0.9{_D} UNION ALL SELECT * FROM members) UNION ALL "
     f"SELECT 'number', a, b, ratio / 100.0{_D} FROM ({_similar_numbers}SELECT * {_number_rows})",
 }
+
+# pictures in colour, lines that can't be read, files listed, amounts in messages, positions by date and by several fields, one record's confidences
+_gray = f"floor(red * 0.299{_D} + green * 0.587{_D} + blue * 0.114{_D} + 0.5{_D})"
+_mirror = lambda c, last: f"CASE WHEN {c} < 0 THEN -({c}) WHEN {c} > {last} THEN 2 * {last} - ({c}) ELSE {c} END"
+_amounts = [("case_number", "case_number"), ("hearing_date", "date"), ("party_name", "party_name"), ("advocate", "advocate")]
+_confidences = ("case_number_confidence", "date_confidence", "party_name_confidence", "advocate_confidence", "overall_confidence")
+SQL |= {
+    "s10_colour_quality": f"WITH p AS MATERIALIZED (SELECT image_id, y, x, {_gray} AS v FROM ({fx.PIXELS_5X4})), "
+    "n AS (SELECT image_id, y, x, v, unnest([y - 1, y + 1, y, y]) AS y0, unnest([x, x, x - 1, x + 1]) AS x0 FROM p), "
+    f"e AS (SELECT n.image_id, n.y, n.x, max(n.v) AS v, sum(p.v) - 4 * max(n.v) AS l FROM n JOIN p ON p.image_id = n.image_id AND p.y = {_mirror('y0', 3)} AND p.x = {_mirror('x0', 4)} GROUP BY 1, 2, 3) "
+    f"SELECT image_id, round(var_pop(l), 6) AS sharpness, round(stddev_pop(v), 6) AS contrast, round(avg(v), 6) AS brightness, round(avg(abs(l)) / 255.0{_D}, 6) AS noise FROM e GROUP BY 1",
+    "k1_json_lines": f"WITH f AS ({fx.REGIONS_FLAT}), g AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY region_idx) - 1 AS region_idx, text, confidence FROM f), "
+    "i AS (SELECT DISTINCT image_id, CASE WHEN image_id % 7 = 0 THEN 'not readable' WHEN image_id % 11 = 0 THEN 'no image' WHEN image_id % 13 = 0 THEN 'no boxes' END AS reason FROM f) "
+    "SELECT image_id, region_idx, text, confidence, NULL::VARCHAR AS reason FROM g JOIN i USING (image_id) WHERE reason IS NULL UNION ALL SELECT NULL, NULL, NULL, NULL, reason FROM i WHERE reason IS NOT NULL",
+    "k3_file_listing": "SELECT CAST(sum(octet_length(encode(c_name)) + 1) AS BIGINT) AS total_bytes, FALSE AS any_accepted FROM customer",
+    "v_low_confidence_amounts": f"WITH {CLEANED} "
+    + " UNION ALL ".join(f"SELECT record_id, '{f}' AS field, round({c}_confidence, 9) AS exact, TRUE AS near FROM cleaned WHERE {c}_confidence < 0.70{_D} AND NOT {empty(f)}" for f, c in _amounts),
+    "o3_date_positions": _keys + "SELECT record_id, row_number() OVER (ORDER BY key_year, key_month, key_day, record_id) AS position FROM k",
+    "o5_field_positions": _keys + "SELECT record_id, row_number() OVER (ORDER BY prefix DESC, number DESC, year DESC, key_year DESC, key_month DESC, key_day DESC, record_id DESC) AS position FROM k",
+    "f5_detail_confidences": f"WITH {RECORDS} SELECT record_id, {ISSUES} AS issues, duplicate_of, "
+    + ", ".join(f"TRUE AS near_{c}" for c in _confidences) + ", " + ", ".join(f"round({c}, 9) AS {c}" for c in _confidences)
+    + " FROM records WHERE record_id = (SELECT min(record_id) FROM records WHERE record_id % 7 = 3)",
+}

@@ -357,3 +357,57 @@ def k6_html_rows_confidence(spark: SparkSession, d: str) -> DataFrame:
 def s10_image_quality(spark: SparkSession, d: str) -> DataFrame:
     found = image_quality.image_quality_metrics(fx.images(spark, d))
     return found.select(F.col("origin").cast("long").alias("image_id"), *(F.round(c, 6).alias(c) for c in ("sharpness", "contrast", "brightness", "noise")))
+
+
+@_named
+def s10_colour_quality(spark: SparkSession, d: str) -> DataFrame:
+    found = image_quality.image_quality_metrics(fx.colour_images(spark, d))
+    return found.select(F.col("origin").cast("long").alias("image_id"), *(F.round(c, 6).alias(c) for c in ("sharpness", "contrast", "brightness", "noise")))
+
+
+@_named
+def k1_json_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Images written as JSON lines, some cut off or without an id, and read again: their boxes, and a row with a reason for each line that can't be read."""
+    flat, path = fx.regions(spark, d), shared_folder(spark)
+    boxes = F.transform(F.array_sort(F.collect_list(F.struct("region_idx", "text", "raw_text", "confidence", "bounding_box", "engine"))), lambda r: r.dropFields("region_idx"))
+    images = flat.groupBy("image_id").agg(boxes.alias("regions"))
+    whole = F.to_json(F.struct(F.when(F.col("image_id") % 11 != 0, F.col("image_id")).alias("image_id"), F.when(F.col("image_id") % 13 != 0, F.col("regions")).alias("regions")))
+    images.select(F.when(F.col("image_id") % 7 == 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole).alias("value")).write.text(path)
+    regions, rejected = io.region_lines(spark, path)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    lost = rejected.select(nothing("long").alias("image_id"), nothing("long").alias("region_idx"), nothing("string").alias("text"), nothing("double").alias("confidence"), "reason")
+    return regions.select("image_id", "region_idx", "text", "confidence", nothing("string").alias("reason")).unionByName(lost)
+
+
+@_named
+def k3_file_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of files with customers' names, listed without reading them; their extension is none that the intake takes."""
+    path = shared_folder(spark)
+    spark.read.parquet(f"{d}/customer.parquet").select("c_name").write.text(path)
+    return io.intake(io.list_files(spark, path)).agg(F.sum("file_size").alias("total_bytes"), F.bool_or("accepted").alias("any_accepted"))
+
+
+@_named
+def v_low_confidence_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """Each confidence that a message names: the exact one, and whether the amount is within half of its second digit, as engines round ties differently."""
+    named = cleaned(spark, d)
+    fields = (("case_number", "case_number"), ("hearing_date", "date"), ("party_name", "party_name"), ("advocate", "advocate"))
+    results = flows.field_results(fx.as_of())
+    rows = [F.struct(F.lit(f).alias("field"), F.col(f"{c}_confidence").alias("exact"), F.regexp_extract(F.array_join(results[f]["messages"], "|"), r"Low OCR confidence: ([0-9.]+)", 1).alias("amount")) for f, c in fields]
+    told = named.select("record_id", F.explode(F.array(*rows)).alias("r")).select("record_id", "r.*").where("amount != ''")
+    return told.select("record_id", "field", F.round("exact", 9).alias("exact"), (F.abs(F.col("amount").cast("double") - F.col("exact")) <= 0.0050000001).alias("near"))
+
+
+_add("o3_date_positions", lambda df: order.with_position(df, [order.sort_key("hearing_date").asc(), F.col("record_id").asc()], ["record_id", "hearing_date"]).select("record_id", "position"), cleaned)
+_add("o5_field_positions", lambda df: order.with_position(df, order.field_orders([("case_number", True), ("hearing_date", False)]), ["record_id", "case_number", "hearing_date"]).select("record_id", "position"), cleaned)
+
+
+@_named
+def f5_detail_confidences(spark: SparkSession, d: str) -> DataFrame:
+    """Of the record that f5_detail shows, the columns it leaves out: page, run, links and confidences within half of the fourth digit."""
+    done = records(spark, d)
+    first = raw(spark, d).where("record_id % 7 = 3").agg(F.min("record_id")).first()[0]
+    shown = query.detail(done, first)
+    near = [(F.abs(F.col(f"s.{c}") - F.col(f"r.{c}")) <= 0.00005000001).alias(f"near_{c}") for c in ("case_number_confidence", "date_confidence", "party_name_confidence", "advocate_confidence", "overall_confidence")]
+    exact = [F.round(f"r.{c}", 9).alias(c) for c in ("case_number_confidence", "date_confidence", "party_name_confidence", "advocate_confidence", "overall_confidence")]
+    return shown.alias("s").join(done.alias("r"), F.col("s.record_id") == F.col("r.record_id")).select("r.record_id", no_amounts(F.col("s.validation_issues")).alias("issues"), F.col("r.duplicate_of").alias("duplicate_of"), *near, *exact)

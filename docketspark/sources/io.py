@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 
@@ -17,14 +18,31 @@ CSV_COLUMNS = (
     "overall_confidence", "confidence_level", "needs_review", "is_duplicate", "validation_issues",
 )
 FORMAT_VERSION = "1.0"
+#: an image a line, with its boxes
+IMAGE_LINE = "image_id bigint, regions array<struct<text: string, raw_text: string, confidence: double, bounding_box: array<struct<x: double, y: double>>, engine: string>>"
+#: connections to a database that are open together
+CONNECTIONS = 8
 
 
 def read_regions(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
     """One row for each text box; JSON input has one image a line with its boxes as a list."""
     if kind == "parquet":
         return spark.read.schema(schemas.REGIONS).parquet(path)
-    box = "struct<text: string, raw_text: string, confidence: double, bounding_box: array<struct<x: double, y: double>>, engine: string>"
-    return explode_regions(spark.read.schema(f"image_id bigint, regions array<{box}>").json(path))
+    return explode_regions(spark.read.schema(IMAGE_LINE).json(path))
+
+
+def region_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(regions, rejected) of JSON lines, one image each: rejected has line and reason, so that no line is lost or read as nulls.
+
+    A line is rejected that is no JSON object of these fields (cut off, of another type), names no image, or has no list of boxes.
+    """
+    lines = spark.read.text(path).withColumnRenamed("value", "line").where("line != ''")
+    schema = f"{IMAGE_LINE}, _damaged string"
+    read = lines.withColumn("r", F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damaged"}))
+    damaged = F.col("r").isNull() | F.col("r._damaged").isNotNull()
+    reason = F.when(damaged, "not readable").when(F.col("r.image_id").isNull(), "no image").when(F.col("r.regions").isNull(), "no boxes")
+    told = read.withColumn("reason", reason)
+    return explode_regions(told.where("reason is null").select("r.image_id", "r.regions")), told.where("reason is not null").select("line", "reason")
 
 
 def explode_regions(images: DataFrame) -> DataFrame:
@@ -41,10 +59,30 @@ def write_records(records: DataFrame, path: str, mode: str = "append") -> None:
     records.hint("rebalance", F.col("run_id")).write.mode(mode).partitionBy("run_id").parquet(path)
 
 
-def write_jdbc(records: DataFrame, url: str, table: str, **options: str) -> None:
-    """The records table of a database; issue lists as JSON text."""
+def write_jdbc(records: DataFrame, url: str, table: str, mode: str = "append", connections: int = CONNECTIONS, **options: str) -> None:
+    """The records table of a database; issue lists as JSON text.
+
+    "overwrite" empties the table, which keeps its definition, and so may be repeated when a write was broken off; "append" adds rows each time.
+    """
     arrays = [f for f, t in records.dtypes if t.startswith("array")]
-    records.withColumns({c: F.to_json(c) for c in arrays}).write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
+    rows = records.withColumns({c: F.to_json(c) for c in arrays}).coalesce(connections)
+    rows.write.format("jdbc").options(url=url, dbtable=table, truncate="true", **options).mode(mode).save()
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str = "record_id", parts: int = CONNECTIONS, quote: str = '"', **options: str) -> DataFrame:
+    """The records table of a database, read in parts by ranges of a whole number column; issue lists as arrays.
+
+    The database finds the bounds; rows beyond them, written meanwhile, and nulls are in the first and last part. quote is
+    the database's sign around names.
+    """
+    source = spark.read.format("jdbc").options(url=url, **options)
+    low, high = source.option("query", f"SELECT min({quote}{column}{quote}) AS low_, max({quote}{column}{quote}) AS high_ FROM {table}").load().first()
+    if low is not None:
+        source = spark.read.format("jdbc").options(url=url, partitionColumn=column, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(parts), **options)
+    rows = source.option("dbtable", table).load()
+    lists = [f.name for f in StructType.fromDDL(schemas.RECORDS) if f.dataType.simpleString() == "array<string>"]
+    names = {c.lower(): c for c in rows.columns}
+    return rows.withColumns({names[c]: F.from_json(F.col(names[c]), "array<string>") for c in lists if c in names}).toDF(*(c.lower() for c in rows.columns))
 
 
 def intake(files: DataFrame) -> DataFrame:
@@ -57,7 +95,7 @@ def intake(files: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, file_size) of a folder, contents unread."""
+    """(filename, file_size) of a folder, contents unread; Spark leaves out files without a byte."""
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("file_size"))
 
 
