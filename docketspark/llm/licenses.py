@@ -20,6 +20,7 @@ for paragraphs inside a longer match of another license: they belong to that one
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from importlib import resources
@@ -208,6 +209,53 @@ def align(doc: np.ndarray, template: np.ndarray, band: int) -> tuple[int, int, i
     return best[1], -best[2], best[3]
 
 
+class Apart:
+    """Spans of which no two share more than a number of places.
+
+    Spans of up to that length share no more with any; of longer ones, those that begin later also end later, so that a new one has
+    to be compared with its neighbours alone.
+    """
+
+    def __init__(self, shared: int = 0) -> None:
+        self.shared, self.begins, self.ends = shared, [], []
+
+    def add(self, b: int, e: int) -> bool:
+        """Whether the span may stay; if so it does."""
+        if e - b <= self.shared:
+            return True
+        at = bisect_right(self.begins, b)
+        if any(min(e, self.ends[k]) - max(b, self.begins[k]) > self.shared for k in (at - 1, at) if 0 <= k < len(self.begins)):
+            return False
+        self.begins.insert(at, b)
+        self.ends.insert(at, e)
+        return True
+
+
+def within_longer(spans: list[tuple[str, int, int, int, int]]) -> list[bool]:
+    """For each (name, matched, size, start, end), in the order of falling matched, whether one with more matched holds it.
+
+    A tree over the starts keeps the furthest end of all spans that begin up to each.
+    """
+    starts = sorted({x[3] for x in spans})
+    furthest = [-1] * (len(starts) + 1)
+    out, waiting = [], []
+    for k, (_, m, _, b, e) in enumerate(spans):
+        if k and m < spans[k - 1][1]:
+            for begin, end in waiting:
+                i = bisect_right(starts, begin)
+                while i <= len(starts):
+                    furthest[i] = max(furthest[i], end)
+                    i += i & -i
+            waiting = []
+        waiting.append((b, e))
+        i, most = bisect_right(starts, b), -1
+        while i > 0:
+            most = max(most, furthest[i])
+            i -= i & -i
+        out.append(most >= e)
+    return out
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | Iterable[tuple[str, str]] | None = None, id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW, band: int = BAND, coverage: float = COVERAGE, max_index: int = MAX_INDEX) -> DataFrame:
     """(id, license, coverage, start, end, matched_text): the words start..end of a document that match a license."""
     rows = template_table() if templates is None else templates.items() if isinstance(templates, dict) else templates
@@ -254,11 +302,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | Iterable[tuple[str, str]]
                 m, b, e = align(np.concatenate([np.zeros(max(0, -lo), np.uint64), inside]), body, band)
                 if m >= least:
                     found.append((m, lo + b, lo + e))
-            taken = []
-            for m, b, e in sorted(found, key=lambda x: (-x[0], x[1])):
-                if all(e <= b2 or b >= e2 for _, b2, e2 in taken):
-                    taken.append((m, b, e))
-            yield from ((p, m, b, e) for m, b, e in taken)
+            taken = Apart()
+            yield from ((p, m, b, e) for m, b, e in sorted(found, key=lambda x: (-x[0], x[1])) if taken.add(b, e))
 
     def matches(doc: np.ndarray, hits: list[tuple[int, int]], index: dict, bodies: list[np.ndarray], vocabulary: list[np.ndarray], owner: list[int], begin: list[int], sizes: list[int], names: list[str]) -> Iterator[tuple[str, float, int, int]]:
         """(license, coverage, start, end): parts of one text that follow each other as in the text are one match."""
@@ -266,13 +311,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | Iterable[tuple[str, str]]
         for p, m, b, e in place(doc, hits, index, bodies, vocabulary):
             by_text[owner[p]].append((b, p, m, e))
         for t, found in by_text.items():
-            kept: list[tuple[int, int, int, int]] = []
-            for b, p, m, e in sorted(found, key=lambda x: (-x[2] / len(bodies[x[1]]), -x[2], x[0])):
-                if all(min(e, x[3]) - max(b, x[0]) <= band for x in kept):
-                    kept.append((b, p, m, e))
-            open_: list[list] = []  # [last part, words matched, start, end, a part at the threshold]
+            apart = Apart(band)
+            kept = [(b, p, m, e) for b, p, m, e in sorted(found, key=lambda x: (-x[2] / len(bodies[x[1]]), -x[2], x[0])) if apart.add(b, e)]
+            ended: list[list] = []  # [last part, words matched, start, end, a part at the threshold]
+            open_: list[list] = []  # those that a part may still continue
             for b, p, m, e in sorted(kept):
                 good = m >= coverage * len(bodies[p])
+                # a chain whose end lies further back than the text is long goes on no more
+                ended += [c for c in open_ if b - c[3] > sizes[t] + SLACK]
+                open_ = [c for c in open_ if b - c[3] <= sizes[t] + SLACK]
                 # the latest chain that this part continues
                 for c in reversed(open_):
                     if c[0] < p and -band <= b - c[3] <= begin[p] - begin[c[0]] - len(bodies[c[0]]) + SLACK:
@@ -280,15 +327,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | Iterable[tuple[str, str]]
                         break
                 else:
                     open_.append([p, m, b, e, good])
-            chains += [(names[t], min(c[1], sizes[t]), sizes[t], c[2], c[3]) for c in open_ if c[4]]
-        taken = defaultdict(list)
+            chains += [(names[t], min(c[1], sizes[t]), sizes[t], c[2], c[3]) for c in [*ended, *open_] if c[4]]
+        taken = defaultdict(Apart)
         spans = sorted(chains, key=lambda x: (-x[1], x[3], x[2]))
-        for name, m, n, b, e in spans:
+        covered = within_longer(spans)
+        for (name, m, n, b, e), inside in zip(spans, covered, strict=True):
             # paragraphs that several licenses share go to those with the longest match there
-            if m < coverage * n and any(x[1] > m and x[3] <= b and e <= x[4] for x in spans):
-                continue
-            if all(e <= b2 or b >= e2 for b2, e2 in taken[name]):
-                taken[name].append((b, e))
+            if not (m < coverage * n and inside) and taken[name].add(b, e):
                 yield name, m / n, b, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

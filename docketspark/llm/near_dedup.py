@@ -41,6 +41,8 @@ from .text import NULL_ID, Words, cut, join_hot, mix, named, slices, with_row_ke
 
 #: keys that a task gathers before it compares nodes among themselves
 FLUSH = 2_000_000
+#: bytes of shingles that a task holds before it hands on their keys
+FLUSH_BYTES = 128 << 20
 #: rows of an Arrow batch handed back
 ROWS = 1 << 16
 #: candidate documents whose ids may be broadcast: 16 bytes each
@@ -145,20 +147,21 @@ def _keys(k: int, m: int, rows: int, percent: int):
             yield pa.record_batch([pa.array(np.full(len(a[part]), kind, np.int8)), pa.array(a[part]), pa.array(b[part]), pa.array(d[part])], names=["kind", "a", "b", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, nodes, held, seen, fresh = [], [], [], set(), []
+        tables, nodes, held, seen, fresh, size = [], [], [], set(), [], 0
         for batch in batches:
             for _, s in _sets(batch.column(0), k):
                 if len(s) and (node := _node(s)[0]) not in seen:
                     seen.add(node)
                     nodes.append(node)
                     fresh.append(s)
+                    size += s.nbytes
                     if len(fresh) >= 512 or len(s) > 100_000:
                         tables.append(signed(fresh))
                         held += fresh
                         fresh = []
-            if len(nodes) * m * m >= FLUSH:
-                yield from flush([*tables, *([signed(fresh)] if fresh else [])], nodes, held + fresh)
-                tables, nodes, held, seen, fresh = [], [], [], set(), []
+                if len(nodes) * m * m >= FLUSH or size >= FLUSH_BYTES:
+                    yield from flush([*tables, *([signed(fresh)] if fresh else [])], nodes, held + fresh)
+                    tables, nodes, held, seen, fresh, size = [], [], [], set(), [], 0
         if nodes:
             yield from flush([*tables, *([signed(fresh)] if fresh else [])], nodes, held + fresh)
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -60,6 +61,7 @@ def candidates(text: str) -> list[tuple[int, str, bool]]:
     for m in _URL_PASSWORD.finditer(text):
         out.append((m.start(1), m[1], True))
         urls.append(m.span(1))
+    whole, begins, ends = set(urls), [a for a, _ in urls], [b for _, b in urls]  # these stand apart and in order
     at = 0
     while m := _ASSIGNED.search(text, at):
         group = m.lastindex
@@ -88,10 +90,11 @@ def candidates(text: str) -> list[tuple[int, str, bool]]:
         while i < len(taken) and taken[i][1] <= start:
             i += 1
         inside = i < len(taken) and taken[i][0] < start + len(value)
-        if inside or (start, start + len(value)) in urls or len(value) < 16 or not (re.search(r"\d", value) or re.search(r"[a-z][A-Z]", value)):
+        if inside or (start, start + len(value)) in whole or len(value) < 16 or not (re.search(r"\d", value) or re.search(r"[a-z][A-Z]", value)):
             continue
         # a piece of a password in a URL is no candidate of its own; the whole URL is
-        if any(a < start + len(value) and start < b and not (start <= a and b <= start + len(value)) for a, b in urls):
+        first, last = bisect_right(ends, start), bisect_left(begins, start + len(value)) - 1
+        if first <= last and (urls[first][0] < start or urls[last][1] > start + len(value)):
             continue
         out.append((start, value, False))
     return sorted(out)

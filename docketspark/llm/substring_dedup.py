@@ -3,7 +3,8 @@
 A window is ``width`` consecutive words of one document. A word is removed when a window that covers it
 has the same words as a window that starts earlier (smaller id, or the same document and an earlier start).
 
-Documents are dealt once, by a hash, into buckets of about ``bucket_bytes`` of text; all passes read that one exchange.
+Documents are dealt once, by a hash, into buckets of about ``bucket_bytes`` of text; all passes read that one exchange. Empty texts are
+dealt by row, and rows of an id that several have over COPIES buckets, so that equal rows are no bucket of their own.
 
 Pass 1 counts windows in count-min sketches. Each window is counted under its minimizer, the smallest hash
 among its runs of ``gram`` words, at each distinct place of that run; equal windows share the run, so the count
@@ -39,6 +40,8 @@ BUCKET_BYTES, SHARD_KEYS, CELL_BITS = 16 << 20, 1 << 19, 31
 FLUSH = 1_000_000
 #: rows of an Arrow batch handed back
 ROWS = 1 << 16
+#: buckets over which the rows of an id are dealt that several rows have
+COPIES = 64
 _U = np.uint64
 
 
@@ -222,11 +225,15 @@ def _dealt(docs: DataFrame, id_col: str, bucket_bytes: int, shard_keys: int) ->
 
     A word takes some six bytes and one in seven is counted: a place for each 42 bytes.
     """
-    keyed, _ = with_row_key(docs.select(*named([id_col, "text"])).toDF("_id", "text"), "_id")
+    # files are read in one order, so the number of a row is the same when a task is run again
+    numbered = docs.select(*named([id_col, "text"])).toDF("_id", "text").withColumn("_row", F.monotonically_increasing_id())
+    keyed, _ = with_row_key(numbered, "_id")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets, shards = max(8 * n, size // bucket_bytes), 1 + size // (42 * shard_keys)
-    rows = keyed.select(F.pmod(F.xxhash64("_doc", "_ord"), F.lit(buckets)).cast("int").alias("bucket"), "_id", "_doc", "_ord", "text")
+    nothing = F.coalesce(F.col("text"), F.lit("")) == ""  # no run is sent to these
+    number = F.when(nothing, F.xxhash64("_row")).when(F.col("_ord") != 0, F.xxhash64("_doc", "_ord", F.pmod("_row", F.lit(COPIES)))).otherwise(F.xxhash64("_doc", "_ord"))
+    rows = keyed.select(F.pmod(number, F.lit(buckets)).cast("int").alias("bucket"), "_id", "_doc", "_ord", "text")
     return rows.repartition(n, "bucket"), int(buckets), int(shards)
 
 
@@ -251,8 +258,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", width: int = WIDTH,
     start = F.struct("doc", "ord", F.when(F.col("kind") == 0, low).otherwise(high).alias("lo"))
     marked = rows.withColumn("start", start).withColumn("first", F.min("start").over(Window.partitionBy("kind", "h", F.shiftright("x", 32))))
     later = marked.where((F.col("kind") == 1) | (F.col("start") != F.col("first")))
-    bucket = F.pmod(F.xxhash64("doc", "ord"), F.lit(buckets)).cast("int").alias("bucket")
-    runs = later.select(bucket, F.col("doc").alias("_doc"), F.col("ord").alias("_ord"), F.col("start.lo").alias("lo"), F.when(F.col("kind") == 0, low + width).otherwise(low).alias("hi"))
+    # rows of an id that several have are dealt over buckets, and each of these gets their runs
+    every = F.when(F.col("ord") != 0, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long")), lambda k: F.xxhash64("doc", "ord", k))).otherwise(F.array(F.xxhash64("doc", "ord")))
+    buckets_of = F.array_distinct(F.transform(every, lambda h: F.pmod(h, F.lit(buckets)).cast("int")))
+    runs = later.select(F.explode(buckets_of).alias("bucket"), F.col("doc").alias("_doc"), F.col("ord").alias("_ord"), F.col("start.lo").alias("lo"), F.when(F.col("kind") == 0, low + width).otherwise(low).alias("hi"))
     schema = docs.select(*named([id_col])).toDF("_id").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     return dealt.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_remove, schema).withColumnRenamed("_id", id_col)
 
