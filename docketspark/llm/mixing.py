@@ -2,11 +2,11 @@
 
 Words are counted per source; each source gets a share of all words by its weight, but at most ``max_rate`` times its
 own size, and what is above that goes to the others by weight until none is above. A source's rate is its target over
-its size. A document is taken floor(rate) times, plus once more when a hash of its id and the seed, read as a number
+its size. A document is taken floor(rate) times, plus once more when a hash of its id, its text and the seed, read as a number
 in [0, 1), is below the fraction of the rate: reruns agree whatever the partitioning.
 
 Sources are ordered by code point, null last, and weigh ``weights`` in turn. Null and empty texts have no words. A source
-without words has rate 0. Rows sharing an id, or without one, are taken alike, equal rows each by itself. Other columns stay as they are, and
+without words has rate 0. Rows sharing an id, or without one, are drawn each by its text; equal rows are drawn alike. Other columns stay as they are, and
 a new column whose name is taken gets _ behind. The table of sources, one narrow row each, is ordered in one task; the
 documents are not. An empty table gives an empty result.
 """
@@ -57,14 +57,14 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate:
 def _taken(docs: DataFrame, id_col: str, weights: Sequence[int], max_rate: float, seed: int) -> DataFrame:
     """(row: all columns of docs, id, size, source_size, target, copies)."""
     rows = docs.select(F.struct(*named(docs.columns)).alias("row"), *named([id_col, "source", "text"])).toDF("row", "id", "source", "text")
-    sized = rows.select("row", "id", "source", n_words().alias("size"))
+    sized = rows.select("row", "id", "source", n_words().alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
     targets = source_targets(sized.select("source", "size"), weights, max_rate).withColumnRenamed("source", "_source")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     joined = sized.join(targets, sized.source.eqNullSafe(targets._source), "left").drop("_source", "source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    extra = unit_hash(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(str(seed))) < rate - F.floor(rate)
-    return joined.withColumn("copies", F.floor(rate) + extra.cast("long"))
+    extra = unit_hash(F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("digest"), F.lit(str(seed))) < rate - F.floor(rate)
+    return joined.withColumn("copies", F.floor(rate) + extra.cast("long")).drop("digest")
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", weights: Sequence[int] = WEIGHTS, max_rate: float = 3.0, seed: int = 0) -> DataFrame:
@@ -87,7 +87,7 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM sizes),
 weighed AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, source_size * 3.0::DOUBLE AS cap FROM ranked),
@@ -96,9 +96,9 @@ shared AS (SELECT *, (sum(source_size) OVER ()
     / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM weighed),
 level AS (SELECT arg_min(share, (cap / weight, rank)) AS level FROM shared WHERE share * weight <= cap),
 targets AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM shared, level),
-rated AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate
+rated AS (SELECT doc_id, digest, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN
-  CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|0'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || digest || '|0'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM rated
 """

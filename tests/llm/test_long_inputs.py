@@ -8,7 +8,7 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docketspark.llm import licenses, near_dedup, secrets, substring_dedup
+from docketspark.llm import licenses, mixing, near_dedup, secrets, substring_dedup
 
 
 def seconds(f, n):
@@ -93,3 +93,14 @@ def test_rows_of_one_id_in_many_buckets_lose_the_same(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs, bucket_bytes=500).collect())
     assert got == sorted([(1, 60, 0)] + [(5, 60, 60)] * 40 + [(5, 30, 0)] + [(9, 30, 30)] * 3)
+
+
+def test_documents_without_ids_meet_the_targets(spark):
+    rng = random.Random(4)
+    rows = [(None, f"{source}{k} " + "w " * rng.randint(5, 14), source) for source in "abcdef" for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.copies(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    # a draw of 200 documents of ten words deviates by some 70 words
+    assert len(got) == 6 and all(abs(r.taken - r.target) < 260 for r in got)
+    shared = mixing.copies(docs.withColumn("doc_id", F.lit(7).cast("long"))).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) < 260 for r in shared)
