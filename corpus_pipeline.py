@@ -48,7 +48,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("decontaminate", decontaminate), ("mix", mixed)]
 
-#: A classifier and locality-sensitive hashing are beyond SQL; tests hold each stage against a brute-force version.
+#: A classifier and locality-sensitive hashing are beyond SQL; tests hold the near stage against brute force, and every stage on odd rows.
 ORACLE_SQL = None
 
 
