@@ -8,7 +8,7 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docketspark.llm import licenses, mixing, near_dedup, secrets, substring_dedup
+from docketspark.llm import decontamination, licenses, mixing, near_dedup, secrets, substring_dedup
 
 
 def seconds(f, n):
@@ -104,3 +104,23 @@ def test_documents_without_ids_meet_the_targets(spark):
     assert len(got) == 6 and all(abs(r.taken - r.target) < 260 for r in got)
     shared = mixing.copies(docs.withColumn("doc_id", F.lit(7).cast("long"))).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
     assert all(abs(r.taken - r.target) < 260 for r in shared)
+
+
+def test_items_that_share_a_phrase_and_long_items(spark):
+    """No leak where only a phrase of all items stands; the work of an item grows with its length."""
+    rng = random.Random(5)
+    some = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    phrase = "in the year of our lord one thousand"
+    items = [(n, f"{some(20)} {phrase} {some(20)}") for n in range(200)]
+    docs = [(n, f"{some(60)} {phrase} {some(60)} {phrase}") for n in range(100)] + [(1000, items[7][1])]
+
+    def wall(docs, items):
+        began = time.perf_counter()
+        got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        return {(r.doc_id, r.item_id, r.similarity) for r in got}, time.perf_counter() - began
+
+    assert wall(docs, items[:20])[0] == {(1000, 7, 1.0)}
+    (got, few), (same, many) = wall(docs, items[:50]), wall(docs, items)
+    assert got == same == {(1000, 7, 1.0)} and many < 3 * few
+    (_, short), (found, long) = (wall([(1, f"x {text} y")], [(1, text)]) for text in (some(1000), some(4000)))
+    assert found == {(1, 1, 1.0)} and long < 4 * short
