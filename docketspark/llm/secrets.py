@@ -1,10 +1,10 @@
 """Secret scans with a random forest that removes false positives.
 
 Candidates are (a) values of 4 signs or more, of any but white space and the quotes around them, that a credential's name
-is assigned, (b) passwords of URLs, and (c) other runs of 16 or more secret-like signs with at least one digit or mixed
+is assigned, (b) passwords of URLs and lines of private keys in their blocks, and (c) other runs of 16 or more secret-like signs with at least one digit or mixed
 case, without the name and its = or : where they lead. Values of (a) without quotes end at , ; and brackets, in a query string
 at &, and need a digit, a sign or mixed case. Where (a) or (b) has a value, (c) has none, but for the whole URL. Each is described by its
-length, the transitions between kinds of characters, its entropy, the share of it that dictionary words cover, whether
+length, a beginning that services give their tokens, the transitions between kinds of characters, its entropy, the share of it that dictionary words cover, whether
 it looks like a path, address or number, and the words beside it. A forest trained from labelled findings gives each
 candidate the probability of being a secret.
 
@@ -44,10 +44,14 @@ _ASSIGNED = re.compile(_NAME.pattern + r"""[\w.\-]{0,60}["']?\s{0,8}(?:=>|:=|==?
 _URL_PASSWORD = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]{0,30}://[^\s/:@"'<>]*:([^\s/"'<>]{1,1000})@""")
 _ADDRESS = re.compile(r"://|^[^@\s]+@[\w\-]+(\.[\w\-]+)*\.[A-Za-z]{2,}$")
 _WORDS = re.compile(r"[A-Za-z]{3,}")
+_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----([^-]*)")
+#: fixed values: how tokens begin that services issue, and how names end of what is no credential
+_ISSUED = re.compile(r"(AKIA|ASIA|AIza|gh[opsru]_|github_pat_|glpat-|npm_|pypi-|[rs]k_live_|[rs]k_test_|sk-|xox[abprs]-|SG\.|hf_|dop_v1_|eyJ)")
+_HARMLESS = re.compile(r"(?i)(commit|sha\d*|rev|revision|checksum|digest|etag|uuid|guid|id|version|url|uri|file|path|expires|count)[\"'\]]*$")
 _KINDS = ("digit", "lower", "upper", "sign")
 FEATURES = [
     "length", "digit", "lower", "upper", "sign", "entropy", "runs", *(f"{a}_{b}" for a in _KINDS for b in _KINDS if a != b),
-    "dictionary", "hex", "slashes", "dots", "address", "number", "named", "assigned", "quoted", "words_before", "words_after",
+    "dictionary", "hex", "slashes", "dots", "address", "number", "issued", "harmless", "named", "assigned", "quoted", "words_before", "words_after",
 ]
 
 
@@ -80,7 +84,8 @@ def candidates(text: str) -> list[tuple[int, str, bool]]:
             continue
         out.append((start, value, True))
         taken.append((start, start + len(value)))
-    i = 0
+    blocks = [m.span(1) for m in _BLOCK.finditer(text)]
+    i = j = 0
     for m in _CANDIDATE.finditer(text):
         value, start = m[0].rstrip(".:=-"), m.start()
         while lead := _LEAD.match(value):
@@ -96,7 +101,9 @@ def candidates(text: str) -> list[tuple[int, str, bool]]:
         first, last = bisect_right(ends, start), bisect_left(begins, start + len(value)) - 1
         if first <= last and (urls[first][0] < start or urls[last][1] > start + len(value)):
             continue
-        out.append((start, value, False))
+        while j < len(blocks) and blocks[j][1] <= start:
+            j += 1
+        out.append((start, value, j < len(blocks) and blocks[j][0] <= start))
     return sorted(out)
 
 
@@ -118,7 +125,7 @@ def describe(value: str, before: str, after: str, dictionary: frozenset[str], cr
         *(steps[(a, b)] / max(n - 1, 1) for a in range(4) for b in range(4) if a != b),
         covered / n, float(re.fullmatch(r"(?i)[0-9a-f]+", value) is not None), value.count("/") / n, value.count(".") / n,
         float(_ADDRESS.search(value) is not None), float(re.fullmatch(r"[\d.:\-+]+", value) is not None),
-        float(credential or _NAME.search(name) is not None), float(credential or assigned), float(tail[-1:] in "\"'" and tail != "" and after[:1] == tail[-1:]),
+        float(_ISSUED.match(value) is not None), float(_HARMLESS.search(name) is not None), float(credential or _NAME.search(name) is not None), float(credential or assigned), float(tail[-1:] in "\"'" and tail != "" and after[:1] == tail[-1:]),
         word_like(left[0]), word_like(right[0]),
     ]
 
@@ -197,9 +204,22 @@ def default_findings(spark) -> DataFrame:
     return spark.createDataFrame(labelled_findings(), FINDINGS)
 
 
+_fitted: dict[tuple[str, frozenset[str]], object] = {}
+
+
+def default_model(spark, dictionary: frozenset[str]):
+    """The forest of ``default_findings``, fitted once a session and dictionary; the last one is kept."""
+    key = (spark.sparkContext.applicationId, dictionary)
+    if key not in _fitted:
+        _fitted.clear()
+        _fitted[key] = train(describe_labelled(default_findings(spark), dictionary))
+    return _fitted[key]
+
+
 def secrets(docs: DataFrame, dictionary: Iterable[str], labelled: DataFrame | None = None, id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """(id, start, value, score, is_secret) of every candidate; ``labelled`` has value, x and label, by default those of ``default_findings``."""
-    model = train(describe_labelled(default_findings(docs.sparkSession), dictionary) if labelled is None else labelled)
+    dictionary = frozenset(dictionary)
+    model = default_model(docs.sparkSession, dictionary) if labelled is None else train(labelled)
     return scan(features(docs, dictionary, id_col), model).select(id_col, "start", "value", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
