@@ -230,6 +230,42 @@ def test_long_single_lines_need_no_neighbour(spark):
     assert {r.doc_id for r in line_dedup.drop_repeated_lines(frame(spark, rows)).collect()} == {1, 3, 4, 5, 6, 7, 8}
 
 
+@pytest.mark.parametrize("window", [2, 3])
+def test_matches_extended_to_both_sides(spark, window):
+    """Each match holds its source's lines, ends where the next window has another source, and all together are the lines removed."""
+    rng = random.Random(8)
+    phrases = [[f"line {rng.randrange(40)} x" for _ in range(rng.randrange(2, 9))] for _ in range(12)]
+    rows = [(i, "\n".join(x for _ in range(5) for x in [*rng.choice(phrases), f"own {i} {rng.random()}"][rng.randrange(2) :])) for i in range(60)]
+    rows += [(60, "a b\nc d\n\na b\nc d\na b\nc d\n" + " ".join(f"w{i}" for i in range(30))), (61, "c d\n" + " ".join(f"w{i}" for i in range(30)) + "\nq"), (62, ""), (63, None)]
+    lines = {i: [tuple(WORD.findall(x)) for x in (t or "").split("\n") if WORD.search(x)] for i, t in rows}
+    seen: dict[tuple, tuple] = {}
+    seeds = {}
+    for i, keys in sorted(lines.items()):
+        for a in range(len(keys)):
+            for size in (window, 1):
+                key = tuple(keys[a : a + size])
+                if a + size <= len(keys) and (size > 1 or len(keys[a]) >= line_dedup.LONG) and seen.setdefault(key, (i, a)) != (i, a):
+                    seeds[(i, a, size)] = seen[key]
+    got = [tuple(r) for r in line_dedup.repeated_runs(frame(spark, rows), window=window).collect()]
+    assert max(n for _, _, n, _, _ in got) > window
+    inside = set()
+    for i, at, n, source, begin in got:
+        assert (source, begin) < (i, at)
+        assert lines[i][at : at + n] == lines[source][begin : begin + n]
+        inside |= {(i, at + k) for k in range(n)}
+        for a in range(max(0, at - window), at + n + 1):
+            for size in (window, 1):
+                if seeds.get((i, a, size)) == (source, begin + a - at):
+                    assert at <= a and a + size <= at + n
+    assert inside == {(i, a + k) for i, a, size in seeds for k in range(size)}
+
+
+def test_equal_rows_hand_on_their_matches_once(spark):
+    rows = [(0, "a b\nc d")] + [(None, "x\na b\nc d")] * 50 + [(5, "a b\nc d\ne")]
+    got = sorted((str(r.doc_id), r.line, r.n_lines, str(r.source_id), r.source_line) for r in line_dedup.repeated_runs(frame(spark, rows)).collect())
+    assert got == [("0", 0, 2, "None", 1), ("5", 0, 2, "None", 1)]
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 50, 80).astype(np.uint64), rng.integers(0, 50, 80).astype(np.uint64)
