@@ -53,16 +53,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder and read again; only the last one's rows are left there."""
+    """The stages applied to documents, each written to the shared folder and read again; only the last one's rows are left there, none if a stage fails."""
     shared_dir(spark)
     folder = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"pipeline-{uuid.uuid4().hex}")
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for name, stage in STAGES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder, name)
-        stage(spark, docs, sf_dir).write.parquet(path.toString())
-        docs = spark.read.parquet(path.toString())
-        if before is not None:
-            files.delete(before, True)
-        before = path
+    try:
+        for name, stage in STAGES:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder, name)
+            stage(spark, docs, sf_dir).write.parquet(path.toString())
+            docs = spark.read.parquet(path.toString())
+            if before is not None:
+                files.delete(before, True)
+            before = path
+    except BaseException:
+        files.delete(folder, True)
+        raise
     return docs
