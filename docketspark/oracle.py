@@ -100,6 +100,28 @@ def clean_advocate(x: str) -> str:
     return strip(out)
 
 
+#: letters, marks, digits and joiners: what stands inside a word in Unicode
+WORD_SIGNS = r"\p{L}\p{M}\p{Nl}\p{Nd}\p{Pc}\x{200C}\x{200D}\x{24B6}-\x{24E9}"
+
+
+def whole_word(x: str, word: str, by: str) -> str:
+    r"""x with by for each whole word, and for the dot behind it where another word follows, as \b..\.?\b does by Unicode borders.
+
+    chr(1) twice before and chr(2) behind each word are its borders; the first of the two may go with a dot, the other is left.
+    """
+    marked = rf"regexp_replace({x}, '([{WORD_SIGNS}]+)', chr(1) || chr(1) || '\1' || chr(2), 'g')"
+    dotted = rf"regexp_replace({marked}, '(?i)\x01{word}\x02\.\x01', '{by}', 'g')"
+    return rf"regexp_replace(regexp_replace({dotted}, '(?i)\x01{word}\x02', '{by}', 'g'), '[\x01\x02]', '', 'g')"
+
+
+def multiline(t: str) -> str:
+    """The cleaned line t by field_type, with Unicode borders of words."""
+    advocate = collapse(t)
+    for a in ABBREVIATIONS:
+        advocate = whole_word(advocate, a, a)
+    return f"CASE WHEN {t} = '' THEN '-' WHEN field_type = 'party' THEN {strip(whole_word(collapse(t), 'vs', 'Vs'))} WHEN field_type = 'advocate' THEN {strip(advocate)} ELSE translate({t}, '–—', '--') END"
+
+
 def list_of(*cases: tuple[str, str]) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {when} THEN {then} END" for when, then in cases) + "], lambda m: m IS NOT NULL)"
 
@@ -261,6 +283,7 @@ SQL: dict[str, str] = {
     "c9_is_dash": f"WITH {RAW} SELECT record_id, coalesce({strip('raw_party_name')} IN ('-', '--', '—', '–'), FALSE) AS dash FROM raw",
     "c10_valid_text": f"WITH {RAW} SELECT record_id, CASE WHEN {strip('raw_advocate')} IN ('', '-', '--') THEN FALSE ELSE length({strip('raw_advocate')}) BETWEEN 3 AND 500 END AS valid FROM raw",
     "c11_process_multiline": rf"WITH d AS ({fx.FIELD_LINES}), k AS (SELECT doc_id, list_filter(list_transform(lines, lambda l: {strip('l')}), lambda l: l <> '') AS kept FROM d WHERE field_type = 'text'), j AS (SELECT doc_id, CASE WHEN len(kept) = 0 THEN '' WHEN len(kept) = 1 THEN kept[1] ELSE {strip(collapse('array_to_string(kept, chr(32))'))} END AS joined FROM k) SELECT doc_id, CASE WHEN joined = '' THEN '-' ELSE translate(joined, '–—', '--') END AS value FROM j",
+    "c11_process_multiline_all": rf"WITH d AS ({fx.FIELD_LINES}), k AS (SELECT doc_id, field_type, list_filter(list_transform(lines, lambda l: {strip('l')}), lambda l: l <> '') AS kept FROM d), j AS (SELECT doc_id, field_type, CASE WHEN len(kept) = 0 THEN '' WHEN len(kept) = 1 THEN kept[1] ELSE {strip(collapse('array_to_string(kept, chr(32))'))} END AS joined FROM k) SELECT doc_id, {multiline('joined')} AS value FROM j",
     "c12_natural_sort_key": f"WITH {CLEANED} SELECT record_id, array_to_string(list_transform({NATURAL.format('party_name')}, lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE x END), '|') AS key FROM cleaned",
     "t1_parse_date": f"WITH {RAW} SELECT record_id, CASE WHEN {is_date('raw_hearing_date')} THEN {date_part('raw_hearing_date', 1)} END AS day, CASE WHEN {is_date('raw_hearing_date')} THEN {date_part('raw_hearing_date', 2)} END AS month, CASE WHEN {is_date('raw_hearing_date')} THEN {date_part('raw_hearing_date', 3)} END AS year, CASE WHEN {is_date('raw_hearing_date')} THEN {valid_date('raw_hearing_date')} END AS is_valid, CASE WHEN {is_date('raw_hearing_date')} THEN {formatted('raw_hearing_date')} END AS formatted, {date_obj('raw_hearing_date')} AS date_obj, CASE WHEN {is_date('raw_hearing_date')} THEN CASE WHEN {valid_date('raw_hearing_date')} THEN 0.95::DOUBLE ELSE 0.50 END END AS confidence FROM raw",
     "t2_valid_date_parts": f"WITH p AS (SELECT o_orderkey, CAST(o_orderkey % 33 AS INT) AS d, CAST(o_custkey % 14 AS INT) AS m, CAST(1940 + o_orderkey % 170 AS INT) AS y FROM orders) SELECT o_orderkey, {valid_parts('d', 'm', 'y')} AS valid FROM p",

@@ -152,7 +152,7 @@ _column("c8_special_chars", lambda: C.normalize_special_chars(F.col("text")), "n
 _column("c9_is_dash", lambda: C.is_dash(F.col("raw_party_name")), "dash")
 _column("c10_valid_text", lambda: C.is_valid_text(F.col("raw_advocate")), "valid")
 _column("c11_process_multiline", lambda: C.process_multiline(F.col("lines"), F.col("field_type")), "value", lambda s, d: fx.view(s, d, fx.FIELD_LINES).where("field_type = 'text'"), "doc_id")
-# the same over all three types of field; tests hold it against a model, as DuckDB's word borders differ
+# the same over all three types of field; its SQL spells the Unicode borders of words out, as DuckDB's own are ASCII
 _column("c11_process_multiline_all", lambda: C.process_multiline(F.col("lines"), F.col("field_type")), "value", lambda s, d: fx.view(s, d, fx.FIELD_LINES), "doc_id")
 _column("c12_natural_sort_key", lambda: F.array_join(F.flatten(F.transform(C.natural_sort_key(F.col("party_name")), lambda k: F.filter(F.array(F.nullif(k["s"], F.lit("")), k["n"].cast("string")), lambda x: x.isNotNull()))), "|"), "key", cleaned)
 

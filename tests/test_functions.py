@@ -2,9 +2,11 @@
 
 from datetime import date
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from docketspark import oracle
 from docketspark.functions import confidence as S
 from docketspark.functions import dates as T
 from docketspark.functions import text as C
@@ -13,6 +15,10 @@ from docketspark.functions.similarity import lcs_length, token_set_ratio_of
 from docketspark.operators.order import case_sort_key
 
 
+#: whole words by Unicode borders: letters beyond ASCII, marks, joiners, circled letters, dots before words and before none
+BORDERS = ["vs", "a vs. b", "A vs.vs.x", "évs b", "app.x adpp. asp sp.sp", "App vs sp", "\u017fp x", "x_app app", "x\u2010app\u2010y", "v\u017f. k", "\u24b6vs a", "sp.é", "  vs  vs  vs ", "ASP.ADPP.app", "e\u0301app", "vs.\u00b2", "vs.\u0663 vs", "a\u200dvs vs"]
+
+
 def values(spark, column, items, kind="string"):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(items)], f"i int, v {kind}")
     return [r[1] for r in df.select("i", column(F.col("v"))).orderBy("i").collect()]
@@ -98,3 +104,14 @@ def test_strip_takes_what_the_pattern_takes(spark):
     texts = [(f"{chr(i)}a{chr(i)} b{chr(i)}{chr(i)}",) for i in range(1, 0x3100)] + [("",), (None,), (" \t　",)]
     got = spark.createDataFrame(texts, "t string").select(C.strip(F.col("t")).alias("stripped"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("expected"))
     assert got.where(~F.col("stripped").eqNullSafe(F.col("expected"))).count() == 0
+
+
+def test_sql_of_word_borders(spark):
+    rows = [(i, kind, t) for i, (kind, t) in enumerate((k, t) for k in ("party", "advocate", "text") for t in BORDERS)]
+    df = spark.createDataFrame(rows, "i int, field_type string, t string")
+    got = dict(df.select("i", C.process_multiline(F.array("t"), F.col("field_type"))).collect())
+    con = duckdb.connect()
+    con.execute("create table odd (i int, field_type varchar, t varchar)")
+    con.executemany("insert into odd values (?, ?, ?)", rows)
+    want = dict(con.execute(f"select i, {oracle.multiline('joined')} from (select i, field_type, {oracle.strip('t')} as joined from odd)").fetchall())
+    assert got == want
