@@ -31,9 +31,19 @@ def sort_key(field: str) -> Column:
     return date_sort_key(F.col(field)) if field == "hearing_date" else natural_sort_key(F.col(field).cast("string"))
 
 
+def ordered(df: DataFrame, keys: list[tuple[Column, bool]]) -> DataFrame:
+    """df in the order of keys, each a column and whether it is turned.
+
+    The keys are columns before the sort, once a row: Spark works an expression in a sort order out again in each comparison.
+    """
+    taken = {c.lower() for c in df.columns}
+    names = [n for n in (f"_key_{i}" for i in range(len(taken) + len(keys))) if n not in taken][: len(keys)]
+    keyed = df.select("*", *(k.alias(n) for n, (k, _) in zip(names, keys, strict=True)))
+    return keyed.orderBy(*(F.col(n).desc() if turned else F.col(n).asc() for n, (_, turned) in zip(names, keys, strict=True))).drop(*names)
+
+
 def _ordered(df: DataFrame, field: str, reverse: bool, id_col: str) -> DataFrame:
-    key = sort_key(field)
-    return df.orderBy(key.desc() if reverse else key.asc(), F.col(id_col).asc())
+    return ordered(df, [(sort_key(field), reverse), (F.col(id_col), False)])
 
 
 def sort_by_case_number(df: DataFrame, reverse: bool = False, id_col: str = "record_id") -> DataFrame:
@@ -50,17 +60,21 @@ def sort_by_party_name(df: DataFrame, reverse: bool = False, id_col: str = "reco
     return _ordered(df, "party_name", reverse, id_col)
 
 
+def _field_keys(order: list[tuple[str, bool]], per_field: bool, id_col: str) -> list[tuple[Column, bool]]:
+    if per_field:
+        return [*((sort_key(f), r) for f, r in order), (F.col(id_col), False)]
+    turned = sum(r for _, r in order) % 2 == 1
+    return [*((sort_key(f), turned) for f, _ in order), (F.col(id_col), turned)]
+
+
 def field_orders(order: list[tuple[str, bool]], per_field: bool = False, id_col: str = "record_id") -> list[Column]:
     """Sort columns of (field, reverse) pairs. Each true flag turns the whole list, ties included, so an odd number of
     them turns everything; with per_field each flag acts on its own field."""
-    if per_field:
-        return [*(sort_key(f).desc() if r else sort_key(f).asc() for f, r in order), F.col(id_col).asc()]
-    turned = sum(r for _, r in order) % 2 == 1
-    return [k.desc() if turned else k.asc() for k in (*(sort_key(f) for f, _ in order), F.col(id_col))]
+    return [k.desc() if turned else k.asc() for k, turned in _field_keys(order, per_field, id_col)]
 
 
 def sort_by_fields(df: DataFrame, order: list[tuple[str, bool]] | None = None, per_field: bool = False, id_col: str = "record_id") -> DataFrame:
-    return df.orderBy(*field_orders(order or [("case_number", False)], per_field, id_col))
+    return ordered(df, _field_keys(order or [("case_number", False)], per_field, id_col))
 
 
 def mode_keys(mode: str = "prefix_number_year") -> list[Column]:
@@ -78,7 +92,7 @@ def mode_orders(mode: str = "prefix_number_year", id_col: str = "record_id") ->
 
 
 def sort_by_mode(df: DataFrame, mode: str = "prefix_number_year", id_col: str = "record_id") -> DataFrame:
-    return df.orderBy(*mode_orders(mode, id_col))
+    return ordered(df, [*((k, False) for k in mode_keys(mode)), (F.col(id_col), False)])
 
 
 def ranked(keys: DataFrame, group: list[str], orders: list[Column], name: str) -> DataFrame:

@@ -252,3 +252,14 @@ def test_streaming_matches_batch(spark, tmp_path):
     batch = flows.score_records(raw, fx.as_of())
     want = batch.where("case_number not in ('', '-')").select("case_number").distinct().count() + batch.where("case_number in ('', '-')").count()
     assert spark.table("scored").count() == want
+
+
+def test_sort_keys_are_columns_before_the_sort(spark):
+    """An expression in a sort order would be worked out again in each comparison."""
+    rows = [(i, f"SC/{i % 7}/2001", f"Part {i % 5} vs X", f"0{i % 9}-01-2001", "kept") for i in range(40)]
+    df = spark.createDataFrame(rows, "record_id long, case_number string, party_name string, hearing_date string, _key_0 string")
+    for done in (order.sort_by_party_name(df), order.sort_by_case_number(df, True), order.sort_by_date(df), order.sort_by_fields(df, [("case_number", True), ("hearing_date", False)]), order.sort_by_mode(df)):
+        sorts = [line for line in done._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in line or "rangepartitioning(" in line]
+        assert sorts and not any("regexp" in line.lower() or "split_part" in line.lower() or "transform" in line.lower() for line in sorts)
+        assert done.columns == df.columns and done.count() == 40
+    assert [r.record_id for r in order.sort_by_party_name(df).limit(9).collect()] == [0, 5, 10, 15, 20, 25, 30, 35, 1]
