@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import broadcast_if_small
+from .sizing import broadcast_if_small, parts
 
 
 def merge_ocr(primary: DataFrame, secondary: DataFrame) -> DataFrame:
@@ -18,7 +18,8 @@ def merge_ocr(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     values = [c for c in primary.columns if c in secondary.columns and c not in ("confidence", "engine")]
     engine = lambda df, name: F.col("engine") if "engine" in df.columns else F.lit(name)
     side = lambda df, name: df.select(*values, "confidence", engine(df, "paddle" if name == "primary" else name).alias("engine"), F.lit(name).alias("source"), F.lower(F.coalesce("text", F.lit(""))).alias("_key"))
-    both = side(primary, "primary").unionByName(side(secondary, "secondary")).repartition("image_id")
+    both = side(primary, "primary").unionByName(side(secondary, "secondary"))
+    both = both.repartition(parts(both), "image_id")
     same, is_first = Window.partitionBy("image_id", "_key"), F.col("source") == "primary"
     both = both.withColumn("_other", F.min(F.when(~is_first, F.struct("region_idx", "confidence"))).over(same)).withColumn("_met", F.max(is_first).over(same))
     matched = is_first & F.col("_other").isNotNull() & F.col("_other.confidence").isNotNull()

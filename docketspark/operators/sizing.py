@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: bytes of files behind what one task sorts: text boxes take some 20 times their bytes in a file
+TASK_BYTES = 2 << 20
 #: rows of a narrow table (about 100 bytes each) that may be broadcast
 MAX_BROADCAST_ROWS = 200_000
 
@@ -40,3 +42,11 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def parts(df: DataFrame) -> int:
+    """How many tasks are to share the rows, so that what one holds does not grow with the input: by the bytes of the files behind them, and as many as a shuffle has at least."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(n for n in sizes if n < 1 << 50)  # Spark gives a huge size where it knows none
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // TASK_BYTES)

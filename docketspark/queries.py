@@ -372,7 +372,7 @@ def k1_json_lines(spark: SparkSession, d: str) -> DataFrame:
     boxes = F.transform(F.array_sort(F.collect_list(F.struct("region_idx", "text", "raw_text", "confidence", "bounding_box", "engine"))), lambda r: r.dropFields("region_idx"))
     images = flat.groupBy("image_id").agg(boxes.alias("regions"))
     whole = F.to_json(F.struct(F.when(F.col("image_id") % 11 != 0, F.col("image_id")).alias("image_id"), F.when(F.col("image_id") % 13 != 0, F.col("regions")).alias("regions")))
-    images.select(F.when(F.col("image_id") % 7 == 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole).alias("value")).write.text(path)
+    images.select(F.when(F.col("image_id") % 7 == 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole).alias("value")).write.option("compression", "gzip").text(path)
     regions, rejected = io.region_lines(spark, path)
     nothing = lambda kind: F.lit(None).cast(kind)
     lost = rejected.select(nothing("long").alias("image_id"), nothing("long").alias("region_idx"), nothing("string").alias("text"), nothing("double").alias("confidence"), "reason")

@@ -263,3 +263,29 @@ def test_sort_keys_are_columns_before_the_sort(spark):
         assert sorts and not any("regexp" in line.lower() or "split_part" in line.lower() or "transform" in line.lower() for line in sorts)
         assert done.columns == df.columns and done.count() == 40
     assert [r.record_id for r in order.sort_by_party_name(df).limit(9).collect()] == [0, 5, 10, 15, 20, 25, 30, 35, 1]
+
+
+def test_json_lines_are_written_compressed(spark, monkeypatch, tmp_path):
+    from docketspark import queries
+
+    monkeypatch.setattr(queries, "shared_folder", lambda _: str(tmp_path / "lines"))
+    rows = queries.k1_json_lines(spark, "/root/testdata/sf0.001").count()
+    written = sum(p.stat().st_size for p in (tmp_path / "lines").glob("part-*"))
+    assert rows > 20_000 and written < 60 * rows  # 280 bytes a box as text
+
+
+def test_boxes_are_dealt_once_and_by_the_bytes_behind_them(spark, monkeypatch):
+    """A row of lineitem is four boxes: it is dealt before these are made, into more tasks as it grows."""
+    from docketspark.operators import sizing
+
+    def dealt() -> list[str]:
+        plan = fx.regions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan
+        return re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, (\d+)", plan)
+
+    assert sorted(dealt()) == [("l_orderkey", "4"), ("o_orderkey", "4")]
+    monkeypatch.setattr(sizing, "TASK_BYTES", 1 << 13)
+    more = dealt()
+    assert len(more) == 2 and len({n for _, n in more}) == 1 and int(more[0][1]) > 8
+    merged = merge.merge_ocr(*(fx.regions(spark, "/root/testdata/sf0.001", s) for s in (fx.REGIONS_FLAT, fx.REGIONS_SECONDARY)))
+    assert int(re.search(r"hashpartitioning\(image_id#\d+L?, (\d+)", merged._jdf.queryExecution().executedPlan().toString())[1]) > 8
