@@ -160,6 +160,25 @@ def _needed_words(w: Column, common: Column | None, ratio: float) -> Column:
     return let(rare_first, needed)
 
 
+def _contained(named: DataFrame) -> DataFrame:
+    """(id1, id2) of representatives (case, id, w) of one case number of which one has all words of the other.
+
+    Each is looked up by the word that the fewest of its case number have, and met only by those that have it; a word that no other has
+    leads nowhere and is dropped before anything is joined.
+    """
+    named = materialize(named.select("case", "id", "w"))
+    single = named.select("case", "id", F.explode("w").alias("word"))
+    counted = single.groupBy("case", "word").agg(F.count("*").alias("n"))
+    rarest = single.join(counted, ["case", "word"]).groupBy("case", "id").agg(F.min(F.struct("n", "word")).alias("r")).where("r.n > 1")
+    needed = materialize(rarest.select("case", "id", F.col("r.word").alias("word")))
+    having = single.join(needed.select("case", "word").distinct(), ["case", "word"], "left_semi").withColumnRenamed("id", "_id")
+    met = needed.join(having, ["case", "word"]).where("id != _id").select("case", "id", "_id")
+    both = met.join(named, ["case", "id"]).join(named.select("case", F.col("id").alias("_id"), F.col("w").alias("_w")), ["case", "_id"])
+    # equal sets contain each other and would be told twice
+    held = (F.size(F.array_except("w", "_w")) == 0) & ((F.size("w") < F.size("_w")) | (F.col("id") < F.col("_id")))
+    return both.where(held).select(F.least("id", "_id").alias("id1"), F.greatest("id", "_id").alias("id2"))
+
+
 def similar_record_groups(records: DataFrame, threshold: float = 0.9, block: int = BLOCK, small: int = SMALL, id_col: str = "record_id", counts: bool = False) -> DataFrame:
     """(kind, id1, id2, similarity): all similar records of equal case numbers, empty ones included, by representatives.
 
@@ -171,7 +190,8 @@ def similar_record_groups(records: DataFrame, threshold: float = 0.9, block: int
     their words and a hash; blocks meet whose lengths are so near that a pair can be similar as a whole, a pair of blocks a row, so
     a hot key is the work of many tasks. Where lengths are further apart a short name can only be a part of a long one, and the
     two meet by a word that they must share and by the long one's order of length. Of the pairs that meet, bounds by common words and by classes of signs leave few more than the
-    links to be compared in full; counts=True gives (pairs, compared) in place of the links.
+    links to be compared in full; counts=True gives (pairs, compared) in place of the links. At a threshold of 1 only a name that has all words
+    of the other is similar to it, and names meet by their rarest word alone.
     """
     rows = records.select(F.coalesce("case_number", F.lit("")).alias("case"), F.coalesce("party_name", F.lit("")).alias("party"), F.col(id_col).cast("long").alias("id"))
     groups = materialize(rows.groupBy("case", "party").agg(F.min("id").alias("first"), F.count("*").alias("n")))
@@ -183,6 +203,8 @@ def similar_record_groups(records: DataFrame, threshold: float = 0.9, block: int
     sizes = groups.groupBy("case").agg(F.count("*").alias("size")).where("size > 1")
     named = groups.join(sizes, "case").withColumn("w", words(F.col("party"))).where(F.lit(ratio <= 0) | (F.size("w") > 0))
     named = named.select("case", "size", F.col("first").alias("id"), "party", "w", F.length(F.array_join("w", " ")).alias("length"))
+    if threshold == 1 and not counts:  # less than all words in common gives less than 100
+        return _contained(named).select(F.lit("link").alias("kind"), "id1", "id2", F.lit(1.0).alias("similarity")).unionByName(members)
     listed = (F.collect_list("id").alias("ids"), F.collect_list("party").alias("parties"))
     within = named.where(F.col("size") <= small).groupBy("case").agg(*listed)
 

@@ -289,3 +289,21 @@ def test_boxes_are_dealt_once_and_by_the_bytes_behind_them(spark, monkeypatch):
     assert len(more) == 2 and len({n for _, n in more}) == 1 and int(more[0][1]) > 8
     merged = merge.merge_ocr(*(fx.regions(spark, "/root/testdata/sf0.001", s) for s in (fx.REGIONS_FLAT, fx.REGIONS_SECONDARY)))
     assert int(re.search(r"hashpartitioning\(image_id#\d+L?, (\d+)", merged._jdf.queryExecution().executedPlan().toString())[1]) > 8
+
+
+def test_equal_parties_meet_by_words_not_in_pairs(spark, monkeypatch):
+    def in_pairs(*_):
+        raise AssertionError("compared in pairs")
+
+    rng, told = random.Random(5), {}
+    names = [" ".join(rng.sample(["a", "b", "c", "dd", "e1", "f", "vs"], rng.randint(0, 4))) for _ in range(90)] + ["b  a", "", "-", "vs", "a\tb", "vs vs"] + [f"Customer {i % 70} vs X{i % 3}" for i in range(150)]
+    rows = [(i, f"SC/{i % 2}/2001" if i % 5 else "", n) for i, n in enumerate(names)]
+    for i, case, name in rows:
+        told.setdefault((case, name), []).append(i)
+    first = [(ids[0], case, name) for (case, name), ids in told.items()]
+    links = {("link", min(i, j), max(i, j)) for i, c, n in first for j, d, m in first if i < j and c == d and token_set_ratio_of(n, m) == 100}
+    members = {("member", ids[0], i) for (_, name), ids in told.items() if name.split() for i in ids[1:]}
+    monkeypatch.setattr(dedupe, "_pairs_of_rows", in_pairs)
+    found = dedupe.similar_record_groups(spark.createDataFrame(rows, "record_id long, case_number string, party_name string"), threshold=1.0).collect()
+    assert len(found) == len({(r.kind, r.id1, r.id2) for r in found}) and all(r.similarity == 1 for r in found)
+    assert links and members and {(r.kind, r.id1, r.id2) for r in found} == links | members
