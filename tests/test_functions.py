@@ -115,3 +115,18 @@ def test_sql_of_word_borders(spark):
     con.executemany("insert into odd values (?, ?, ?)", rows)
     want = dict(con.execute(f"select i, {oracle.multiline('joined')} from (select i, field_type, {oracle.strip('t')} as joined from odd)").fetchall())
     assert got == want
+
+
+def test_texts_with_nothing_to_collapse_are_cleaned_as_all_others(spark):
+    """The short ways past the patterns give what the patterns give, and one line what a list of one line gives."""
+    texts = ["", " ", "a b", "a  b", "a b", "a\tb", " x vs.y", "K vs. M", "app.X", "AſP, adpp.", "aſp x", "x\ny", " \n ", "\n-\n", "sc / 1 / 2001", "sc /1/2001", "a\n\n b  c", "-", "café app", "\x7f\x7f"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i long, t string")
+    full = F.regexp_replace(F.coalesce("t", F.lit("")), r"(?U)\s+", " ")
+    advocate = full
+    for short in C.ABBREVIATIONS:
+        advocate = F.regexp_replace(advocate, rf"(?iU)\b{short}\.?\b", short)
+    case = F.translate(F.regexp_replace(F.upper(C.strip(F.col("t"))), r"(?U)\s+", ""), "|\\", "//")
+    pairs = {"case": (C.normalize_case_number(F.col("t")), case), "advocate": (C.clean_advocate_name(F.col("t")), C.strip(advocate)), "spaces": (C.collapse_spaces(F.coalesce("t", F.lit(""))), full)}
+    pairs |= {k: (C.process_line(F.col("t"), k), C.process_multiline(F.split("t", "\n"), k)) for k in ("party", "advocate", "text")}
+    wrong = [(k, r.asDict()) for k, (new, old) in pairs.items() for r in df.select("t", new.alias("new"), old.alias("old")).where("not (new <=> old)").collect()]
+    assert not wrong
