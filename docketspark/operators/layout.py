@@ -15,6 +15,8 @@ from ..functions.text import process_line, strip
 HEADER_KEYWORDS = ("Case", "Number", "Party", "Advocate", "Sr", "No", "Date", "Hearing")
 SECTION_PHRASES = ("Arguments", "Judgement", "For Orders", "Await Records", "For Further Proceedings", "Admission", "CMP Pending", "Service Pending", "Steps", "For Hearing", "Disposal")
 BOX = ("x_min", "y_min", "x_max", "y_max")
+#: the same in the order of cluster_rows
+SAME = ("y_min", "x_min", "x_max", "y_max")
 FIELDS = ("case_number", "hearing_date", "party_name", "advocate")
 
 
@@ -26,8 +28,12 @@ def region_boxes(regions: DataFrame) -> DataFrame:
 
 
 def cluster_rows(boxes: DataFrame, vertical_threshold: int = 20) -> DataFrame:
-    """boxes with row_idx: a row ends where the next box begins more than the threshold below all boxes above it."""
-    order = Window.partitionBy("image_id").orderBy("y_min", "region_idx")
+    """boxes with row_idx: a row ends where the next box begins more than the threshold below all boxes above it.
+
+    Boxes of one y_min are of one row, in whichever order, unless the threshold is negative; they are put in that of their borders, so that
+    identical boxes stand together and need no sort of their own.
+    """
+    order = Window.partitionBy("image_id").orderBy(*(SAME if vertical_threshold >= 0 else ("y_min",)), "region_idx")
     above = F.max("y_max").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce((F.col("y_min") - above > vertical_threshold).cast("long"), F.lit(0))
     return boxes.withColumn("_new", new).withColumn("row_idx", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
@@ -46,7 +52,7 @@ def rows_from_regions(regions: DataFrame, vertical_threshold: int = 20, same_box
     rows = cluster_rows(region_boxes(regions), vertical_threshold)  # first, as it deals the boxes by image alone
     if same_box == "last":
         values = [c for c in ("text", "raw_text", "confidence", "engine") if c in rows.columns]
-        same = Window.partitionBy("image_id", *BOX).orderBy("region_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        same = Window.partitionBy("image_id", *SAME).orderBy("region_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         rows = rows.withColumns({c: F.last(c).over(same) for c in values})
     return order_row_items(rows)
 
@@ -70,45 +76,59 @@ def _column_of(boundaries: Column, x_min: Column, x_max: Column) -> Column:
     return F.when((col >= 0) & (col < F.size(boundaries) - 1), col)
 
 
-def assign_columns(boxes: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """boxes with col: the column that holds their centre; boxes outside all columns go."""
+def _bounded(boxes: DataFrame, gap: int) -> DataFrame:
+    """boxes with boundaries and width of their image, by windows; the fold over its borders is worked out for one box of each image."""
+    image = Window.partitionBy("image_id")
+    borders = F.collect_list(F.when(F.col("x_min").isNotNull(), F.array("x_min", "x_max"))).over(image)
+    gathered = boxes.withColumn("_borders", borders).withColumn("width", F.max("x_max").over(image)).withColumn("_first", F.min("region_idx").over(image))
+    found = F.when(F.col("region_idx").eqNullSafe(F.col("_first")), _boundaries(F.sort_array(F.flatten("_borders")), gap))
+    one = gathered.withColumn("boundaries", found).drop("_borders", "_first")
+    return one.withColumn("boundaries", F.first("boundaries", ignorenulls=True).over(image))
+
+
+def assign_columns(boxes: DataFrame, boundaries: DataFrame | None = None, gap: int = 30) -> DataFrame:
+    """boxes with col: the column that holds their centre; boxes outside all columns go.
+
+    Without a table of boundaries, those of all boxes of an image, as ``column_boundaries`` finds them: no join.
+    """
+    bounded = _bounded(boxes, gap).drop("width") if boundaries is None else boxes.join(boundaries, "image_id")
     col = _column_of(F.col("boundaries"), F.col("x_min"), F.col("x_max"))
-    return boxes.join(boundaries, "image_id").withColumn("col", col).where("col is not null").drop("boundaries")
+    return bounded.withColumn("col", col).where("col is not null").drop("boundaries")
 
 
 def organize_columns(rows: DataFrame, expected: int = 4, gap: int = 30) -> DataFrame:
     """rows with col by the boundaries of all boxes; an image with fewer than two gets equal parts of its width.
 
-    The boxes of an image, a page's, are gathered once with their boundaries and dealt out again with their columns: no join, and no
-    exchange where rows are dealt by image already.
+    Boundaries come by windows over the image: no join, and no exchange where rows are dealt by image already.
     """
-    boxes = F.col("boxes")
-    xs = F.array_sort(F.flatten(F.transform(boxes, lambda b: F.array(b["x_min"], b["x_max"]))))
-    gathered = rows.groupBy("image_id").agg(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in rows.columns))).alias("boxes"))
-    found = gathered.select("boxes", _boundaries(xs, gap).alias("found"), F.array_max(F.transform(boxes, lambda b: b["x_max"])).alias("width"))
     equal = F.transform(F.sequence(F.lit(0), F.lit(expected)), lambda i: i * F.col("width") / expected)
-    bounds = found.select("boxes", F.when(F.size("found") < 2, equal).otherwise(F.col("found").cast("array<double>")).alias("bounds"))
-    placed = bounds.select(F.explode(F.transform(boxes, lambda b: F.struct(b.alias("box"), _column_of(F.col("bounds"), b["x_min"], b["x_max"]).alias("col")))).alias("placed"))
-    return placed.where("placed.col is not null").select("placed.box.*", "placed.col")
+    bounds = F.when(F.size("boundaries") < 2, equal).otherwise(F.col("boundaries").cast("array<double>"))
+    placed = _bounded(rows, gap).withColumn("col", _column_of(bounds, F.col("x_min"), F.col("x_max")))
+    return placed.where("col is not null").select(*rows.columns, "col")
+
 
+def _keywords(text: Column) -> Column:
+    """The header words in a text as bits; they have no space, so those of a row are the bits of its boxes."""
+    return sum((F.contains(F.lower(text), F.lit(k.lower())).cast("int") * (1 << i) for i, k in enumerate(HEADER_KEYWORDS)), F.lit(0))
 
-def _row_texts(rows: DataFrame) -> DataFrame:
-    """(image_id, row_idx, n, texts in order)."""
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
-    return rows.groupBy("image_id", "row_idx").agg(F.count("*").alias("n"), texts.alias("texts"))
 
+def _is_header(bits: Column) -> Column:
+    return F.bit_count(bits) >= 2
+
+
+def _text() -> Column:
+    return F.coalesce("text", F.lit(""))
 
-def _keywords(text: Column) -> Column:
-    return sum((F.contains(text, F.lit(k.lower())).cast("int") for k in HEADER_KEYWORDS), F.lit(0))
 
+def _at(place: int, value: Column) -> Column:
+    return F.max(F.when(F.col("pos") == place, value))
 
-def _described(rows: DataFrame) -> DataFrame:
-    """rows with _line (the texts of its row in order), _n (its boxes) and _header (the image's header row), by windows alone."""
-    line = Window.partitionBy("image_id", "row_idx")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text"))).over(line)), lambda x: x["text"])
-    out = rows.withColumn("_n", F.count("*").over(line)).withColumn("_line", F.array_join(texts, " "))
-    header = F.min(F.when(_keywords(F.lower("_line")) >= 2, F.col("row_idx"))).over(Window.partitionBy("image_id"))
-    return out.withColumn("_header", F.coalesce(header, F.lit(0)).cast("long"))
+
+def _headed(rows: DataFrame) -> DataFrame:
+    """rows with _header, the image's header row, by windows alone."""
+    out = rows.withColumn("_bits", F.bit_or(_keywords(_text())).over(Window.partitionBy("image_id", "row_idx")))
+    header = F.min(F.when(_is_header(F.col("_bits")), F.col("row_idx"))).over(Window.partitionBy("image_id"))
+    return out.withColumn("_header", F.coalesce(header, F.lit(0)).cast("long")).drop("_bits")
 
 
 def _has_phrase(line: Column) -> Column:
@@ -118,28 +138,33 @@ def _has_phrase(line: Column) -> Column:
     return found
 
 
-def _cells(described: DataFrame, expected: int) -> DataFrame:
-    raw = F.coalesce("raw_text", F.lit("")) if "raw_text" in described.columns else F.lit("")
-    cells = described.where((F.col("row_idx") != F.col("_header")) & (F.col("pos") < expected))
-    return cells.select("image_id", "row_idx", F.col("pos").alias("col_idx"), strip(F.coalesce("text", F.lit(""))).alias("content"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), raw.alias("raw_ocr"))
+def _is_heading(n: Column, first: Column, second: Column) -> Column:
+    """Whether a row of n boxes, of which these are the first texts, is a section heading."""
+    return F.when(n == 1, _has_phrase(first)).when(n == 2, _has_phrase(F.concat(first, F.lit(" "), second))).otherwise(False)
+
+
+def _cells(headed: DataFrame, expected: int) -> DataFrame:
+    raw = F.coalesce("raw_text", F.lit("")) if "raw_text" in headed.columns else F.lit("")
+    cells = headed.where((F.col("row_idx") != F.col("_header")) & (F.col("pos") < expected))
+    return cells.select("image_id", "row_idx", F.col("pos").alias("col_idx"), strip(_text()).alias("content"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), raw.alias("raw_ocr"))
 
 
 def detect_header_row(rows: DataFrame) -> DataFrame:
     """(image_id, header_row_idx): the first row with two header words or more, else row 0."""
-    matches = _keywords(F.lower(F.array_join("texts", " ")))
-    return _row_texts(rows).groupBy("image_id").agg(F.coalesce(F.min(F.when(matches >= 2, F.col("row_idx"))), F.lit(0)).cast("long").alias("header_row_idx"))
+    lines = rows.groupBy("image_id", "row_idx").agg(F.bit_or(_keywords(_text())).alias("bits"))
+    return lines.groupBy("image_id").agg(F.coalesce(F.min(F.when(_is_header(F.col("bits")), F.col("row_idx"))), F.lit(0)).cast("long").alias("header_row_idx"))
 
 
 def column_headers(rows: DataFrame) -> DataFrame:
     """(image_id, header_row_idx, column_headers): the header row's texts, stripped, without empty ones."""
-    header = _described(rows).where(F.col("row_idx") == F.col("_header"))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", strip(F.coalesce("text", F.lit(""))).alias("text")))), lambda x: x["text"])
+    header = _headed(rows).where(F.col("row_idx") == F.col("_header"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("pos", strip(_text()).alias("text")))), lambda x: x["text"])
     return header.groupBy("image_id", F.col("_header").alias("header_row_idx")).agg(F.filter(texts, lambda t: t != "").alias("column_headers"))
 
 
 def parse_cells(rows: DataFrame, expected: int = 4) -> DataFrame:
     """(image_id, row_idx, col_idx, content, confidence, raw_ocr): the first columns of all rows but the header."""
-    return _cells(_described(rows), expected)
+    return _cells(_headed(rows), expected)
 
 
 def table_structure(rows: DataFrame, expected: int = 4) -> DataFrame:
@@ -150,7 +175,8 @@ def table_structure(rows: DataFrame, expected: int = 4) -> DataFrame:
 
 def section_headings(rows: DataFrame) -> DataFrame:
     """(image_id, row_idx) of rows of one or two boxes whose text has a heading's phrase."""
-    return _row_texts(rows).where((F.col("n") <= 2) & _has_phrase(F.array_join("texts", " "))).select("image_id", "row_idx")
+    lines = rows.groupBy("image_id", "row_idx").agg(F.count("*").alias("n"), _at(0, _text()).alias("first"), _at(1, _text()).alias("second"))
+    return lines.where(_is_heading(F.col("n"), F.col("first"), F.col("second"))).select("image_id", "row_idx")
 
 
 def cell_lookup(cells: DataFrame, row: int, col: int | None = None) -> DataFrame:
@@ -166,9 +192,16 @@ def cells_to_records(rows: DataFrame, expected: int = 4) -> DataFrame:
 
     Columns are case number, date, party and advocate by position; a missing cell is a dash of confidence 0.
     """
-    cells = _cells(_described(rows).where((F.col("_n") > 2) | ~_has_phrase(F.col("_line"))), expected)
-    at = lambda k, c: F.max(F.when(F.col("col_idx") == k, F.col(c)))
-    wide = cells.groupBy("image_id", "row_idx").agg(*(at(k, "content").alias(f"_{f}") for k, f in enumerate(FIELDS)), *(F.coalesce(at(k, "confidence"), F.lit(0.0)).alias(f"{c}_confidence") for k, c in enumerate(("case_number", "date", "party_name", "advocate"))))
+    names = ("case_number", "date", "party_name", "advocate")
+    # text and confidence in one: the fewer sums of texts there are, the less each box costs
+    cell = F.struct(_text().alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    lines = rows.groupBy("image_id", "row_idx").agg(F.count("*").alias("_n"), F.bit_or(_keywords(_text())).alias("_bits"), *(_at(k, cell).alias(f"_{k}") for k in range(max(2, min(expected, len(FIELDS))))))
+    header = F.min(F.when(_is_header(F.col("_bits")), F.col("row_idx"))).over(Window.partitionBy("image_id"))
+    headed = lines.withColumn("_header", F.coalesce(header, F.lit(0)).cast("long"))
+    wide = headed.where((F.col("row_idx") != F.col("_header")) & ~_is_heading(F.col("_n"), F.col("_0.text"), F.col("_1.text")))
+    part = lambda k, c, kind: F.col(f"_{k}.{c}") if k < expected else F.lit(None).cast(kind)
+    sure = [F.coalesce(part(k, "confidence", "double"), F.lit(0.0)).alias(f"{c}_confidence") for k, c in enumerate(names)]
+    wide = wide.select("image_id", "row_idx", *(strip(part(k, "text", "string")).alias(f"_{f}") for k, f in enumerate(FIELDS)), *sure)
     kinds = ("text", "text", "party", "advocate")
     raw = [process_line(F.col(f"_{f}"), kind).alias(f"raw_{f}") for f, kind in zip(FIELDS, kinds, strict=True)]
     return wide.select("image_id", "row_idx", *raw, "case_number_confidence", "date_confidence", "party_name_confidence", "advocate_confidence")

@@ -84,7 +84,7 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 @_named
 def k1_regions(spark: SparkSession, d: str) -> DataFrame:
     flat = fx.regions(spark, d)
-    boxes = F.transform(F.array_sort(F.collect_list(F.struct("region_idx", "text", "raw_text", "confidence", "bounding_box", "engine"))), lambda r: r.dropFields("region_idx"))
+    boxes = F.transform(F.sort_array(F.collect_list(F.struct("region_idx", "text", "raw_text", "confidence", "bounding_box", "engine"))), lambda r: r.dropFields("region_idx"))
     return io.explode_regions(flat.groupBy("image_id").agg(boxes.alias("regions"))).select("image_id", "region_idx", "text", "confidence")
 
 
@@ -238,7 +238,7 @@ _add("l5_column_boundaries", lambda df: layout.column_boundaries(layout.region_b
 @_named
 def l6_assign_columns(spark: SparkSession, d: str) -> DataFrame:
     boxes = layout.region_boxes(fx.regions(spark, d))
-    return layout.assign_columns(boxes, layout.column_boundaries(boxes).drop("width")).select("image_id", "region_idx", "col")
+    return layout.assign_columns(boxes).select("image_id", "region_idx", "col")
 
 
 _add("l7_organize_columns", lambda df: layout.organize_columns(df).select("image_id", "region_idx", "row_idx", "col"), rows)
@@ -370,7 +370,7 @@ def s10_colour_quality(spark: SparkSession, d: str) -> DataFrame:
 def k1_json_lines(spark: SparkSession, d: str) -> DataFrame:
     """Images written as JSON lines, some cut off or without an id, and read again: their boxes, and a row with a reason for each line that can't be read."""
     flat, path = fx.regions(spark, d), shared_folder(spark)
-    boxes = F.transform(F.array_sort(F.collect_list(F.struct("region_idx", "text", "raw_text", "confidence", "bounding_box", "engine"))), lambda r: r.dropFields("region_idx"))
+    boxes = F.transform(F.sort_array(F.collect_list(F.struct("region_idx", "text", "raw_text", "confidence", "bounding_box", "engine"))), lambda r: r.dropFields("region_idx"))
     images = flat.groupBy("image_id").agg(boxes.alias("regions"))
     whole = F.to_json(F.struct(F.when(F.col("image_id") % 11 != 0, F.col("image_id")).alias("image_id"), F.when(F.col("image_id") % 13 != 0, F.col("regions")).alias("regions")))
     images.select(F.when(F.col("image_id") % 7 == 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole).alias("value")).write.option("compression", "gzip").text(path)

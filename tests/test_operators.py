@@ -307,3 +307,32 @@ def test_equal_parties_meet_by_words_not_in_pairs(spark, monkeypatch):
     found = dedupe.similar_record_groups(spark.createDataFrame(rows, "record_id long, case_number string, party_name string"), threshold=1.0).collect()
     assert len(found) == len({(r.kind, r.id1, r.id2) for r in found}) and all(r.similarity == 1 for r in found)
     assert links and members and {(r.kind, r.id1, r.id2) for r in found} == links | members
+
+
+def test_layout_sorts_and_joins_no_more_than_it_must(spark, tmp_path):
+    """Identical boxes share the sort of the rows, lines are not gathered for each of their boxes, columns come without a join."""
+    fx.regions(spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "regions"))
+    stored = spark.read.parquet(str(tmp_path / "regions"))
+    rows = layout.rows_from_regions(stored)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bSort \[", plan(rows))) == 2
+    assert "collect_list" not in plan(layout.cells_to_records(rows)) + plan(layout.parse_cells(rows)) + plan(layout.section_headings(rows)) + plan(layout.detect_header_row(rows))
+    boxes = layout.region_boxes(stored)
+    assert "Join" not in plan(layout.assign_columns(boxes)) + plan(layout.organize_columns(rows)) and "ObjectHashAggregate" not in plan(layout.organize_columns(rows))
+    key = ["image_id", "region_idx", "col"]
+    one, two = (sorted(map(tuple, df.select(*key).collect())) for df in (layout.assign_columns(boxes), layout.assign_columns(boxes, layout.column_boundaries(boxes).drop("width"))))
+    assert one == two and len(one) > 1000
+
+
+def test_headings_and_headers_over_boxes_of_a_line(spark):
+    """A phrase may run over two boxes, not over three; header words count once a line; null texts count as empty."""
+    lines = [("Case case", "xx"), ("sr", "no"), ("For", "Orders"), ("For", "Orders", "x"), (None, "Steps"), ("SC/1/2001", None, " p "), ("a", "b", "c", "d", "Date hearing")]
+    boxes = [box(1, 10 * i + k, 100 * k, 60 * i, 100 * k + 50, 60 * i + 30, t) for i, line in enumerate(lines) for k, t in enumerate(line)]
+    rows = layout.rows_from_regions(spark.createDataFrame(boxes, BOX))
+    assert layout.detect_header_row(rows).first().header_row_idx == 1
+    assert tuple(layout.column_headers(rows).first()) == (1, 1, ["sr", "no"])
+    assert sorted(r.row_idx for r in layout.section_headings(rows).collect()) == [2, 4]
+    got = {r.row_idx: tuple(r)[2:6] for r in layout.cells_to_records(rows).collect()}
+    assert got == {0: ("Case case", "xx", "-", "-"), 3: ("For", "Orders", "x", "-"), 5: ("SC/1/2001", "-", "p", "-"), 6: ("a", "b", "c", "d")}
+    two = {r.row_idx: tuple(r)[2:6] for r in layout.cells_to_records(rows, expected=1).collect()}
+    assert two[6] == ("a", "-", "-", "-") and two.keys() == got.keys()
