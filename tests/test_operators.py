@@ -336,3 +336,14 @@ def test_headings_and_headers_over_boxes_of_a_line(spark):
     assert got == {0: ("Case case", "xx", "-", "-"), 3: ("For", "Orders", "x", "-"), 5: ("SC/1/2001", "-", "p", "-"), 6: ("a", "b", "c", "d")}
     two = {r.row_idx: tuple(r)[2:6] for r in layout.cells_to_records(rows, expected=1).collect()}
     assert two[6] == ("a", "-", "-", "-") and two.keys() == got.keys()
+
+
+def test_records_are_dealt_by_the_bytes_behind_them(spark, monkeypatch):
+    """The tasks that clean and score records grow in number with the orders, not with the cores alone."""
+    from docketspark.operators import sizing
+
+    dealt = lambda: [int(n) for n in re.findall(r"hashpartitioning\(o_custkey#\d+L?, (\d+)", fx.view(spark, "/root/testdata/sf0.001", fx.RECORDS_RAW)._jdf.queryExecution().executedPlan().toString())]
+    few = dealt()
+    monkeypatch.setattr(sizing, "TASK_BYTES", 1 << 11)
+    more = dealt()
+    assert len(few) == len(more) == 1 and more[0] > 2 * few[0]
