@@ -178,12 +178,19 @@ def hard_negatives(embeddings: DataFrame, every: int = 50, positives: int = 5, n
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     key = ["dim", "block", "row"]
     tasks = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = max(1, min(anchor_blocks, tasks // blocks))  # few blocks of rows are shared by several tasks
 
     def met(rows_of_anchors: DataFrame, *more: str) -> DataFrame:
-        """Each block of anchors with each block of rows, a row a pair."""
+        """Each block of anchors with each block of rows, a row a pair.
+
+        Both sides are dealt to a stated number of tasks. The hint keeps the driver out: Spark's estimate of an explode leaves
+        its copies out, so it would take all pairs for no more than the anchors and broadcast them.
+        """
+        meeting = ["dim", "block", "copy"]
         in_blocks = rows_of_anchors.groupBy("dim", place).agg(F.collect_list(F.struct("block", "row", "label", "vector", *more)).alias("anchors"))
-        pairs = in_blocks.select("dim", "anchor_block", everywhere, "anchors").repartition(tasks, "dim", "block", "anchor_block")
-        return pairs.join(packed, ["dim", "block"]).select("dim", "block", "anchors", "ids", "labels", "vectors")
+        pairs = in_blocks.select("dim", everywhere, F.pmod("anchor_block", F.lit(copies)).cast("int").alias("copy"), "anchors").repartition(4 * tasks, *meeting)
+        shared = packed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).repartition(4 * tasks, *meeting)
+        return pairs.join(shared.hint("merge"), meeting).select("dim", "block", "anchors", "ids", "labels", "vectors")
 
     best = _first(met(chosen).mapInArrow(_positives(positives), POSITIVE), key, positives, "number")
     lists = best.groupBy(*key).agg(F.collect_list(F.struct("number", "other", "score")).alias("positives"))

@@ -80,3 +80,21 @@ def test_as_sql(spark):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet'")
     got = [tuple(r) for r in hn.hard_negatives(hn.query_labels(spark.read.parquet(f"{path}/embeddings.parquet"))).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect()]
     assert got and sorted(got) == sorted(con.execute(hn.SQL).fetchall())
+
+
+def test_pairs_of_blocks_are_not_broadcast(spark):
+    """Spark takes the copies of an explode for one row: by size it would send every pair of blocks through the driver."""
+    joins, real = [], hn.cut
+
+    def seen(df):
+        out = real(df)
+        joins.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return out
+
+    hn.cut = seen
+    try:
+        assert found(spark, vectors(5, 600), rows=30, anchors=2) == model(vectors(5, 600))
+    finally:
+        hn.cut = real
+    plan = joins[-1]  # of the positives: the first meeting of all blocks
+    assert "MapInArrow" in plan and "SortMergeJoin [dim" in plan.split("MapInArrow")[1]
