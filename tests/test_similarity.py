@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,41 @@ def test_in_bulk_as_one_by_one(least):
     assert (got[found] == want[found]).all() and (got[~found] <= want[~found]).all() and compared <= len(i)
 
 
+@pytest.mark.parametrize("least", [0.0, 66.6, 90.0])
+@pytest.mark.parametrize(("tile", "together"), [(1 << 16, 1 << 10), (700, 3)])
+def test_tables_as_pairs(least, tile, together):
+    numbered = [f"Customer {k * 37 % 100000:09d} {'Vs' if k % 9 else 'vs.'} NATION {k % 25}" for k in range(150)]
+    names = Names(texts(5, 120) + numbered)
+    names.TILE, names.TOGETHER = tile, together
+    n = len(names.texts)
+    every, half = np.arange(n), n // 2
+    i, j = (x.ravel() for x in np.meshgrid(every, every, indexing="ij"))
+    want = names.ratios(i, j, least)[0].reshape(n, n)
+    met = np.zeros((n, n), int)
+    for x, y, table, halved, _ in names.cross(every, None, least):
+        counts = np.triu(np.ones(table.shape, bool), 1) if halved else np.ones(table.shape, bool)
+        assert not halved or len(x) <= len(y)
+        assert (table[counts] == want[np.ix_(x, y)][counts]).all()
+        met[np.ix_(x, y)] += counts
+    assert (met + met.T == 1 - np.eye(n, dtype=int)).all()
+    met[:] = 0
+    for x, y, table, halved, _ in names.cross(every[:half], every[half:], least):
+        assert not halved and (table == want[np.ix_(x, y)]).all()
+        met[np.ix_(x, y)] += 1
+    assert (met[:half, half:] == 1).all() and met.sum() == half * (n - half)
+
+
+def test_a_hot_case_number_is_compared_in_tables(spark, monkeypatch):
+    """The names of a block are not compared pair by pair."""
+    monkeypatch.setattr(Names, "ratios", lambda *_: pytest.fail("pair by pair"))
+    found = dedupe._pairs_of_rows(0.9, False)
+    names = [f"Customer {k * 37 % 100000:09d} Vs NATION {k % 25}" for k in range(60)]
+    block = pa.record_batch([pa.array([list(range(60))]), pa.array([names]), pa.array([None], pa.list_(pa.int64())), pa.array([None], pa.list_(pa.string()))], names=["ids", "parties", "other_ids", "other_parties"])
+    got = {(r["id1"], r["id2"]): r["similarity"] for b in found(iter([block])) for r in b.to_pylist()}
+    want = {(a, b): 0.7 + 0.3 * (token_set_ratio_of(names[a], names[b]) / 100) for a in range(60) for b in range(a + 1, 60)}
+    assert got == {k: s for k, s in want.items() if s >= 0.9}
+
+
 def values(spark, some):
     return spark.createDataFrame([(v,) for v in sorted(set(some))], "value string").withColumn("w", words(F.col("value")))
 
