@@ -72,6 +72,69 @@ def test_tables_as_pairs(least, tile, together):
     assert (met[:half, half:] == 1).all() and met.sum() == half * (n - half)
 
 
+@pytest.mark.parametrize("least", [0.0, 66.6, 90.0])
+@pytest.mark.parametrize(("tile", "together"), [(1 << 16, 1 << 10), (7000, 3)])
+def test_tables_of_one_length_are_bytes(least, tile, together):
+    rng = random.Random(14)
+    numbered = [f"Customer{'#' if k % 5 == 0 else ' '}{k * 37 % 700:09d} Vs NATION {10 + k % 15}" for k in range(300)]
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    full = [" ".join(sorted({"w" * 30, word(3), word(29)})) for _ in range(40)] + ["x " + " ".join(sorted({word(31), word(30)})) for _ in range(20)]
+    names = Names(numbered + [t for t in full if len(t) == 64])
+    names.TILE, names.COLUMNS, names.TOGETHER = tile, 90, together
+    n, m = len(names.texts), 300
+    every = np.arange(n)
+    i, j = (x.ravel() for x in np.meshgrid(every, every, indexing="ij"))
+    want = names.ratios(i, j, least)[0].reshape(n, n)
+    met = np.zeros((n, n), int)
+    for one, two in ((every[:m], None), (every[m:], None), (every[:m], every[m:])):
+        for x, y, code, values, halved, _ in names.coded(one, two, least):
+            counts = np.triu(np.ones((len(x), len(y)), bool), 1) if halved else np.ones((len(x), len(y)), bool)
+            assert code is None or code.dtype == np.uint8
+            assert code is not None or len(one) < m, "texts of one length"
+            assert ((values if code is None else values[code])[counts] == want[np.ix_(x, y)][counts]).all()
+            met[np.ix_(x, y)] += counts
+    assert (met + met.T == 1 - np.eye(n, dtype=int)).all()
+
+
+def test_texts_that_fill_the_bits():
+    rng = random.Random(15)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    words_ = [word(20) for _ in range(6)]
+    texts_ = list({" ".join(sorted([*rng.sample(words_, 2), word(22)])) for _ in range(90)} | {" ".join(sorted({"a", "b", "c", "d", "e", "f", "g", word(50)})) for _ in range(60)})
+    names = Names(texts_)
+    assert (names.length == 64).all() and names.fits.all() and names.many.max() == 8
+    names.TILE, names.COLUMNS = 2000, 50
+    every = np.arange(len(texts_))
+    for x, y, code, values, halved, _ in names.coded(every, every, 50.0):
+        a, b = (z.ravel() for z in np.meshgrid(x, y, indexing="ij"))
+        assert code is not None and not halved
+        assert (values[code].ravel() == names.ratios(a, b, 50.0)[0]).all()
+
+
+def test_candidates_work_their_records_out_once(spark):
+    worked_out = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            worked_out.add(batch.num_rows)
+            yield batch
+
+    rows = [(k, f"SC/{k % 3}/2001", f"ab {k % 7} Vs cd {k}") for k in range(60)]
+    records = spark.createDataFrame(rows, "record_id long, case_number string, party_name string")
+    kinds = {r.kind for r in dedupe.duplicate_candidates(records.mapInArrow(count, records.schema)).select("kind").distinct().collect()}
+    assert kinds == {"exact", "record", "number"} and worked_out.value == 60
+
+
+def test_lists_of_some_hundred_names_are_compared_in_tables(monkeypatch):
+    """One row each, neither pair by pair nor in many small blocks."""
+    monkeypatch.setattr(Names, "ratios", lambda *_: pytest.fail("pair by pair"))
+    names = [f"Customer {k * 37 % 100000:09d} Vs NATION {k % 25}" for k in range(150)]
+    lists = pa.record_batch([pa.array([list(range(150))]), pa.array([names])], names=["ids", "parties"])
+    got = {(r["id1"], r["id2"]): r["similarity"] for b in dedupe._pairs_of_rows(0.9, False)(iter([lists])) for r in b.to_pylist()}
+    want = {(a, b): 0.7 + 0.3 * (token_set_ratio_of(names[a], names[b]) / 100) for a in range(150) for b in range(a + 1, 150)}
+    assert got == {k: s for k, s in want.items() if s >= 0.9}
+
+
 def test_a_hot_case_number_is_compared_in_tables(spark, monkeypatch):
     """The names of a block are not compared pair by pair."""
     monkeypatch.setattr(Names, "ratios", lambda *_: pytest.fail("pair by pair"))
