@@ -160,6 +160,14 @@ def test_a_word_of_a_tenth_of_the_values_meets_few(spark):
     assert dedupe.pairs_by_words(values(spark, some), 0.85).distinct().count() == 201
 
 
+def test_short_numbers_meet_only_where_they_are_similar(spark):
+    """Texts of two lengths meet by what texts of these lengths must share, not by less."""
+    rng = random.Random(12)
+    some = sorted({f"{rng.choice(['SC', 'WP', 'CRLA', 'CRL.A'])}/{rng.randrange(120)}/{rng.randrange(1992, 2004)}" for _ in range(300)})
+    met = {(r.case1, r.case2) for r in dedupe.similar_number_pairs(values(spark, some), 0.85).collect()}
+    assert met == {(a, b) for k, a in enumerate(some) for b in some[k + 1 :] if token_set_ratio_of(a, b) >= 85}
+
+
 def test_numbers_of_shared_words_miss_none(spark):
     rng = random.Random(11)
     word = lambda: rng.choice(["SC", "CRL", "APPEAL", "MISCELLANEOUS", "12/2001", "13/2001", "7", "ab", f"{rng.randrange(30)}/20{rng.randrange(10, 14)}"])
