@@ -253,7 +253,7 @@ _add("l12_cells_to_records", lambda df: layout.cells_to_records(df).drop("date_c
 
 @_named
 def j1_merge_ocr(spark: SparkSession, d: str) -> DataFrame:
-    merged = merge.merge_ocr(fx.regions(spark, d), fx.regions(spark, d, fx.REGIONS_SECONDARY))
+    merged = merge.merge_ocr(fx.regions(spark, d), fx.regions(spark, d, fx.REGIONS_SECONDARY), dealt=True)
     return merged.select("image_id", "region_idx", "text", "confidence", "engine", "source")
 
 

@@ -291,6 +291,21 @@ def test_boxes_are_dealt_once_and_by_the_bytes_behind_them(spark, monkeypatch):
     assert int(re.search(r"hashpartitioning\(image_id#\d+L?, (\d+)", merged._jdf.queryExecution().executedPlan().toString())[1]) > 8
 
 
+def test_two_passes_that_are_dealt_alike_are_not_dealt_again(spark):
+    """Boxes are four a row of lineitem, in either pass: only these rows are shuffled."""
+    from docketspark import queries
+
+    merged = queries.j1_merge_ocr(spark, "/root/testdata/sf0.001")
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+)#", merged._jdf.queryExecution().executedPlan().toString())
+    assert sorted(dealt) == ["l_orderkey", "l_orderkey", "o_orderkey", "o_orderkey"]
+    passes = [fx.regions(spark, "/root/testdata/sf0.001", s) for s in (fx.REGIONS_FLAT, fx.REGIONS_SECONDARY)]
+    want = merge.merge_ocr(*passes).select(*merged.columns)
+    assert merged.count() == want.count() > 0 and merged.exceptAll(want).count() == 0
+    # not dealt at all, and to different numbers of tasks
+    apart = merge.merge_ocr(passes[0].repartition(7), passes[1].repartition(3, "image_id"), dealt=True).select(*merged.columns)
+    assert apart.exceptAll(want).count() == 0 and want.exceptAll(apart).count() == 0
+
+
 def test_equal_parties_meet_by_words_not_in_pairs(spark, monkeypatch):
     def in_pairs(*_):
         raise AssertionError("compared in pairs")
