@@ -146,6 +146,23 @@ def test_a_hot_case_number_is_compared_in_tables(spark, monkeypatch):
     assert got == {k: s for k, s in want.items() if s >= 0.9}
 
 
+def test_links_of_one_id_stand_together():
+    """A file then holds the id once for all of them, in place of one in each row."""
+    rng = random.Random(17)
+    names = [f"Customer {k * 37 % 100000:09d} Vs NATION {k % 25}" for k in range(240)]
+    ids = rng.sample(range(10**6), 240)
+    schema = pa.schema([(c, pa.list_(t)) for c, t in (("ids", pa.int64()), ("parties", pa.string()), ("other_ids", pa.int64()), ("other_parties", pa.string()))])
+    block = pa.record_batch([[ids[:120]], [names[:120]], [ids[120:]], [names[120:]]], schema=schema)
+    got, changes, firsts = {}, 0, 0
+    for batch in dedupe._pairs_of_rows(0.9, False)(iter([block])):
+        one = batch.column(0).to_numpy()
+        changes, firsts = changes + int((one[1:] != one[:-1]).sum()), firsts + len(set(one.tolist()))
+        got |= {(r["id1"], r["id2"]): r["similarity"] for r in batch.to_pylist()}
+    want = {(min(ids[a], ids[b]), max(ids[a], ids[b])): 0.7 + 0.3 * (token_set_ratio_of(names[a], names[b]) / 100) for a in range(120) for b in range(120, 240)}
+    assert got == {k: s for k, s in want.items() if s >= 0.9} and len(got) > 5000
+    assert changes <= firsts
+
+
 def values(spark, some):
     return spark.createDataFrame([(v,) for v in sorted(set(some))], "value string").withColumn("w", words(F.col("value")))
 
